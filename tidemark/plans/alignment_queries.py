@@ -180,11 +180,11 @@ def study(v: Views):
 
 @query(
     "d14_daily_entry_exit",
-    "SELECT accession, h, entry_date, round(entry_price,6) AS entry_price, exit_date, round(ret,6) AS ret FROM study_v",
+    "SELECT accession, h, entry_date, round(entry_price,8) AS entry_price, exit_date, round(ret,6) AS ret FROM study_v",
     **SV,
 )
 def d14(v):
-    return study(v).select("accession", "h", "entry_date", F.round("entry_price", 6).alias("entry_price"), "exit_date", F.round("ret", 6).alias("ret"))
+    return study(v).select("accession", "h", "entry_date", F.round("entry_price", 8).alias("entry_price"), "exit_date", F.round("ret", 6).alias("ret"))
 
 
 @query("d15_halt_gap_truncation", "SELECT ticker, h, count(*) AS n, sum(truncated::INT)::BIGINT AS n_truncated FROM study_v GROUP BY 1,2", **SV)
