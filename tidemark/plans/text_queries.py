@@ -125,7 +125,7 @@ def c8(v):
     return X.issuer_lookup(issuer_filings(v), "accession")
 
 
-HOLD_SQL = "SELECT (l_orderkey * 1000000 + l_partkey) * 100 + l_suppkey % 10 * 10 + l_linenumber AS hid, n.name, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'C' || l_partkey END AS cusip, l_extendedprice/l_quantity AS price FROM lineitem JOIN names_v n ON n.s_suppkey = l_suppkey"
+HOLD_SQL = "SELECT ((l_orderkey * 1000000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS hid, n.name, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'C' || l_partkey END AS cusip, l_extendedprice/l_quantity AS price FROM lineitem JOIN names_v n ON n.s_suppkey = l_suppkey"
 MAP_SQL = "SELECT 'C' || p.l_partkey AS cusip, arg_min('M' || (l_partkey % 50), (CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) * 100000000 + l_orderkey * 10 + l_linenumber) AS ticker FROM (SELECT * FROM lineitem WHERE l_partkey % 2 = 0) p GROUP BY 1"
 RES_SQL = (
     r"SELECT h.hid, h.price, coalesce(l.ticker, m.ticker) AS resolved_ticker, CASE WHEN l.ticker IS NOT NULL THEN 'name' WHEN m.ticker IS NOT NULL THEN 'identifier' END AS method FROM (SELECT *, "
@@ -139,7 +139,7 @@ def holdings(v):
     li = v.table("lineitem")
     named = li.join(company_names(v), li.l_suppkey == F.col("s_suppkey"))
     return named.select(
-        ((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 100 + F.col("l_suppkey") % 10 * 10 + F.col("l_linenumber")).alias("hid"), "name",
+        (((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("hid"), "name",
         F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("C"), "l_partkey")).alias("cusip"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
     )
