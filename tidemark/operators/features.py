@@ -267,33 +267,62 @@ def returns_with_bench(daily: DataFrame, bench: DataFrame) -> DataFrame:
     return j.withColumn("r", F.col("c") / F.lag("c").over(Window.partitionBy("ticker").orderBy("d")) - 1)
 
 
+def _with_moments(rets: DataFrame, newest: int, n: int) -> DataFrame:
+    """Moments of the common-date returns over the `n` rows that end `newest` rows before each row.
+
+    Each sum is the difference of two running sums, so the cost per row does not grow with `n`.
+    """
+    w = Window.partitionBy("ticker").orderBy("d")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    both = F.col("r").isNotNull() & F.col("br").isNotNull()
+    zero = F.lit(0.0)
+    terms = {
+        "k": F.when(both, 1.0).otherwise(zero),
+        "x": F.when(both, F.col("br")).otherwise(zero),
+        "y": F.when(both, F.col("r")).otherwise(zero),
+        "xy": F.when(both, F.col("br") * F.col("r")).otherwise(zero),
+        "xx": F.when(both, F.col("br") * F.col("br")).otherwise(zero),
+        "kb": F.when(F.col("br").isNotNull(), 1.0).otherwise(zero),
+        "b": F.coalesce(F.col("br"), zero),
+        "bb": F.coalesce(F.col("br") * F.col("br"), zero),
+    }
+    rows = rets.select("*", F.row_number().over(w).alias("_n"), *[F.sum(t).over(run).alias(f"_c_{m}") for m, t in terms.items()])
+
+    def at(m: str, back: int) -> Column:
+        return F.coalesce(F.lag(f"_c_{m}", back).over(w), zero) if back else F.col(f"_c_{m}")
+
+    rows = rows.select("*", *[(at(m, newest) - at(m, newest + n)).alias(f"_{m}") for m in terms])
+    return rows.drop(*[f"_c_{m}" for m in terms])
+
+
+def _cov_samp() -> Column:
+    k = F.col("_k")
+    return F.when(k > 1, (F.col("_xy") - F.col("_x") * F.col("_y") / F.when(k > 0, k)) / F.when(k > 1, k - 1))
+
+
 def event_beta(rets: DataFrame, window: int = P.BETA_WINDOW, min_days: int = P.BETA_MIN_EVENT) -> DataFrame:
     """Beta over the last `window` bars up to each day: sample covariance over population variance.
 
     The window's first bar gives no return, so `window - 1` returns enter. Read it strictly before
     the anchor date.
     """
-    w = Window.partitionBy("ticker").orderBy("d")
-    f = w.rowsBetween(-(window - 2), 0)
-    both = F.col("r").isNotNull() & F.col("br").isNotNull()
-    x, y = F.when(both, F.col("br")), F.when(both, F.col("r"))
-    rows = rets.withColumn("_n", F.row_number().over(w)).select(
-        "ticker", "d", "_n", F.covar_samp(x, y).over(f).alias("_cov"), F.var_pop(x).over(f).alias("_var"), F.count(x).over(f).alias("beta_n")
+    rows = _with_moments(rets, 0, window - 1)
+    k = F.when(F.col("_k") > 0, F.col("_k"))
+    rows = rows.withColumn("_var", (F.col("_xx") - F.col("_x") * F.col("_x") / k) / k)
+    ok = (F.col("_n") >= min_days) & (F.col("_k") >= min_days) & (F.col("_var") > 0)
+    return rows.select(
+        "ticker", "d", F.col("_k").cast("long").alias("beta_n"), F.when(ok, _cov_samp() / F.when(F.col("_var") > 0, F.col("_var"))).alias("beta")
     )
-    ok = (F.col("_n") >= min_days) & (F.col("beta_n") >= min_days) & (F.col("_var") > 0)
-    return rows.select("ticker", "d", "beta_n", F.when(ok, F.col("_cov") / F.when(F.col("_var") > 0, F.col("_var"))).alias("beta"))
 
 
 def rolling_beta(rets: DataFrame, window: int = P.BETA_WINDOW, min_days: int = P.BETA_MIN_ROLLING) -> DataFrame:
     """Beta over the `window` rows before each day: sample covariance over sample variance."""
-    f = Window.partitionBy("ticker").orderBy("d").rowsBetween(-window, -1)
-    both = F.col("r").isNotNull() & F.col("br").isNotNull()
-    x, y = F.when(both, F.col("br")), F.when(both, F.col("r"))
-    rows = rets.select(
-        "*", F.covar_samp(x, y).over(f).alias("_cov"), F.count(x).over(f).alias("_k"), F.var_samp("br").over(f).alias("_var"), F.count("br").over(f).alias("_kv")
-    )
-    ok = (F.col("_k") >= min_days) & (F.col("_kv") >= min_days) & (F.col("_var") > 0)
-    return rows.withColumn("beta", F.when(ok, F.col("_cov") / F.when(F.col("_var") > 0, F.col("_var")))).drop("_cov", "_k", "_var", "_kv")
+    rows = _with_moments(rets, 1, window)
+    k = F.col("_kb")
+    var = (F.col("_bb") - F.col("_b") * F.col("_b") / F.when(k > 0, k)) / F.when(k > 1, k - 1)
+    rows = rows.withColumn("_var", var)
+    ok = (F.col("_k") >= min_days) & (k >= min_days) & (F.col("_var") > 0)
+    return rows.select(*rets.columns, F.when(ok, _cov_samp() / F.when(F.col("_var") > 0, F.col("_var"))).alias("beta"))
 
 
 def population_returns(daily: DataFrame, bench: DataFrame, horizons: Sequence[int] = P.STUDY_HORIZONS, gap_days: int = P.HALT_GAP_DAYS, window: int = P.BETA_WINDOW, min_days: int = P.BETA_MIN_ROLLING) -> DataFrame:

@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _s(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)
-
-
 NEWS_RAW = (
     "category string, datetime bigint, headline string, id bigint, source string, summary string, url string"
 )
