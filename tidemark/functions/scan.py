@@ -159,6 +159,21 @@ def _with_splits(df: DataFrame, by: list[str], value: str, tie: str | None, part
     )
 
 
+def _count_below(df: DataFrame, value: str, parts: int) -> DataFrame:
+    """Add `_blk`, the number of splits below `value`, by an unrolled binary search.
+
+    `parts` is a power of two. Plain column steps keep this inside generated code; a lambda over the
+    splits would not be, and would evaluate the value once per split.
+    """
+    rows = df.withColumn("_blk", F.lit(0))
+    step = parts // 2
+    while step >= 1:
+        higher = F.coalesce(F.get("_cuts", F.col("_blk") + (step - 1)) < F.col(value), F.lit(False))
+        rows = rows.withColumn("_blk", F.when(higher, F.col("_blk") + step).otherwise(F.col("_blk")))
+        step //= 2
+    return rows
+
+
 def rank_rows(df: DataFrame, by: Sequence[str], value: str, tie: str, *, parts: int = 32, out: str = "pos") -> DataFrame:
     """Exact 1-based rank by (`value`, `tie`) inside `by` (may be empty) with no single-task sort.
 
@@ -166,17 +181,22 @@ def rank_rows(df: DataFrame, by: Sequence[str], value: str, tie: str, *, parts:
     again along `tie`, a unique integer column.
     """
     by = list(by)
-    v = F.col(value).cast("double")
-    rows = _with_splits(df, by, value, tie, parts)
-    below = F.size(F.filter("_cuts", lambda s: s < v))
-    heavy = F.size(F.filter("_cuts", lambda s: s == v)) >= 2
+    rows = _with_splits(df.withColumn("_val", F.col(value).cast("double")), by, "_val", tie, parts)
+    rows = _count_below(rows, "_val", parts)
+    heavy = (F.get("_cuts", F.col("_blk")) == F.col("_val")) & (F.get("_cuts", F.col("_blk") + 1) == F.col("_val"))
     span = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
-    sub = F.when(heavy, F.floor((F.col(tie) - F.col("_lo")) / span * F.lit(parts))).otherwise(F.lit(-1))
-    block = (below * F.lit(parts + 1) + sub.cast("int") + F.lit(1)).cast("long")
-    placed = rows.withColumn("_blk", block).drop("_cuts", "_lo", "_hi")
+    sub = F.when(F.coalesce(heavy, F.lit(False)), F.floor((F.col(tie) - F.col("_lo")) / span * F.lit(parts))).otherwise(F.lit(-1))
+    block = (F.col("_blk") * F.lit(parts + 1) + sub.cast("int") + F.lit(1)).cast("long")
+    placed = rows.withColumn("_blk", block).drop("_cuts", "_lo", "_hi", "_val")
     return position(placed, by, [F.col(value), F.col(tie)], F.col("_blk"), out).drop("_blk")
 
 
+def cumulative_counts(counts: DataFrame, by: Sequence[str], *, parts: int = 32) -> DataFrame:
+    """Distinct values `_v` with their counts `_n`: add `_end`, rows of the group up to the value."""
+    placed = _count_below(_with_splits(counts, list(by), "_v", None, parts), "_v", parts).drop("_cuts")
+    return running_sums(placed, by, ["_v"], F.col("_blk"), {"_end": F.col("_n")}).drop("_blk")
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float], *, parts: int = 32
 ) -> DataFrame:
@@ -191,10 +211,8 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    placed = _with_splits(counts, by, "_v", None, parts)
-    placed = placed.withColumn("_blk", F.size(F.filter("_cuts", lambda s: s < F.col("_v")))).drop("_cuts")
-    scanned = running_sums(placed, by, ["_v"], F.col("_blk"), {"_end": F.col("_n")})
-    sized = placed.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    scanned = cumulative_counts(counts, by, parts=parts)
+    sized = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     if by:
         scanned = scanned.join(sized, by)
     else:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidemark import params as P
 from tidemark.functions.distributions import t_two_sided_p
 from tidemark.functions.hashing import hash32
-from tidemark.functions.scan import exact_quantiles, rank_rows
+from tidemark.functions.scan import cumulative_counts, exact_quantiles, rank_rows
 from tidemark.operators.labels import equal_count_bin
 
 
@@ -185,22 +185,14 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """Rank with ties averaged, from the counts of distinct values (equal values are combined first)."""
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("_id")).alias("_first"))
-    ranked = _rank_counts(counts)
+    counts = df.groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = cumulative_counts(counts, [])
     return df.join(ranked.select(F.col("_v").alias(value), (F.col("_end") - (F.col("_n") - 1) / 2).alias(out)), value)
 
 
-def _rank_counts(counts: DataFrame) -> DataFrame:
-    from tidemark.functions.scan import _with_splits, running_sums
-
-    placed = _with_splits(counts, [], "_v", None, 32)
-    placed = placed.withColumn("_blk", F.size(F.filter("_cuts", lambda s: s < F.col("_v").cast("double")))).drop("_cuts")
-    return running_sums(placed, [], ["_v"], F.col("_blk"), {"_end": F.col("_n")})
-
-
-def correlations(df: DataFrame, x: str, y: str, row_id: str) -> DataFrame:
+def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n, Pearson and rank correlation."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y, F.col(row_id).alias("_id"))
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
     r = average_ranks(average_ranks(d, x, "_rx"), y, "_ry")
     return r.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
 
