@@ -115,7 +115,8 @@ def asof(
 def position(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], block: Column, out: str = "pos") -> DataFrame:
     """1-based row number inside `by` along `order`; `block` must never decrease along `order`."""
     by = list(by)
-    rows = df.withColumn("_b", block)
+    # Never null, so no "is not null" filter is inferred for the join key and pushed below.
+    rows = df.withColumn("_b", F.coalesce(block.cast("long"), F.lit(-1).cast("long")))
     sizes = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -132,7 +133,8 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sums along `order`; same contract for `block` as in `position`."""
     by = list(by)
-    rows = df.withColumn("_b", block)
+    # Never null, so no "is not null" filter is inferred for the join key and pushed below.
+    rows = df.withColumn("_b", F.coalesce(block.cast("long"), F.lit(-1).cast("long")))
     totals = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
@@ -153,10 +155,11 @@ def _with_splits(df: DataFrame, by: list[str], value: str, tie: str | None, part
         aggs += [F.min(tie).alias("_lo"), F.max(tie).alias("_hi")]
     if by:
         return df.join(df.groupBy(*by).agg(*aggs), by)
-    one = df.agg(*aggs)
-    return df.withColumn("_m", one.select(F.struct("*")).scalar()).select(
-        *df.columns, *[F.col(f"_m.{c}").alias(c) for c in one.columns]
-    )
+    # One row for all: a scalar subquery. The copies made here (slice, +0) keep the optimizer from
+    # repeating the subquery in every later use of the columns.
+    one = df.withColumn("_m", df.agg(*aggs).select(F.struct("*")).scalar())
+    spans = [(F.col(f"_m.{c}") + F.lit(0)).alias(c) for c in ("_lo", "_hi")] if tie else []
+    return one.select(*df.columns, F.slice("_m._cuts", 1, parts).alias("_cuts"), *spans)
 
 
 def _count_below(df: DataFrame, value: str, parts: int) -> DataFrame:
