@@ -35,7 +35,7 @@ EDGES = "SELECT quantile_cont(score,0.10) AS e0, quantile_cont(score,0.35) AS e1
 
 def pool(v):
     newest = v.table("events").agg(F.max("ts"))
-    s = scored_signals(v)
+    s = v.keep(scored_signals(v))
     return s, s.filter(F.col("ts_utc") < newest.select(after(F.col("max(ts)"), -2 * 24 * 60)).scalar())
 
 

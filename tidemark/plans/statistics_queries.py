@@ -99,7 +99,7 @@ HV = {**FV, "sc20_v": SC20, "vol_v": VOL, "vc_v": VC}
 
 def voluntary(v):
     m = F.date_format("filing_date", "yyyy-MM")
-    return scored(v).filter("h = 20 AND NOT is_10b5_1").withColumn("month", m)
+    return v.keep(scored(v).filter("h = 20 AND NOT is_10b5_1").withColumn("month", m))
 
 
 @query(
@@ -122,10 +122,10 @@ PV = {**HV, **B, "pop_v": POP, "elig_v": ELIG, "mp_v": MP}
 def population(v):
     pop = E.population_returns(v.daily(), v.bench(), gap_days=25)
     inside = pop.filter(F.col("d").between(F.lit("1993-01-01").cast("date"), F.lit("2000-12-31").cast("date")))
-    return S_population(inside, purchase_events(v))
+    return v.keep(eligible_population(inside, purchase_events(v)))
 
 
-def S_population(inside, events):
+def eligible_population(inside, events):
     e = A.eligible_days(inside, events, "d", "filing_date", 3).filter("eligible AND adj_ret_5d IS NOT NULL")
     return e.select("ticker", "d", F.col("adj_ret_20d").alias("y"), F.date_format("d", "yyyy-MM").alias("month"))
 

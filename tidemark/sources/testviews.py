@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import uniform
 from tidemark.schemas import TEST_TABLES
-from tidemark.session import configure
+from tidemark.session import checkpoint_dir, configure
 
 
 class Views:
@@ -25,6 +25,11 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TEST_TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Cut the lineage of a costly result that several later steps read (reliable checkpoint)."""
+        checkpoint_dir(self.spark)
+        return df.checkpoint()
+
     # ---- bars and calendar -------------------------------------------------------------
     def bars(self, key: str = "event_type") -> DataFrame:
         ticker = F.col("event_type") if key == "event_type" else F.concat(F.lit("U"), F.col(key))
