@@ -107,7 +107,7 @@ def compute_events(
         F.col("bar.open").alias("entry_price"),
         F.col("bar.exit_ts").alias("exit_ts"),
         F.col("bar.exit_price").alias("exit_price"),
-        (F.col("bar.exit_price") / F.col("bar.open") - 1).alias("fwd_ret"),
+        (F.try_divide(F.col("bar.exit_price"), F.col("bar.open")) - 1).alias("fwd_ret"),
     )
 
 
@@ -119,7 +119,7 @@ def latency_grid(news: DataFrame, bars: DataFrame, sessions: DataFrame, delays:
     tradable = with_exit(regular_bars(bars, sessions), horizon)
     e = entry_bar(shifted, tradable, "t_entry", ["ts", "open", "exit_ts", "exit_price"])
     return e.filter((F.col("bar.open") > 0) & (F.col("bar.exit_price") > 0)).withColumn(
-        "fwd_ret", F.col("bar.exit_price") / F.col("bar.open") - 1
+        "fwd_ret", F.try_divide(F.col("bar.exit_price"), F.col("bar.open")) - 1
     )
 
 
@@ -129,7 +129,7 @@ def window_returns(windows: DataFrame, bars: DataFrame, t0: str = "t0", t1: str
     a = asof(windows, bars, ["ticker"], t0, "ts", ["ts", "open"], forward=True, out="_a")
     z = asof(a, bars, ["ticker"], t1, "ts", ["ts", "close"], exact=False, out="_z")
     ok = F.col("_z.ts") >= F.col("_a.ts")
-    return z.withColumn(out, F.when(ok, F.col("_z.close") / F.col("_a.open") - 1)).drop("_a", "_z")
+    return z.withColumn(out, F.when(ok, F.try_divide(F.col("_z.close"), F.col("_a.open")) - 1)).drop("_a", "_z")
 
 
 def universe_returns(windows: DataFrame, bars: DataFrame, universe: DataFrame, benchmark: str) -> DataFrame:
@@ -182,7 +182,7 @@ def study_exits(entries: DataFrame, path: DataFrame, horizons: Sequence[int] = P
     exits = path.select("ticker", F.col("idx").alias("_xi"), F.col("d").alias("exit_date"), F.col("c").alias("exit_price"))
     return (
         long.join(exits, ["ticker", "_xi"])
-        .withColumn("ret", F.col("exit_price") / F.col("entry.c") - 1)
+        .withColumn("ret", F.try_divide(F.col("exit_price"), F.col("entry.c")) - 1)
         .withColumn("entry_date", F.col("entry.d"))
         .withColumn("entry_price", F.col("entry.c"))
         .drop("_xi")
@@ -199,7 +199,7 @@ def bench_between(df: DataFrame, bench: DataFrame, start: str, end: str, out: st
     a = asof(spans, numbered, [], start, "d", ["d", "c", "i"], forward=True, block=None, out="_a")
     z = asof(a, numbered, [], end, "d", ["d", "c", "i"], block=None, out="_z")
     found = z.select(
-        start, end, F.when(F.col("_z.i") > F.col("_a.i"), F.col("_z.c") / F.col("_a.c") - 1).alias(out)
+        start, end, F.when(F.col("_z.i") > F.col("_a.i"), F.try_divide(F.col("_z.c"), F.col("_a.c")) - 1).alias(out)
     )
     return df.join(found, [start, end], "left")
 

@@ -82,7 +82,7 @@ def macd_hist(h: DataFrame, fast: int = P.MACD_FAST, slow: int = P.MACD_SLOW, si
     e = ema(ema(_numbered(h), "close", 2.0 / (fast + 1), "_f"), "close", 2.0 / (slow + 1), "_s")
     line = e.withColumn("_m", F.when(F.col("_n") >= slow, F.col("_f") - F.col("_s")))
     joined = ema(line, "_m", 2.0 / (signal + 1), "_g")
-    value = (F.col("_m") - F.col("_g")) / F.col("close")
+    value = F.try_divide(F.col("_m") - F.col("_g"), F.col("close"))
     return joined.withColumn(out, F.when(F.col("_n") >= slow + signal - 1, value)).drop("_f", "_s", "_m", "_g", "_n")
 
 
@@ -92,7 +92,7 @@ def bollinger(h: DataFrame, n: int = P.BB_PERIOD, k: float = P.BB_STD) -> DataFr
     rows = h.withColumn("_mid", _full(mid, n, f, F.col("close"))).withColumn("_sd", _full(sd, n, f, F.col("close")))
     width = F.when(F.col("_sd") > 0, 2 * k * F.col("_sd"))
     return rows.withColumn("bb_pctb", (F.col("close") - (F.col("_mid") - k * F.col("_sd"))) / width).withColumn(
-        "bb_width", width / F.col("close")
+        "bb_width", F.try_divide(width, F.col("close"))
     ).drop("_mid", "_sd")
 
 
@@ -102,7 +102,7 @@ def atr(h: DataFrame, n: int = P.ATR_PERIOD, out: str = "atr_pct") -> DataFrame:
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
     rows = h.withColumn("_tr", tr)
     f = _rows(n)
-    return rows.withColumn(out, _full(F.avg("_tr").over(f), n, f, F.col("_tr")) / F.col("close")).drop("_tr")
+    return rows.withColumn(out, F.try_divide(_full(F.avg("_tr").over(f), n, f, F.col("_tr")), F.col("close"))).drop("_tr")
 
 
 INDICATORS = ["rsi", "macd_hist", "bb_pctb", "bb_width", "atr_pct"]
@@ -128,9 +128,9 @@ def session_vwap(events: DataFrame, bars: DataFrame, sessions: DataFrame, t: str
     )
     inside = with_session(events, t, sessions)
     j = asof(inside, running, ["ticker", "sess_start"], t, "ts", ["close", "pv", "vol"], exact=False, out="_v")
-    vwap = F.when(F.col("_v.vol") > 0, F.col("_v.pv") / F.col("_v.vol"))
+    vwap = F.when(F.col("_v.vol") > 0, F.try_divide(F.col("_v.pv"), F.col("_v.vol")))
     return j.withColumn("vwap", vwap).withColumn(
-        "dist_from_vwap", F.when(F.col("vwap") > 0, F.col("_v.close") / F.col("vwap") - 1)
+        "dist_from_vwap", F.when(F.col("vwap") > 0, F.try_divide(F.col("_v.close"), F.col("vwap")) - 1)
     ).drop("_v", "sess_start", "sess_end")
 
 
@@ -154,7 +154,7 @@ def benchmark_regime(bench: DataFrame, fast: int = P.SMA_FAST, slow: int = P.SMA
     for name, n in (("_f", fast), ("_s", slow)):
         rows = rows.withColumn(name, F.when(F.col("_n") >= n, F.avg("c").over(frame(n))))
     return rows.filter(F.col("_n") >= min_days).select(
-        "d", (F.col("c") / F.col("_f") - 1).alias("dist_sma_fast"), (F.col("c") / F.col("_s") - 1).alias("dist_sma_slow"),
+        "d", (F.try_divide(F.col("c"), F.col("_f")) - 1).alias("dist_sma_fast"), (F.try_divide(F.col("c"), F.col("_s")) - 1).alias("dist_sma_slow"),
         (F.col("c") > F.col("_s")).cast("int").alias("above_slow"),
     )
 
@@ -162,12 +162,12 @@ def benchmark_regime(bench: DataFrame, fast: int = P.SMA_FAST, slow: int = P.SMA
 def ticker_regime(daily: DataFrame, short: int = P.VOL_SHORT_DAYS, long: int = P.VOL_LONG_DAYS) -> DataFrame:
     """Per ticker-day: short realised vol, short/long ratio and momentum; only with long+2 closes."""
     w = Window.partitionBy("ticker").orderBy("d")
-    rows = daily.withColumn("_n", F.row_number().over(w)).withColumn("_r", F.ln(F.col("c") / F.lag("c").over(w)))
+    rows = daily.withColumn("_n", F.row_number().over(w)).withColumn("_r", F.ln(F.try_divide(F.col("c"), F.lag("c").over(w))))
     sf, lf = (Window.partitionBy("ticker").orderBy("d").rowsBetween(-n + 1, 0) for n in (short, long))
     rows = rows.withColumn("rv_short", F.stddev_samp("_r").over(sf)).withColumn("_rl", F.stddev_samp("_r").over(lf))
-    rows = rows.withColumn("mom", F.col("c") / F.lag("c", 5).over(w) - 1)
+    rows = rows.withColumn("mom", F.try_divide(F.col("c"), F.lag("c", 5).over(w)) - 1)
     ok = (F.col("_n") >= long + 2) & (F.col("rv_short") >= 0) & (F.col("_rl") > 0)
-    return rows.filter(ok).select("ticker", "d", "rv_short", (F.col("rv_short") / F.col("_rl")).alias("vol_ratio"), "mom")
+    return rows.filter(ok).select("ticker", "d", "rv_short", (F.try_divide(F.col("rv_short"), F.col("_rl"))).alias("vol_ratio"), "mom")
 
 
 def prior_day(events: DataFrame, daily: DataFrame, t: str, columns: Sequence[str], by: Sequence[str] = ("ticker",), out: str = "pd") -> DataFrame:
@@ -199,7 +199,7 @@ def sector_momentum(events: DataFrame, universe: DataFrame, mom: str, t: str) ->
 def peer_momentum(universe: DataFrame, daily: DataFrame, dates: DataFrame, min_days: int = 6) -> DataFrame:
     """Per (sector, date): mean over sector tickers of the momentum of their last earlier day."""
     w = Window.partitionBy("ticker").orderBy("d")
-    mom = daily.withColumn("_n", F.row_number().over(w)).withColumn("mom", F.col("c") / F.lag("c", 5).over(w) - 1).filter(F.col("_n") >= min_days)
+    mom = daily.withColumn("_n", F.row_number().over(w)).withColumn("mom", F.try_divide(F.col("c"), F.lag("c", 5).over(w)) - 1).filter(F.col("_n") >= min_days)
     names = universe.groupBy("sector").agg(F.sort_array(F.collect_set("ticker")).alias("tickers"))
     wanted = dates.select("sector", "date").distinct().join(names, "sector").withColumn("ticker", F.explode("tickers"))
     j = asof(wanted.select("sector", "date", "ticker"), mom, ["ticker"], "date", "d", ["mom"], exact=False, block=None, out="m")
@@ -243,7 +243,7 @@ def sigma_anchors(bars: DataFrame, horizon: int = P.HORIZON_BARS, warmup: int =
     )
     a = rows.filter((F.col("_i") >= warmup) & ((F.col("_i") - warmup) % step == 0) & F.col("end_ts").isNotNull())
     a = a.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("ticker"))).filter(F.col("_k") >= min_anchors)
-    return a.select("ticker", "end_ts", (F.col("_c") / F.col("close") - 1).alias("ret"))
+    return a.select("ticker", "end_ts", (F.try_divide(F.col("_c"), F.col("close")) - 1).alias("ret"))
 
 
 def trailing_sigma(events: DataFrame, anchors: DataFrame, t: str, min_anchors: int = P.SIGMA_MIN_ANCHORS, out: str = "sigma") -> DataFrame:
@@ -262,9 +262,9 @@ def typical_sigma(anchors: DataFrame, min_anchors: int = 20) -> DataFrame:
 
 def returns_with_bench(daily: DataFrame, bench: DataFrame) -> DataFrame:
     """Daily closes with own and benchmark simple returns on common dates."""
-    b = bench.select("d", F.col("c").alias("bc"), (F.col("c") / F.lag("c").over(Window.orderBy("d")) - 1).alias("br"))
+    b = bench.select("d", F.col("c").alias("bc"), (F.try_divide(F.col("c"), F.lag("c").over(Window.orderBy("d"))) - 1).alias("br"))
     j = daily.join(b, "d", "left")
-    return j.withColumn("r", F.col("c") / F.lag("c").over(Window.partitionBy("ticker").orderBy("d")) - 1)
+    return j.withColumn("r", F.try_divide(F.col("c"), F.lag("c").over(Window.partitionBy("ticker").orderBy("d"))) - 1)
 
 
 def _with_moments(rets: DataFrame, newest: int, n: int) -> DataFrame:
@@ -332,8 +332,8 @@ def population_returns(daily: DataFrame, bench: DataFrame, horizons: Sequence[in
     rows = rows.withColumn("_gap", F.datediff("d", F.lag("d").over(w)))
     out = []
     for h in horizons:
-        ret = F.lead("c", h + 1).over(w) / F.lead("c", 1).over(w) - 1
-        b = F.lead("bc", h + 1).over(w) / F.lead("bc", 1).over(w) - 1
+        ret = F.try_divide(F.lead("c", h + 1).over(w), F.lead("c", 1).over(w)) - 1
+        b = F.try_divide(F.lead("bc", h + 1).over(w), F.lead("bc", 1).over(w)) - 1
         gap = F.max("_gap").over(w.rowsBetween(1, h + 1))
         out.append(F.when(~F.coalesce(gap > gap_days, F.lit(False)), ret - F.col("beta") * b).alias(f"adj_ret_{h}d"))
     return rows.select("ticker", "d", *out)

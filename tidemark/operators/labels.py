@@ -78,7 +78,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (k * n_c), k = number of classes present."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
     tot = c.agg(F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k"))
-    return c.withColumn("weight", tot.select(F.col("n") / F.col("k")).scalar() / F.col("n_class"))
+    return c.withColumn("weight", tot.select(F.try_divide(F.col("n"), F.col("k"))).scalar() / F.col("n_class"))
 
 
 # ---- baselines and metrics --------------------------------------------------------------------------------
@@ -168,7 +168,7 @@ def threshold_curve(df: DataFrame, prob: str, hit: Column, step: float = 0.01) -
     return g.select(
         (F.col("g") / F.lit(float(k))).alias("threshold"), F.sum("n").over(down).alias("fired"), F.sum("h").over(down).alias("hits"), F.sum("n").over(tot).alias("n_all"), F.sum("h").over(tot).alias("h_all")
     ).select(
-        "threshold", "fired", (F.col("hits") / F.col("fired")).alias("precision"), F.try_divide("hits", "h_all").alias("recall"), (F.col("fired") / F.col("n_all")).alias("fire_rate")
+        "threshold", "fired", (F.try_divide(F.col("hits"), F.col("fired"))).alias("precision"), F.try_divide("hits", "h_all").alias("recall"), (F.try_divide(F.col("fired"), F.col("n_all"))).alias("fire_rate")
     )
 
 

@@ -83,8 +83,8 @@ def wall_clock_window(trades: DataFrame, bars: DataFrame, t: str, minutes: int =
 def trade_returns(df: DataFrame, entry: str = "entry_price", exit_: str = "exit_fill", bps: float = P.SLIPPAGE_BPS) -> DataFrame:
     slip = bps / 1e4
     e, x, lng = F.col(entry), F.col(exit_), F.col("direction") == "long"
-    gross = F.when(lng, x / e - 1).otherwise(1 - x / e)
-    net = F.when(lng, x * (1 - slip) / (e * (1 + slip)) - 1).otherwise(1 - x * (1 + slip) / (e * (1 - slip)))
+    gross = F.when(lng, F.try_divide(x, e) - 1).otherwise(1 - F.try_divide(x, e))
+    net = F.when(lng, F.try_divide(x * (1 - slip), e * (1 + slip)) - 1).otherwise(1 - F.try_divide(x * (1 + slip), e * (1 - slip)))
     return df.withColumn("gross_ret", gross).withColumn("net_ret", net)
 
 
@@ -93,7 +93,7 @@ def benchmark_excess(trades: DataFrame, bench_bars: DataFrame, t0: str, t1: str)
     spans = trades.select(t0, t1).distinct()
     a = asof(spans, bench_bars, [], t0, "ts", ["open"], forward=True, out="_a")
     z = asof(a, bench_bars, [], t1, "ts", ["close"], forward=True, out="_z")
-    found = z.select(t0, t1, (F.col("_z.close") / F.col("_a.open") - 1).alias("bench_gross"))
+    found = z.select(t0, t1, (F.try_divide(F.col("_z.close"), F.col("_a.open")) - 1).alias("bench_gross"))
     sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
     return trades.join(found, [t0, t1], "left").withColumn("excess_gross", F.col("gross_ret") - sign * F.col("bench_gross"))
 

@@ -96,7 +96,7 @@ def outcome_summary(signals: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.count("ret_net").alias("n"), F.count_if(F.col("ret_net") > 0).alias("wins"), F.avg("ret_net").alias("mean_net"), F.avg(F.col("stopped").cast("double")).alias("stop_rate")
     )
     lo, hi = wilson(F.col("wins"), F.col("n"))
-    return j.select("class_name", "n", (F.col("wins") / F.col("n")).alias("win"), lo.alias("win_lo"), hi.alias("win_hi"), "mean_net", "stop_rate")
+    return j.select("class_name", "n", (F.try_divide(F.col("wins"), F.col("n"))).alias("win"), lo.alias("win_lo"), hi.alias("win_hi"), "mean_net", "stop_rate")
 
 
 def valid_days(cycles: DataFrame, fired: DataFrame, failures: DataFrame, min_uptime: float = 0.95, max_proxy: float = 0.2, max_error: float = 0.05, max_missing: float = 0.1) -> DataFrame:
@@ -135,7 +135,7 @@ def day_blocks(outcomes: DataFrame, day: str, value: str, size: int = 20) -> Dat
     p = outcomes.groupBy("class_name").agg(F.count(F.lit(1)).alias("pn"), win.alias("pk"))
     lo, hi = wilson(F.col("k"), F.col("n"))
     plo, phi = wilson(F.col("pk"), F.col("pn"))
-    return b.join(p, "class_name").select("class_name", "block", "n", (F.col("k") / F.col("n")).alias("win"), lo.alias("lo"), hi.alias("hi"), ((lo <= phi) & (hi >= plo)).alias("overlaps_pooled"))
+    return b.join(p, "class_name").select("class_name", "block", "n", (F.try_divide(F.col("k"), F.col("n"))).alias("win"), lo.alias("lo"), hi.alias("hi"), ((lo <= phi) & (hi >= plo)).alias("overlaps_pooled"))
 
 
 def lag_summary(df: DataFrame, lag: str, by: Sequence[str] = ()) -> DataFrame:
@@ -192,7 +192,7 @@ def action_impact(rows: DataFrame, actions: DataFrame, date: str, value: str, lo
 
 
 def extreme_moves(daily: DataFrame, limit: float = 0.5) -> DataFrame:
-    move = F.col("c") / F.lag("c").over(Window.partitionBy("ticker").orderBy("d")) - 1
+    move = F.try_divide(F.col("c"), F.lag("c").over(Window.partitionBy("ticker").orderBy("d"))) - 1
     return daily.withColumn("move", move).filter(F.abs("move") > limit)
 
 

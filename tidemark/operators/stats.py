@@ -124,7 +124,7 @@ def ticker_mix_weights(population: DataFrame, events: DataFrame, by: Sequence[st
     w_ev = events.groupBy(*by, "ticker").agg(F.count(F.lit(1)).alias("_e"))
     n_t = population.groupBy(*[c for c in by if c in population.columns], "ticker").agg(F.count(F.lit(1)).alias("_p"))
     on = [c for c in by if c in population.columns]
-    w = w_ev.join(n_t, [*on, "ticker"]).select(*by, "ticker", (F.col("_e") / F.col("_p")).alias("w"))
+    w = w_ev.join(n_t, [*on, "ticker"]).select(*by, "ticker", (F.try_divide(F.col("_e"), F.col("_p"))).alias("w"))
     return population.join(w, [*on, "ticker"])
 
 
@@ -149,16 +149,16 @@ def weighted_diff_test(events: DataFrame, population: DataFrame, by: Sequence[st
     by = list(by)
     cells = _month_cells(events, population, by, month, y, w)
     tot = cells.groupBy(*by).agg(
-        F.sum("e_w").alias("We"), F.sum("p_w").alias("Wp"), (F.sum("e_y") / F.sum("e_w")).alias("mean_e"), (F.sum("p_y") / F.sum("p_w")).alias("mean_p"), F.count(F.lit(1)).alias("G"), F.sum("p_n").alias("n_p")
+        F.sum("e_w").alias("We"), F.sum("p_w").alias("Wp"), F.try_divide(F.sum("e_y"), F.sum("e_w")).alias("mean_e"), F.try_divide(F.sum("p_y"), F.sum("p_w")).alias("mean_p"), F.count(F.lit(1)).alias("G"), F.sum("p_n").alias("n_p")
     )
     j = cells.join(tot, by) if by else cells.withColumn("_t", tot.select(F.struct("*")).scalar()).select(*cells.columns, "_t.*")
-    s = (F.col("e_y") - F.col("e_w") * F.col("mean_e")) / F.col("We") - (F.col("p_y") - F.col("p_w") * F.col("mean_p")) / F.col("Wp")
+    s = F.try_divide(F.col("e_y") - F.col("e_w") * F.col("mean_e"), F.col("We")) - F.try_divide(F.col("p_y") - F.col("p_w") * F.col("mean_p"), F.col("Wp"))
     meat = j.groupBy(*by, "G", "We", "n_p", "mean_e", "mean_p").agg(F.sum(s * s).alias("_meat"))
     res = meat.withColumn("diff", F.col("mean_e") - F.col("mean_p")).withColumn(
         "se", F.sqrt(F.when(F.col("G") > 1, F.col("G") / (F.col("G") - 1) * F.col("_meat")))
-    ).withColumn("t", F.when(F.col("se") > 0, F.col("diff") / F.col("se")))
+    ).withColumn("t", F.when(F.col("se") > 0, F.try_divide(F.col("diff"), F.col("se"))))
     draws = bootstrap_draws(cells, by, month, n_boot, seed).groupBy(*by, "b").agg(F.sum("e_y").alias("ey"), F.sum("e_w").alias("ew"), F.sum("p_y").alias("py"), F.sum("p_w").alias("pw"))
-    draws = draws.filter("ew > 0 AND pw > 0").withColumn("m", F.col("ey") / F.col("ew") - F.col("py") / F.col("pw"))
+    draws = draws.filter("ew > 0 AND pw > 0").withColumn("m", F.try_divide(F.col("ey"), F.col("ew")) - F.try_divide(F.col("py"), F.col("pw")))
     pct = _percentiles(draws, by).drop("p_le_0")
     out = res.join(pct, by) if by else res.withColumn("_p", pct.select(F.struct("*")).scalar()).select(*res.columns, "_p.lo", "_p.hi")
     return out.select(*by, F.col("We").cast("long").alias("n_e"), "n_p", "G", "mean_e", "mean_p", "diff", "se", "t", "lo", "hi", student_p("t", (F.col("G") - 1).cast("double")).alias("p"))
