@@ -1,9 +1,12 @@
 """Registered queries: payload parsing and log shapes."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.plans.registry import query
+from tidemark.session import checkpoint_dir
 from tidemark.sources import landing as G
 from tidemark.sources import tables as T
 
@@ -117,3 +120,38 @@ def a15(v):
     dead = F.struct(F.lit("1999-01-01T00:00:00Z").alias("t"), F.lit(1.0).alias("c"), F.lit(0.0).alias("v"))
     payload = F.to_json(F.create_map(F.col("event_type"), F.array(bar, bar, dead)))
     return G.daily_bars_from_map(day.select(payload.alias("p")), "p").select("ticker", "d", "c", "v")
+
+
+def scratch(v):
+    """A new folder beside the session's checkpoints."""
+    return f"{checkpoint_dir(v.spark)}/tables-{uuid.uuid4().hex}"
+
+
+@query("a10_append_log", "SELECT CAST(ts_utc AS DATE) AS day, count(*) AS n, count(DISTINCT ticker) AS n_tickers FROM signals_v GROUP BY 1")
+def a10(v):
+    root, s = scratch(v), v.signals()
+    T.append_log(s.filter("status = 'fired'"), root, "signals")
+    T.append_log(s.filter("status <> 'fired'"), root, "signals")
+    return T.read_log(v.spark, root, "signals").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ticker").alias("n_tickers"))
+
+
+@query("a12_dataset_by_month", "SELECT strftime(filing_date,'%Y-%m') AS month, count(*) AS n FROM filings_v GROUP BY 1")
+def a12(v):
+    path = scratch(v)
+    T.write_by_month(v.filings(), path, "filing_date")
+    back = v.spark.read.schema("accession long, filing_date date, month string").parquet(path)
+    return back.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a13_small_results", "SELECT class_name, count(*) AS n FROM signals_v GROUP BY 1")
+def a13(v):
+    path = scratch(v)
+    T.write_small_csv(v.signals().groupBy("class_name").agg(F.count(F.lit(1)).alias("n")), path)
+    return v.spark.read.schema("class_name string, n long").option("header", True).csv(path)
+
+
+@query("a14_universe_table", "SELECT CASE WHEN event_type IN ('click','view') THEN 'A' END AS sector, count(*) AS n FROM events GROUP BY 1")
+def a14(v):
+    u = T.universe_table(v.spark, [("click", "A"), ("view", "A")])
+    e = v.table("events").select(F.col("event_type").alias("ticker")).join(u, "ticker", "left")
+    return e.groupBy("sector").agg(F.count(F.lit(1)).alias("n"))

@@ -4,8 +4,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import uniform
 from tidemark.functions.scan import first_per_key
 from tidemark.operators import text as X
+from tidemark.plans.alignment_queries import RB, regular
 from tidemark.plans.registry import query
 from tidemark.plans.text_queries import TIER, profiled
 from tidemark.schemas import TEST_TABLES
@@ -82,3 +84,48 @@ def k14(v):
     twice = K.union_feeds({"a": event_items(v), "b": event_items(v)}).withColumn("news_hash", F.col("id").cast("string"))
     s = K.with_lag(K.once_only(twice, "published_utc", memory="60 days"), "published_utc", "arrival").select("id", "lag_minutes")
     return K.run_available(s, root(v), "sightings").select("id", "lag_minutes")
+
+
+@query(
+    "k10_sliding_recency",
+    "SELECT signal_id, round((epoch_us(t) - epoch_us(max(t) OVER (PARTITION BY ticker ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '1' MICROSECOND PRECEDING)))/3.6e9, 6) AS hours_since_prev, "
+    "count(*) OVER (PARTITION BY ticker ORDER BY t RANGE BETWEEN INTERVAL '86400000000' MICROSECOND PRECEDING AND INTERVAL '1' MICROSECOND PRECEDING) AS items_prior FROM (SELECT signal_id, ticker, ts_utc AS t FROM signals_v)",
+)
+def k10(v):
+    items = event_items(v).select(F.col("id").alias("signal_id"), "ticker", F.col("published_utc").alias("t"))
+    got = K.recency_run(items, root(v), "recency", "t")
+    return got.select("signal_id", F.round("hours_since_prev", 6).alias("hours_since_prev"), "items_prior")
+
+
+@query(
+    "k11_outcome_resolution",
+    "SELECT w.signal_id, m.i IS NOT NULL AS stopped, round(CASE WHEN m.i IS NULL THEN z.close ELSE least(d.open, w.stop) END, 6) AS exit_price, epoch_us(z.ts) AS exit_us FROM wc_v w JOIN rb_v z ON z.ticker=w.ticker AND z.idx=w.exit_idx "
+    "LEFT JOIN (SELECT w.signal_id, min(b.idx) AS i FROM wc_v w JOIN rb_v b ON b.ticker=w.ticker AND b.idx BETWEEN w.entry_idx AND w.exit_idx WHERE w.stop < w.entry_price AND b.low <= w.stop GROUP BY 1) m ON m.signal_id=w.signal_id LEFT JOIN rb_v d ON d.ticker=w.ticker AND d.idx=m.i",
+    rb_v=RB,
+    wc_v="SELECT s.signal_id, s.ticker, s.entry_price, s.stop, a.idx AS entry_idx, z.idx AS exit_idx FROM (SELECT signal_id, ticker, ts_utc, entry_price, CASE WHEN class_name IN ('Buy','Strong Buy') THEN entry_price*0.4 END AS stop FROM signals_v WHERE ts_utc <= (SELECT max(ts) FROM events) - INTERVAL '125' MINUTE AND signal_id NOT IN (SELECT doc_id FROM labels)) s "
+    "ASOF JOIN rb_v a ON a.ticker=s.ticker AND a.ts >= s.ts_utc ASOF JOIN rb_v z ON z.ticker=s.ticker AND z.ts >= s.ts_utc + INTERVAL '120' MINUTE",
+)
+def k11(v):
+    s = v.signals().withColumn("stop_price", F.when(F.col("class_name").isin("Buy", "Strong Buy"), F.col("entry_price") * 0.4))
+    done = v.table("labels").select(F.col("doc_id").alias("signal_id"))
+    newest = v.table("events").agg(F.max("ts")).scalar()
+    o = K.resolve_outcomes(s.select("signal_id", "ticker", "ts_utc", "entry_price", "stop_price"), done, regular(v), newest)
+    return o.select("signal_id", (F.col("stopped") == 1).alias("stopped"), F.round("exit_price", 6).alias("exit_price"), US("exit_ts").alias("exit_us"))
+
+
+@query("k8_live_decision_log")
+def k8(v):
+    """The whole live path (K1, K4-K8) over the documents as a stream; rows-only."""
+    ev = v.table("events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("ticker"), "ts")
+    docs = stream(v, "documents").join(ev, "doc_id").select(
+        "ticker", F.regexp_extract("text", r"^[^.\n]*", 0).alias("headline"), F.col("text").alias("summary"), "source", F.col("ts").alias("published_utc"), F.timestamp_micros(US("ts") + (F.col("doc_id") % 90) * 60_000_000).alias("arrival")
+    )
+
+    def score(df):
+        u = [uniform(F.concat_ws("#", F.lit(str(k)), "news_hash")) for k in range(4)]
+        s = u[0] + u[1] + u[2] + u[3]
+        return df.withColumns({**{f"p{k}": u[k] / s for k in range(4)}, "severity": (u[3] - u[0]) * 3})
+
+    run = K.LiveRun(v.spark, root(v), regular(v), v.sessions(), X.matchers(profiled(v)), score, {"Strong Buy": 0.4, "Buy": 0.4})
+    run.run(K.union_feeds({"feed1": docs}))
+    return v.spark.read.parquet(f"{run.root}/decision_log").drop("batch_id")

@@ -84,6 +84,24 @@ def run_available(stream: DataFrame, root: str, name: str, mode: str = "append")
     return stream.sparkSession.read.parquet(f"{root}/{name}")
 
 
+def recency_run(items: DataFrame, root: str, name: str, t: str, hours: int = 24) -> DataFrame:
+    """Sliding count and time since the previous item, against everything seen up to each batch.
+
+    Items seen by earlier batches are a written table; the sliding window itself is the batch operator.
+    """
+    spark = items.sparkSession
+
+    def step(df: DataFrame, batch_id: int) -> None:
+        write_batch(df.select("ticker", F.col(t).alias("nt")), root, f"{name}_seen", batch_id)
+        # Only this and earlier batches, so a replay sees what the first run saw.
+        seen = spark.read.parquet(f"{root}/{name}_seen").filter(F.col("batch_id") <= batch_id).drop("batch_id")
+        write_batch(E.news_recency(df, seen, t, "nt", hours, inclusive_start=True), root, name, batch_id)
+
+    q = items.writeStream.option("checkpointLocation", f"{root}/_progress/{name}").trigger(availableNow=True).foreachBatch(step).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/{name}").drop("batch_id")
+
+
 @dataclass
 class LiveRun:
     """One live decision path: lag log, late gate, features, scores, decision log, signals, outcomes.
