@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark import params as P
 from tidemark.functions.hashing import hash32
-from tidemark.functions.scan import DAY, asof, first_per_key, micros, top_per_key
+from tidemark.functions.scan import DAY, asof, first_per_key, micros, position, time_block
 
 MINUTE = 60_000_000
 
@@ -253,8 +253,6 @@ def placebo_points(events: DataFrame, bars: DataFrame, news: DataFrame, t: str,
     ranks (j-1)*k+1..j*k modulo the number of candidates, so no event meets every candidate. Where an
     hour has no candidate, the same is done over all hours of the ticker.
     """
-    from tidemark.functions.scan import position, time_block
-
     lim = quiet_hours * 3600 * 1_000_000
     times = news.select("ticker", F.col(t).alias("nt")).distinct()
     prev = asof(bars.select("ticker", "ts"), times, ["ticker"], "ts", "nt", [], out="p")

@@ -1,9 +1,7 @@
 """Registered queries: alignment of events to sessions, bars and outcomes."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scan import asof, micros
 from tidemark.operators import align as A
 from tidemark.plans.registry import query
 from tidemark.sources.testviews import Views
