@@ -279,6 +279,7 @@ def classes(df: DataFrame, **options) -> DataFrame:
     labels = components(links).withColumnsRenamed({"node": "name"})
     # Names without a link are their own class; rows without shingles are alone, whatever their number.
     known = members.where("n_shingles > 0").join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")).select("doc_id", "n_shingles", "label")
-    smallest = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # Kept, so that the join deals rows anew and a hot class can be split.
+    smallest = keep(known.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
     linked_rows = known.join(smallest, "label").select("doc_id", "n_shingles", "component_id")
     return linked_rows.unionAll(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
