@@ -1,4 +1,8 @@
-"""Queries of this subpackage, one per operator, with DuckDB SQL where SQL can express them."""
+"""Queries of this subpackage, one per operator, with DuckDB SQL where SQL can express them.
+
+op1 (tokenizer), op2 (byte strings and digests over whole tables), op4 (a trained model), op5 (tokenizer) and op9 (an
+approximate search) have none; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import ngram_join, suffix_dedup
 from .common import table
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 50-byte strings of documents with smaller ids cover."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose five-word shingle sets have Jaccard similarity of 0.8 or more."""
     return ngram_join.classes(table(spark, sf_dir, "documents"))
@@ -33,6 +42,6 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS componen
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ngram_jaccard_join,)
+    f.__name__: f for f in (op2_suffix_dedup, op3_ngram_jaccard_join)
 }
 ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": _OP3}
