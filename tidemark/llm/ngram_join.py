@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Chunks, byte_view, chunk_rows, components, keep, mix, partitions, parts_of, shingle_hashes, slices, text_column
+from .common import CHUNK_BYTES, SLICE_BYTES, Chunks, byte_view, chunk_rows, components, keep, mix, partitions, parts_of, shingle_hashes, slices, text_column
 
 KEY_BITS = 39
 BITMAP_BITS = 4096
@@ -99,10 +99,10 @@ def _home_counts(chunks: Chunks, text: str, size: int) -> DataFrame:
 
 
 def _survivors(chunks: Chunks, answers: DataFrame, id_column: str, text: str, size: int, num: int, den: int) -> DataFrame:
-    """A row per document (doc_id, n, name), and per chunk and set that may have links its rare shingles and the set."""
+    """A row per document (chunk, place, doc_id, n, name); on one row per chunk and set that may have links also its rare shingles and the set."""
 
     def select(batches):
-        for _, rows, found in chunk_rows(batches):
+        for c, rows, found in chunk_rows(batches):
             sets = _sets(rows, text, size)
             names = _set_keys(sets)
             distinct = _distinct(sets, names)
@@ -120,11 +120,11 @@ def _survivors(chunks: Chunks, answers: DataFrame, id_column: str, text: str, si
                 if shared := s[head[k[head] > 0]].view(np.int64).tolist():
                     rare[i], whole[i] = shared, s.astype("<u8").tobytes()
             yield pa.RecordBatch.from_arrays(
-                [rows.field(id_column).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names), pa.array(rare, pa.list_(pa.int64())), pa.array(whole, pa.binary())],
-                names=["doc_id", "n", "name", "rare", "whole"],
+                [pa.array(np.full(len(sets), c)), pa.array(np.arange(len(sets), dtype=np.int32)), rows.field(id_column).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names), pa.array(rare, pa.list_(pa.int64())), pa.array(whole, pa.binary())],
+                names=["chunk", "place", "doc_id", "n", "name", "rare", "whole"],
             )
 
-    return chunks.with_answers(answers).mapInArrow(select, "doc_id long, n long, name long, rare array<long>, whole binary")
+    return chunks.with_answers(answers).mapInArrow(select, "chunk long, place int, doc_id long, n long, name long, rare array<long>, whole binary")
 
 
 class SignatureTree:
@@ -262,24 +262,46 @@ def set_links(rows: DataFrame, num: int, den: int, all_pairs: bool = False, bloc
     return dealt.groupBy("deal").applyInArrow(join, "a long, b long")
 
 
-def ngram_join(df: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, threshold: tuple[int, int] = (4, 5), all_pairs: bool = False, block_bytes: int = BLOCK_BYTES, chunk_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _join(chunks: Chunks, id_column: str, text: str, size: int, threshold: tuple[int, int], all_pairs: bool, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    num, den = threshold
+    rows = keep(_survivors(chunks, _home_counts(chunks, text, size), id_column, text, size, num, den), "sets")
+    return rows.select("chunk", "place", "doc_id", F.col("n").alias("n_shingles"), "name"), set_links(rows, num, den, all_pairs, block_bytes)
+
+
+def ngram_join(df: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, threshold: tuple[int, int] = (4, 5), all_pairs: bool = False, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, n_shingles, name) of every row and the links (a, b) between names of different sets.
 
     threshold is the least Jaccard similarity as a fraction. Without all_pairs the links are a spanning forest.
     """
-    num, den = threshold
-    chunks = Chunks(df.select(id_column, text), text, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}))
-    rows = keep(_survivors(chunks, _home_counts(chunks, text, size), id_column, text, size, num, den), "sets")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "name"), set_links(rows, num, den, all_pairs, block_bytes)
+    chunks = Chunks(df.select(id_column, text), text, chunk_bytes)
+    members, links = _join(chunks, id_column, text, size, threshold, all_pairs, block_bytes)
+    return members.select("doc_id", "n_shingles", "name"), links
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with shingles and the label of their class; a name without a link is its own class."""
+    labels = components(links).withColumnsRenamed({"node": "name"})
+    return members.where("n_shingles > 0").join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
 
 
 def classes(df: DataFrame, **options) -> DataFrame:
     """Per row doc_id, n_shingles and component_id, the smallest doc_id reachable by links (itself included)."""
     members, links = ngram_join(df, **options)
-    labels = components(links).withColumnsRenamed({"node": "name"})
-    # Names without a link are their own class; rows without shingles are alone, whatever their number.
-    known = members.where("n_shingles > 0").join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")).select("doc_id", "n_shingles", "label")
+    known = _labelled(members, links).select("doc_id", "n_shingles", "label")
     # Kept, so that the join deals rows anew and a hot class can be split.
     smallest = keep(known.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
     linked_rows = known.join(smallest, "label").select("doc_id", "n_shingles", "component_id")
     return linked_rows.unionAll(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def distinct_documents(df: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, threshold: tuple[int, int] = (4, 5), block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of df, all columns, without near-duplicates: the smallest id of each class stays (one row of it), and all
+    rows without shingles. Rows come back from the chunks, so texts don't move again."""
+    chunks = Chunks(df, text, chunk_bytes)
+    members, links = _join(chunks, id_column, text, size, threshold, False, block_bytes)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "chunk", "place")).alias("first")
+    stay = _labelled(members, links).groupBy("label").agg(first).select("first.chunk", "first.place")
+    stay = stay.unionAll(members.where("n_shingles = 0").select("chunk", "place"))
+    places = stay.groupBy("chunk").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    rows = chunks.table.join(places, "chunk").select(F.explode(F.transform("places", lambda p: F.element_at("rows", p + 1))).alias("row"))
+    return rows.select("row.*")
