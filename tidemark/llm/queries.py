@@ -1,13 +1,14 @@
 """Queries of this subpackage, one per operator, with DuckDB SQL where SQL can express them.
 
-op1 (tokenizer), op2 (byte strings and digests over whole tables), op4 (a trained model), op5 (tokenizer) and op9 (an
-approximate search) have none; tests hold them against brute force.
+op1 (tokenizer), op2 (byte strings and digests over whole tables), op4 (a trained model), op5 (tokenizer), op9 (an
+approximate search) and the pipeline have none; tests hold them against brute force.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, collision_ann, decontaminate, mixing, ngram_join, suffix_dedup, token_counts, token_files, toxicity, warc
@@ -157,4 +158,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_files, op2_suffix_dedup, op3_ngram_jaccard_join, op4_toxicity, op5_token_counts, op6_warc, op7_decontaminate, op8_mixing, op9_collision_ann, op10_chat)
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": _OP3, "op6_warc": _OP6, "op7_decontaminate": _OP7, "op8_mixing": _OP8, "op10_chat": _OP10}
