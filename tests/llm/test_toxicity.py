@@ -54,7 +54,7 @@ def test_held_out_accuracy(spark):
 
 def test_odd_rows(spark):
     docs, labels, _ = data(2, 600)
-    docs += [(9000, None, None, None, None), (9001, "", "", "", 0.1), (9002, " \n ", "", "", 0.1), (None, "moron scum trash", "", "", 0.1), (docs[0][0], docs[0][1], "x", "y", 0.2), (9003, "moron " * 50_000, "", "", 0.0)]
+    docs += [(9000, None, None, None, None), (9001, "", "", "", 0.1), (9002, " \n ", "", "", 0.1), (None, "moron scum trash", "", "", 0.1), (docs[0][0], docs[0][1], "x", "y", 0.2), (9003, "moron scum trash loweian " * 20_000, "", "", 0.0)]
     df = spark.createDataFrame(docs, SCHEMA)
     rows = {}
     for r in toxicity.toxicity(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect():

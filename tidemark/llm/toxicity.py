@@ -6,7 +6,8 @@ part of a batch is negative, the step goes the other way, so that the classifier
 unlabelled text are negative. pi is the share of toxic rows among the training rows that have a label.
 
 Features are a text's distinct words (trimmed of punctuation) and their first 3, 4 and 5 characters, hashed; a feature
-counts once per text and is weighted by how unevenly it is spread over both samples. Nothing but the text is an input.
+counts once per text and is weighted by how unevenly it is spread over both samples (none if the difference is within a
+few standard errors). Nothing but the text is an input.
 
 Bounded: at most MAX_POSITIVE and MAX_UNLABELLED training texts, taken by hash of doc_id, are fitted in the driver.
 Every row is scored over its whole text, in Arrow batches; weights (one float per hashed feature) are broadcast.
@@ -78,14 +79,15 @@ class NNPU:
         self.weights = np.zeros(1 << bits, np.float32)
         self.bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
 
-    def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], epochs: int = 30, batch: int = 512, rate: float = 0.03, decay: float = 1e-6, seed: int = 7) -> NNPU:
+    def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], epochs: int = 12, batch: int = 512, rate: float = 0.03, decay: float = 1e-5, least_z: float | None = None, seed: int = 7) -> NNPU:
         size = 1 << self.bits
+        least_z = min(7.0, max(3.0, len(positive) ** 0.5 / 6)) if least_z is None else least_z
         p_count = np.bincount(np.concatenate([*positive, np.zeros(0, np.int32)]), minlength=size)
         u_count = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int32)]), minlength=size)
         # Scale of a feature: how far its share in positives is from that in unlabelled texts, in standard errors.
         p, u = (p_count + 0.5) / (len(positive) + 1), (u_count + 0.5) / (len(unlabelled) + 1)
         z = np.abs(p - u) / np.sqrt(p * (1 - np.minimum(p, 0.999)) / len(positive) + u * (1 - np.minimum(u, 0.999)) / len(unlabelled))
-        scale = np.where((p_count + u_count >= 4) & (z > 3), np.minimum(z / 10, 1.0), 0).astype(np.float32)
+        scale = np.where((p_count + u_count >= 4) & (z > least_z), np.minimum(z / 10, 1.0), 0).astype(np.float32)
         rng = np.random.default_rng(seed)
         x_p, x_u = ([r[scale[r] > 0] for r in rows] for rows in (positive, unlabelled))
         w, m, v = np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, np.float32)
@@ -121,6 +123,13 @@ class NNPU:
                 w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
                 b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
         self.weights, self.bias = w * scale, float(b)
+        # The prior also says about how many unlabelled texts are toxic: 0.5 is put into the widest gap between scores
+        # around that rank, which keeps off the mass of clean texts.
+        scores = np.sort([float(self.weights[x].sum()) + self.bias for x in unlabelled])[::-1]
+        near = scores[int(0.5 * self.prior * len(scores)) : int(1.2 * self.prior * len(scores)) + 2]
+        if len(near) > 1:
+            at = int(np.argmax(near[:-1] - near[1:]))
+            self.bias -= float(near[at] + near[at + 1]) / 2
         return self
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
