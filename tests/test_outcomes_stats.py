@@ -17,7 +17,7 @@ def bars(spark):
 
 def exits(spark, rows):
     t = spark.createDataFrame([(i, "X", 1, 5, 10.0, 12.0, *r) for i, r in enumerate(rows)], "id int, ticker string, entry_idx long, exit_idx long, entry_price double, exit_price double, direction string, stop_dist double")
-    return [(r.stopped, r.exit_fill) for r in O.first_touch_exit(t, bars(spark), 4, block=2).orderBy("id").collect()]
+    return [(r.stopped, r.exit_fill) for r in O.first_touch_exit(t, bars(spark), block=2).orderBy("id").collect()]
 
 
 def test_first_touch_exit(spark):
@@ -27,10 +27,22 @@ def test_first_touch_exit(spark):
 
 def test_short_circuit_variant_misses_later_stops(spark):
     t = spark.createDataFrame([(1, "X", 1, 5, 9.0), (2, "X", 1, 5, 9.7), (3, "X", 3, 5, 9.0), (4, "X", 1, 5, None)], "id int, ticker string, entry_idx long, exit_idx long, stop_price double")
-    got = {r.id: (r.stopped, r.exit_price) for r in O.short_circuit_exit(t, bars(spark), 4, block=2).collect()}
+    got = {r.id: (r.stopped, r.exit_price) for r in O.short_circuit_exit(t, bars(spark), block=2).collect()}
     assert got == {1: (False, 12.0), 2: (True, 9.7), 3: (True, 9.0), 4: (False, 12.0)}
 
 
+def test_paths_of_any_length_and_equal_trades(spark):
+    """The only touch is 300 bars after the entry, far beyond one block."""
+    rows = [("X", i, ts("2024-01-01T10:00:00"), 10.0, 11.0, 9.0 if i != 301 else 5.0, 10.0) for i in range(1, 420)]
+    b = spark.createDataFrame(rows, "ticker string, idx long, ts timestamp, open double, high double, low double, close double")
+    t = spark.createDataFrame([("X", 1, 400, 10.0, 12.0, "long", 3.0), ("X", 1, 400, 10.0, 12.0, "long", 3.0), ("X", 1, 300, 10.0, 12.0, "long", 3.0)], "ticker string, entry_idx long, exit_idx long, entry_price double, exit_price double, direction string, stop_dist double")
+    for block in (7, 128):
+        got = sorted((r.exit_idx, r.stopped, r.exit_fill) for r in O.first_touch_exit(t, b, block).collect())
+        assert got == [(300, False, 12.0), (400, True, 7.0), (400, True, 7.0)]
+    s = t.select("ticker", "entry_idx", "exit_idx", F.lit(5.5).alias("stop_price"))
+    assert [r.stopped for r in O.short_circuit_exit(s, b).collect()] == [False] * 3
+
+
 def test_decide_order_ties_and_suppression(spark):
     df = spark.createDataFrame([(1, 0.1, 0.1, 0.4, 0.4), (2, 0.5, 0.1, 0.3, 0.1), (3, 0.25, 0.25, 0.25, 0.25)], "id int, p0 double, p1 double, p2 double, p3 double")
     probs, thr = ["p0", "p1", "p2", "p3"], {"Buy": 0.4, "Strong Buy": 0.4, "Sell": 0.45}

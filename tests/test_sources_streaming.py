@@ -100,7 +100,7 @@ def live(spark, root):
     def score(df):
         return df.withColumns({"p0": F.lit(0.1), "p1": F.lit(0.1), "p2": F.lit(0.2), "p3": F.lit(0.6), "severity": F.lit(2.0)})
 
-    return K.LiveRun(spark, root, bars, sessions(spark), X.matchers(u), score, {"Strong Buy": 0.5}, min_bars=3), bars
+    return K.LiveRun(spark, root, bars, sessions(spark), X.matchers(u), score, {"Strong Buy": 0.5}, (-1.0, 1.0), min_bars=3), bars
 
 
 def test_live_run_late_item_replay_and_outcomes(spark, tmp_path):
@@ -108,7 +108,7 @@ def test_live_run_late_item_replay_and_outcomes(spark, tmp_path):
     rows = [
         (1, "X", "Xylo Works beats", "", "s", ts("2024-03-04T15:30:00"), ts("2024-03-04T15:40:00")),
         (2, "X", "Xylo Works beats", "", "s", ts("2024-03-04T15:30:00"), ts("2024-03-04T15:50:00")),  # same item again
-        (3, "X", "Xylo late", "", "s", ts("2024-03-04T15:00:00"), ts("2024-03-04T16:01:00")),  # 61 minutes
+        (3, "X", "Xylo Works late", "", "s", ts("2024-03-04T15:00:00"), ts("2024-03-04T16:01:00")),  # 61 minutes
         (4, "X", "unrelated", "", "s", ts("2024-03-04T15:31:00"), ts("2024-03-04T15:41:00")),
     ]
     src = tmp_path / "in"
@@ -117,8 +117,9 @@ def test_live_run_late_item_replay_and_outcomes(spark, tmp_path):
     run.run(stream)
     out = spark.read.parquet(f"{run.root}/signals").collect()
     assert [(r.headline, r.status, r.class_name, r.severe) for r in out] == [("Xylo Works beats", "fired", "Strong Buy", 1)]
-    assert spark.read.parquet(f"{run.root}/retrieval_lag").count() == 3
-    assert [r.headline for r in spark.read.parquet(f"{run.root}/stale_rejections").collect()] == ["Xylo late"]
+    lags = spark.read.parquet(f"{run.root}/retrieval_lag").collect()  # the first arrival of each item, without passing mentions
+    assert sorted((r.headline, r.lag_minutes) for r in lags) == [("Xylo Works beats", 10.0), ("Xylo Works late", 61.0)]
+    assert [r.headline for r in spark.read.parquet(f"{run.root}/stale_rejections").collect()] == ["Xylo Works late"]
     # The same batch again changes nothing; the same items in a later batch are known.
     batch = K.union_feeds({"feed1": spark.createDataFrame(rows, NEWS)})
     run.process(batch, 0)
@@ -142,3 +143,34 @@ def test_dedupe_on_stream_equals_batch(spark, tmp_path):
     items = K.item_stream(spark, str(tmp_path / "in" / "*"), NEWS, "parquet", "*.parquet", files_per_batch=1).withColumn("news_hash", F.md5("headline"))
     got = K.run_available(K.once_only(items, "published_utc").select("news_hash"), str(tmp_path / "o"), "x")
     assert sorted(r.news_hash for r in got.collect()) == sorted(r.h for r in df.select(F.md5("headline").alias("h")).distinct().collect())
+
+
+def test_counts_and_sightings_do_not_depend_on_files_or_their_order(spark, tmp_path):
+    """One file, or eight in reverse order of time with two files a batch: late items count, and nothing is forgotten."""
+    rows = [(i, "XY"[i % 2], f"h{i % 37}", "", "s", ts(f"2024-03-{1 + i % 28:02d}T{i % 24:02d}:{i % 60:02d}:00"), ts(f"2024-03-30T{i % 24:02d}:00:{i % 60:02d}")) for i in range(400)]
+    rows.sort(key=lambda r: r[5], reverse=True)
+    schema = "id int, ticker string, headline string, summary string, source string, published_utc timestamp, arrival timestamp"
+    one, many = tmp_path / "one", tmp_path / "many"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(one / "part"))
+    next((one / "part").glob("*.parquet")).rename(one / "items.parquet")
+    for k in range(8):
+        spark.createDataFrame(rows[k * 50 : k * 50 + 50], schema).coalesce(1).write.mode("append").parquet(str(many / "items.parquet"))
+    seen = []
+    for folder in (one, many):
+        def items():
+            return K.table_stream(spark, str(folder), "items", schema, files_per_batch=2).withColumn("news_hash", F.md5("headline"))
+        stories = K.counted(items(), str(tmp_path / f"s{folder.name}"), "n", lambda df: K.story_counts(df, "published_utc")).collect()
+        fails = K.counted(items(), str(tmp_path / f"f{folder.name}"), "n", lambda df: K.failure_counts(df, "published_utc")).collect()
+        first = K.first_sightings(items(), str(tmp_path / f"o{folder.name}"), "n", "arrival").collect()
+        late = K.run_available(K.with_lag(items(), "published_utc", "arrival").select("id", "lag_minutes"), str(tmp_path / f"l{folder.name}"), "n").collect()
+        assert sum(r.n for r in stories) == sum(r.n for r in fails) == len(late) == 400 and len(first) == 37
+        seen.append((sorted(map(str, stories)), sorted(map(str, fails)), sorted(r.news_hash for r in first), sorted((r.id, r.lag_minutes) for r in late)))
+    assert seen[0] == seen[1]
+
+
+def test_streams_without_files_are_empty(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    items = K.table_stream(spark, str(tmp_path / "none"), "items", "ticker string, t timestamp, news_hash string")
+    assert K.run_available(items, str(tmp_path / "a"), "x").count() == 0
+    assert K.counted(items, str(tmp_path / "b"), "x", lambda df: K.story_counts(df, "t")).count() == 0
+    assert K.first_sightings(items, str(tmp_path / "c"), "x", "t").count() == 0

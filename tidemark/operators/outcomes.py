@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,28 +14,26 @@ from tidemark.operators.align import after, with_session
 
 
 # ---- stop exits -------------------------------------------------------------------------------------
-def _paths(bars: DataFrame, length: int, block: int) -> DataFrame:
-    """Bars packed by blocks of row numbers; a block also holds the `length` bars after it.
+def _along_path(trades: DataFrame, bars: DataFrame, block: int, found: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """Trades with the columns that `found(path)` aggregates over the bars of [entry_idx, exit_idx], however many.
 
-    Any window of `length` bars that starts in a block lies in that block's array, which has at most
-    block + length bars. A trade meets its whole path by one equi-join on (ticker, block), so no
-    trade x bar rows are produced.
+    Bars are packed by blocks of row numbers and a trade is dealt to each block that its own window meets, so the two
+    meet in an equi-join on (ticker, block) that makes one row per trade and block, not per bar. Equal trades stay as
+    many as they are.
     """
-    i = F.col("idx")
-    lo = F.greatest(F.ceil((i - length - block + 1) / block), F.lit(0)).cast("long")
-    copies = bars.select("ticker", "idx", "ts", "open", "high", "low", "close", F.explode(F.sequence(lo, F.floor(i / block).cast("long"))).alias("blk"))
-    return copies.groupBy("ticker", "blk").agg(F.sort_array(F.collect_list(F.struct("idx", "ts", "open", "high", "low", "close"))).alias("path"))
-
-
-def _with_path(trades: DataFrame, bars: DataFrame, length: int, block: int) -> DataFrame:
-    packed = _paths(bars, length, block)
-    t = trades.withColumn("blk", F.floor(F.col("entry_idx") / block).cast("long"))
-    j = t.join(packed, ["ticker", "blk"])
+    bar = F.struct("idx", "ts", "open", "high", "low", "close")
+    packed = bars.groupBy("ticker", F.floor(F.col("idx") / block).cast("long").alias("_blk")).agg(F.sort_array(F.collect_list(bar)).alias("_bars"))
+    first, last = (F.floor(F.col(c) / block).cast("long") for c in ("entry_idx", "exit_idx"))
+    dealt = trades.withColumn("_blk", F.explode(F.sequence(first, F.greatest(first, last))))
     lo, hi = F.col("entry_idx"), F.col("exit_idx")
-    return j.withColumn("path", F.filter("path", lambda b: (b.idx >= lo) & (b.idx <= hi))).drop("blk")
+    path = F.filter("_bars", lambda b: (b.idx >= lo) & (b.idx <= hi))
+    parts = dealt.join(packed, ["ticker", "_blk"])
+    copies = F.count_if(F.col("_blk") == first).alias("_copies")
+    met = parts.groupBy(*trades.columns).agg(copies, *[c.alias(n) for n, c in found(path).items()])
+    return met.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).filter("_copies > 0").drop("_copies")
 
 
-def first_touch_exit(trades: DataFrame, bars: DataFrame, length: int = P.HORIZON_BARS, block: int = 128) -> DataFrame:
+def first_touch_exit(trades: DataFrame, bars: DataFrame, block: int = 128) -> DataFrame:
     """Exit at the first bar of [entry, exit] that touches the stop, else at the planned exit.
 
     `trades` has entry_idx, exit_idx, entry_price, exit_price, direction, stop_dist; a missing or
@@ -45,28 +43,33 @@ def first_touch_exit(trades: DataFrame, bars: DataFrame, length: int = P.HORIZON
     t = trades.withColumn("_long", F.col("direction") == "long").withColumn(
         "_stop", F.when(F.col("_long"), F.col("entry_price") - sd).otherwise(F.col("entry_price") + sd)
     )
-    j = _with_path(t, bars, length, block)
     lng, stop = F.col("_long"), F.col("_stop")
-    touched = F.filter("path", lambda b: F.coalesce(F.when(lng, b.low <= stop).otherwise(b.high >= stop), F.lit(False)))
-    j = j.withColumn("_hit", F.try_element_at(touched, F.lit(1)))
+
+    def touched(path: Column) -> dict[str, Column]:
+        hits = F.filter(path, lambda b: F.coalesce(F.when(lng, b.low <= stop).otherwise(b.high >= stop), F.lit(False)))
+        return {"_hit": F.min(F.try_element_at(hits, F.lit(1)))}
+
+    j = _along_path(t, bars, block, touched)
     fill = F.when(lng, F.least(F.col("_hit.open"), stop)).otherwise(F.greatest(F.col("_hit.open"), stop))
     return j.withColumn("stopped", F.col("_hit").isNotNull()).withColumn(
         "exit_fill", F.when(F.col("stopped"), fill).otherwise(F.col("exit_price"))
-    ).drop("_hit", "_long", "_stop", "path")
+    ).drop("_hit", "_long", "_stop")
 
 
-def short_circuit_exit(trades: DataFrame, bars: DataFrame, length: int = P.HORIZON_BARS, block: int = 128) -> DataFrame:
+def short_circuit_exit(trades: DataFrame, bars: DataFrame, block: int = 128) -> DataFrame:
     """The live variant: only the first bar not wholly below the stop decides; it stops only if the
     stop lies inside that bar. Kept for comparison with `first_touch_exit`. Null stop: never stops."""
-    j = _with_path(trades, bars, length, block)
     stop = F.col("stop_price")
-    decider = F.try_element_at(F.filter("path", lambda b: ~F.coalesce(b.high < stop, F.lit(False))), F.lit(1))
-    j = j.withColumn("_d", decider)
+
+    def decider(path: Column) -> dict[str, Column]:
+        open_ = F.filter(path, lambda b: ~F.coalesce(b.high < stop, F.lit(False)))
+        return {"_d": F.min(F.try_element_at(open_, F.lit(1))), "_last": F.max(F.try_element_at(path, F.lit(-1)))}
+
+    j = _along_path(trades, bars, block, decider)
     hit = F.coalesce((F.col("_d.low") <= stop) & (stop <= F.col("_d.high")), F.lit(False))
-    last = F.try_element_at("path", F.lit(-1))
-    return j.withColumn("stopped", hit).withColumn("exit_price", F.when(hit, stop).otherwise(last.close)).withColumn(
-        "exit_ts", F.when(hit, F.col("_d.ts")).otherwise(last.ts)
-    ).drop("_d", "path")
+    return j.withColumn("stopped", hit).withColumn("exit_price", F.when(hit, stop).otherwise(F.col("_last.close"))).withColumn(
+        "exit_ts", F.when(hit, F.col("_d.ts")).otherwise(F.col("_last.ts"))
+    ).drop("_d", "_last")
 
 
 def wall_clock_window(trades: DataFrame, bars: DataFrame, t: str, minutes: int = P.HORIZON_BARS) -> DataFrame:

@@ -5,9 +5,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import uniform
-from tidemark.functions.scan import first_per_key
+from tidemark.operators import labels as L
 from tidemark.operators import text as X
 from tidemark.plans.alignment_queries import RB, regular
+from tidemark.plans.labels_queries import pool
 from tidemark.plans.registry import query
 from tidemark.plans.text_queries import TIER, profiled
 from tidemark.schemas import TEST_TABLES
@@ -22,7 +23,7 @@ def root(v):
 
 
 def stream(v, name):
-    return K.item_stream(v.spark, v.folder, TEST_TABLES[name], "parquet", f"{name}.parquet")
+    return K.table_stream(v.spark, v.folder, name, TEST_TABLES[name])
 
 
 def event_items(v):
@@ -34,8 +35,7 @@ def event_items(v):
 
 @query("k2_once_only_items", "SELECT md5(concat_ws('|', event_type, user_id)) AS news_hash, 1 AS one FROM events GROUP BY 1")
 def k2(v):
-    s = K.once_only(event_items(v), "published_utc", memory="60 days").select("news_hash", F.lit(1).alias("one"))
-    return K.run_available(s, root(v), "items").select("news_hash", "one")
+    return K.first_sightings(event_items(v).select("news_hash", "arrival"), root(v), "items", "arrival").select("news_hash", F.lit(1).alias("one"))
 
 
 @query("k3_late_gate", "SELECT event_id AS id, (event_id % 90)::DOUBLE AS lag_minutes, (event_id % 90 > 60)::INT AS rejected_stale FROM events")
@@ -62,16 +62,14 @@ def k5(v):
 
 @query("k9_story_windows", "SELECT event_type AS ticker, epoch_us(time_bucket(INTERVAL '15' MINUTE, ts)) AS bucket_us, count(*) AS n FROM events GROUP BY 1,2")
 def k9(v):
-    s = K.story_counts(event_items(v), "published_utc")
-    got = K.run_available(s, root(v), "stories", "update")
-    return first_per_key(got, ["ticker", "bucket"], [F.col("batch_id").desc()]).select("ticker", US("bucket").alias("bucket_us"), "n")
+    got = K.counted(event_items(v), root(v), "stories", lambda df: K.story_counts(df, "published_utc"))
+    return got.select("ticker", US("bucket").alias("bucket_us"), "n")
 
 
-@query("k12_failure_counts", "SELECT event_type AS ticker, epoch_us(time_bucket(INTERVAL '2' MINUTE, ts)) AS cycle_us, count(*) AS n FROM events WHERE value < 5 GROUP BY 1,2")
+@query("k12_failure_counts", "SELECT event_type AS ticker, epoch_us(time_bucket(INTERVAL '2' MINUTE, ts)) AS cycle_us, count(*) AS n FROM events GROUP BY 1,2")
 def k12(v):
-    s = K.failure_counts(event_items(v).filter("value < 5"), "published_utc")
-    got = K.run_available(s, root(v), "failures", "update")
-    return first_per_key(got, ["ticker", "cycle_start"], [F.col("batch_id").desc()]).select("ticker", US("cycle_start").alias("cycle_us"), "n")
+    got = K.counted(event_items(v), root(v), "failures", lambda df: K.failure_counts(df, "published_utc"))
+    return got.select("ticker", US("cycle_start").alias("cycle_us"), "n")
 
 
 @query("k13_session_gate", "SELECT e.event_id AS id FROM events e JOIN sessions_v s ON e.ts >= s.sess_start AND e.ts < s.sess_end")
@@ -82,8 +80,7 @@ def k13(v):
 @query("k14_first_sighting_lag", "SELECT event_id AS id, (event_id % 90)::DOUBLE AS lag_minutes FROM events")
 def k14(v):
     twice = K.union_feeds({"a": event_items(v), "b": event_items(v)}).withColumn("news_hash", F.col("id").cast("string"))
-    s = K.with_lag(K.once_only(twice, "published_utc", memory="60 days"), "published_utc", "arrival").select("id", "lag_minutes")
-    return K.run_available(s, root(v), "sightings").select("id", "lag_minutes")
+    return K.with_lag(K.first_sightings(twice, root(v), "sightings", "arrival"), "published_utc", "arrival").select("id", "lag_minutes")
 
 
 @query(
@@ -126,6 +123,7 @@ def k8(v):
         s = u[0] + u[1] + u[2] + u[3]
         return df.withColumns({**{f"p{k}": u[k] / s for k in range(4)}, "severity": (u[3] - u[0]) * 3})
 
-    run = K.LiveRun(v.spark, root(v), regular(v), v.sessions(), X.matchers(profiled(v)), score, {"Strong Buy": 0.4, "Buy": 0.4})
+    edges = L.threshold_edges(pool(v)[1], "score").first().edges
+    run = K.LiveRun(v.spark, root(v), regular(v), v.sessions(), X.matchers(profiled(v)), score, {"Strong Buy": 0.4, "Buy": 0.4}, (edges[0], edges[-1]))
     run.run(K.union_feeds({"feed1": docs}))
     return v.spark.read.parquet(f"{run.root}/decision_log").drop("batch_id")

@@ -1,13 +1,14 @@
 """The same operators over arriving items, with Structured Streaming.
 
-State is bounded by watermarks; where a step must remember longer (items ever seen) it anti-joins a
-written table in `foreachBatch`. Sinks write one partition per batch id, so a replayed batch
-overwrites its own output and nothing is lost or doubled when executors or the driver are lost.
+No step relies on a watermark to forget: what must be remembered (items ever seen, counts so far) is a
+written table that `foreachBatch` reads, so late and out-of-order files change nothing. Sinks write one
+partition per batch id; a replayed batch overwrites its own output and sees only what earlier batches
+wrote, so nothing is lost or doubled when executors or the driver are lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from tidemark.operators import features as E
 from tidemark.operators import labels as L
 from tidemark.operators import outcomes as O
 from tidemark.operators import text as X
+from tidemark.session import checkpoint_dir
 from tidemark.sources.tables import write_batch
 
 
@@ -28,6 +30,33 @@ def item_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "json"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).format(fmt).load(folder)
 
 
+def exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
+    """Whether the path (a folder, if asked) is there, in any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and (not folder or fs.getFileStatus(p).isDirectory())
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, schema: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
+    """A table of the folder as a stream, whether it is one file or a folder of part files."""
+    path = f"{folder}/{name}.{fmt}"
+    if exists(spark, path, folder=True):
+        return item_stream(spark, path, schema, fmt, f"*.{fmt}", files_per_batch)
+    return item_stream(spark, folder, schema, fmt, f"{name}.{fmt}", files_per_batch)
+
+
+def read_batches(spark: SparkSession, root: str, name: str, schema: str, before: int | None = None) -> DataFrame:
+    """What batches have written (only those before a batch id, if given); empty before the first."""
+    if not exists(spark, f"{root}/{name}"):
+        return spark.createDataFrame([], f"{schema}, batch_id int")
+    rows = spark.read.schema(f"{schema}, batch_id int").parquet(f"{root}/{name}")
+    return rows if before is None else rows.filter(F.col("batch_id") < before)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def union_feeds(feeds: dict[str, DataFrame]) -> DataFrame:
     """Several feeds through one path, tagged with their name."""
     out = None
@@ -38,10 +67,34 @@ def union_feeds(feeds: dict[str, DataFrame]) -> DataFrame:
 
 
 def once_only(items: DataFrame, t: str, key: str = "news_hash", memory: str = "2 days") -> DataFrame:
-    """First sighting of each key while it is within the watermark."""
+    """First sighting of each key while it is within the watermark; `first_sightings` never forgets."""
     return items.withWatermark(t, memory).dropDuplicatesWithinWatermark([key])
 
 
+def earliest(batch: DataFrame, arrival: str, key: str = "news_hash") -> DataFrame:
+    """One row per key, that of the earliest arrival (ties: the smallest row)."""
+    return batch.groupBy(key).agg(F.min(F.struct(arrival, *[c for c in batch.columns if c not in (arrival, key)])).alias("_r")).select(key, "_r.*").select(*batch.columns)
+
+
+def first_sightings(items: DataFrame, root: str, name: str, arrival: str, key: str = "news_hash") -> DataFrame:
+    """First sighting of each key ever: a batch's own earliest rows, without keys that earlier batches have seen."""
+    spark, schema = items.sparkSession, _ddl(items)
+
+    def step(df: DataFrame, batch_id: int) -> None:
+        seen = read_batches(spark, root, name, schema, batch_id).select(key)
+        write_batch(earliest(df, arrival, key).join(seen, key, "left_anti").select(*df.columns), root, name, batch_id)
+
+    _run(items, root, name, step)
+    return read_batches(spark, root, name, schema).drop("batch_id")
+
+
+def _run(stream: DataFrame, root: str, name: str, step, every: str | None = None) -> None:
+    """Run `step` on each batch: all that has arrived, or with `every` (such as '120 seconds') one batch a period until
+    the query is stopped."""
+    writer = stream.writeStream.option("checkpointLocation", f"{root}/_progress/{name}").foreachBatch(step)
+    (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start().awaitTermination()
+
+
 def with_lag(items: DataFrame, published: str, arrival: str, max_minutes: int = P.MAX_RETRIEVAL_LAG_MIN) -> DataFrame:
     """Retrieval lag and the late flag. Not a watermark: late items are recorded, not dropped."""
     lag = (F.unix_micros(arrival) - F.unix_micros(published)) / F.lit(6e7)
@@ -60,28 +113,35 @@ def enrich(items: DataFrame, patterns: DataFrame) -> DataFrame:
     return typed.withColumns(cols)
 
 
-def story_counts(items: DataFrame, t: str, minutes: int = P.STORY_MINUTES, lateness: str = "1 hour") -> DataFrame:
+def story_counts(items: DataFrame, t: str, minutes: int = P.STORY_MINUTES) -> DataFrame:
     """Items per ticker and tumbling story window."""
-    return items.withWatermark(t, lateness).groupBy("ticker", F.window(t, f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("ticker", F.col("w.start").alias("bucket"), "n")
+    return items.groupBy("ticker", F.window(t, f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("ticker", F.col("w.start").alias("bucket"), "n")
 
 
-def failure_counts(failures: DataFrame, t: str, cycle: str = "120 seconds", lateness: str = "10 minutes") -> DataFrame:
+def failure_counts(failures: DataFrame, t: str, cycle: str = "120 seconds") -> DataFrame:
     """Poll failures per ticker and cycle."""
-    return failures.withWatermark(t, lateness).groupBy("ticker", F.window(t, cycle).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("ticker", F.col("w.start").alias("cycle_start"), "n")
+    return failures.groupBy("ticker", F.window(t, cycle).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("ticker", F.col("w.start").alias("cycle_start"), "n")
+
+
+def counted(stream: DataFrame, root: str, name: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Counts (`n` per the other columns) over a whole stream: every batch writes its own, which are summed on reading.
+
+    No state and no watermark, so an item is counted however late it comes.
+    """
+    spark, out = stream.sparkSession, count(stream)
+    _run(stream, root, name, lambda df, batch_id: write_batch(count(df), root, name, batch_id))
+    by = [c for c in out.columns if c != "n"]
+    return read_batches(spark, root, name, _ddl(out)).groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def in_session(items: DataFrame, t: str, sessions: DataFrame) -> DataFrame:
     return A.with_session(items, t, sessions, "left_semi")
 
 
-def run_available(stream: DataFrame, root: str, name: str, mode: str = "append") -> DataFrame:
-    """Process everything that has arrived, one written partition per batch, and read it back."""
-    q = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/_progress/{name}").trigger(availableNow=True)
-        .foreachBatch(lambda df, batch_id: write_batch(df, root, name, batch_id)).start()
-    )
-    q.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{root}/{name}")
+def run_available(stream: DataFrame, root: str, name: str) -> DataFrame:
+    """Process everything that has arrived, one written partition per batch, and read it back (empty if nothing came)."""
+    _run(stream, root, name, lambda df, batch_id: write_batch(df, root, name, batch_id))
+    return read_batches(stream.sparkSession, root, name, _ddl(stream))
 
 
 def recency_run(items: DataFrame, root: str, name: str, t: str, hours: int = 24) -> DataFrame:
@@ -97,16 +157,17 @@ def recency_run(items: DataFrame, root: str, name: str, t: str, hours: int = 24)
         seen = spark.read.parquet(f"{root}/{name}_seen").filter(F.col("batch_id") <= batch_id).drop("batch_id")
         write_batch(E.news_recency(df, seen, t, "nt", hours, inclusive_start=True), root, name, batch_id)
 
-    q = items.writeStream.option("checkpointLocation", f"{root}/_progress/{name}").trigger(availableNow=True).foreachBatch(step).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/{name}").drop("batch_id")
+    _run(items, root, name, step)
+    return read_batches(spark, root, name, f"{_ddl(items)}, hours_since_prev double, items_prior long").drop("batch_id")
 
 
 @dataclass
 class LiveRun:
     """One live decision path: lag log, late gate, features, scores, decision log, signals, outcomes.
 
-    `score` maps a frame of features to one with class probabilities p0..p3 and `severity`.
+    `score` maps a frame of features to one with class probabilities p0..p3 and `severity`; `calibrate`, if given, maps
+    that frame to one with calibrated p0..p3. `severe_edges` are the outer label edges of the training scores
+    (`labels.threshold_edges`). Items may carry a `live_price`, which goes before the last close.
     """
 
     spark: SparkSession
@@ -116,36 +177,36 @@ class LiveRun:
     patterns: DataFrame
     score: object
     thresholds: dict[str, float]
+    severe_edges: tuple[float, float]
     suppressed_until: DataFrame | None = None
-    severe_edges: tuple[float, float] = (-1.4308, 1.48)
+    calibrate: Callable[[DataFrame], DataFrame] | None = None
     min_bars: int = P.MIN_HOURLY_BARS
     bar_payload: list[str] = field(default_factory=lambda: ["close"])
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        """A table written by earlier batches (empty before the first)."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema + ", batch_id int")
-        return self.spark.read.schema(schema + ", batch_id int").parquet(f"{self.root}/{name}")
+    def __post_init__(self) -> None:
+        checkpoint_dir(self.spark)
 
     SEEN = "news_hash string, ticker string, first_seen_utc timestamp"
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch. The items count as seen only after their signals are written."""
         h = C.news_hash(F.col("news_source"), F.col("ticker"), F.col("headline"), F.unix_seconds("published_utc"))
-        seen = self.read("seen_news", self.SEEN).filter(F.col("batch_id") != batch_id).drop("batch_id")
-        fresh = batch.withColumn("news_hash", h).dropDuplicates(["news_hash"]).join(seen, "news_hash", "left_anti")
-        tagged = with_lag(enrich(fresh, self.patterns), "published_utc", "arrival").checkpoint()
+        seen = read_batches(self.spark, self.root, "seen_news", self.SEEN, batch_id).drop("batch_id")
+        fresh = earliest(batch.withColumn("news_hash", h), "arrival").join(seen, "news_hash", "left_anti").checkpoint()
+        # Passing mentions leave before anything is logged about them.
+        tagged = with_lag(enrich(fresh, self.patterns).filter("relevance_tier < 3"), "published_utc", "arrival").checkpoint()
         write_batch(tagged.select("news_hash", "ticker", "headline", "published_utc", "arrival", "lag_minutes", "rejected_stale"), self.root, "retrieval_lag", batch_id)
-        ok = tagged.filter("relevance_tier < 3 AND rejected_stale = 0")
+        ok = tagged.filter("rejected_stale = 0")
         write_batch(tagged.filter("rejected_stale = 1").select("news_hash", "ticker", "headline", "lag_minutes"), self.root, "stale_rejections", batch_id)
 
         everything = seen.select("ticker", F.col("first_seen_utc").alias("nt")).unionByName(fresh.select("ticker", F.col("arrival").alias("nt")))
         flow = E.news_recency(ok.select("news_hash", "ticker", "published_utc"), everything, "published_utc", "nt", inclusive_start=True)
         tech = E.last_completed_hour(flow, E.hourly_indicators(E.hourly_bars(self.bars)), "published_utc", E.INDICATORS, self.min_bars)
         rows = ok.join(tech.filter("hb IS NOT NULL").select("news_hash", "hours_since_prev", "items_prior", "hb.*"), "news_hash")
-        priced = A.entry_price_with_fallback(rows.withColumn("_live", F.lit(None).cast("double")), self.bars, "_live", "arrival").drop("_live")
-        decided = L.decide(self.score(priced), ["p0", "p1", "p2", "p3"], self.thresholds)
+        live = F.col("live_price").cast("double") if "live_price" in rows.columns else F.lit(None).cast("double")
+        priced = A.entry_price_with_fallback(rows.withColumn("_live", live), self.bars, "_live", "arrival").drop("_live")
+        scored = self.score(priced)
+        decided = L.decide(self.calibrate(scored) if self.calibrate else scored, ["p0", "p1", "p2", "p3"], self.thresholds)
         if self.suppressed_until is not None:
             decided = A.suppress(decided, self.suppressed_until, "published_utc").drop("until_ts")
         else:
@@ -159,9 +220,9 @@ class LiveRun:
         write_batch(out, self.root, "signals", batch_id)
         write_batch(fresh.select("news_hash", "ticker", F.col("arrival").alias("first_seen_utc")), self.root, "seen_news", batch_id)
 
-    def run(self, items: DataFrame) -> None:
-        q = items.writeStream.option("checkpointLocation", f"{self.root}/_progress/live").trigger(availableNow=True).foreachBatch(self.process).start()
-        q.awaitTermination()
+    def run(self, items: DataFrame, every: str | None = None) -> None:
+        """Process all that has arrived, or with `every` ('120 seconds') one batch a period until stopped."""
+        _run(items, self.root, "live", self.process, every)
 
 
 def resolve_outcomes(signals: DataFrame, outcomes: DataFrame, bars: DataFrame, now, horizon_min: int = P.HORIZON_BARS, grace_min: int = 5) -> DataFrame:
@@ -171,6 +232,6 @@ def resolve_outcomes(signals: DataFrame, outcomes: DataFrame, bars: DataFrame, n
     windows = O.wall_clock_window(due, numbered, "ts_utc", horizon_min)
     last = numbered.select("ticker", F.col("idx").alias("exit_idx"), F.col("ts").alias("exit_ts"), F.col("close").alias("exit_price"))
     trades = windows.drop("exit_price").join(last, ["ticker", "exit_idx"]).withColumn("direction", F.lit("long")).withColumn("stop_dist", F.col("entry_price") - F.col("stop_price"))
-    return O.trade_returns(O.first_touch_exit(trades, numbered, horizon_min)).select(
+    return O.trade_returns(O.first_touch_exit(trades, numbered)).select(
         "signal_id", "exit_ts", F.col("exit_fill").alias("exit_price"), F.col("stopped").cast("int").alias("stopped"), F.col("gross_ret").alias("ret_gross"), F.col("net_ret").alias("ret_net")
     )
