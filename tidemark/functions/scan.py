@@ -177,13 +177,20 @@ def _count_below(df: DataFrame, value: str, parts: int) -> DataFrame:
     return rows
 
 
-def rank_rows(df: DataFrame, by: Sequence[str], value: str, tie: str, *, parts: int = 32, out: str = "pos") -> DataFrame:
+def _blocks(df: DataFrame, parts: int | None) -> int:
+    """Blocks of a scan: a power of two that follows the cluster's shuffle partitions, so work spreads with the data."""
+    if parts is None:
+        parts = max(32, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return 1 << (parts - 1).bit_length()
+
+
+def rank_rows(df: DataFrame, by: Sequence[str], value: str, tie: str, *, parts: int | None = None, out: str = "pos") -> DataFrame:
     """Exact 1-based rank by (`value`, `tie`) inside `by` (may be empty) with no single-task sort.
 
     Approximate splits only balance the blocks. A value frequent enough to span two splits is cut
     again along `tie`, a unique integer column.
     """
-    by = list(by)
+    by, parts = list(by), _blocks(df, parts)
     rows = _with_splits(df.withColumn("_val", F.col(value).cast("double")), by, "_val", tie, parts)
     rows = _count_below(rows, "_val", parts)
     heavy = (F.get("_cuts", F.col("_blk")) == F.col("_val")) & (F.get("_cuts", F.col("_blk") + 1) == F.col("_val"))
@@ -194,14 +201,20 @@ def rank_rows(df: DataFrame, by: Sequence[str], value: str, tie: str, *, parts:
     return position(placed, by, [F.col(value), F.col(tie)], F.col("_blk"), out).drop("_blk")
 
 
-def cumulative_counts(counts: DataFrame, by: Sequence[str], *, parts: int = 32) -> DataFrame:
+def cumulative_counts(counts: DataFrame, by: Sequence[str], *, parts: int | None = None) -> DataFrame:
     """Distinct values `_v` with their counts `_n`: add `_end`, rows of the group up to the value."""
-    placed = _count_below(_with_splits(counts, list(by), "_v", None, parts), "_v", parts).drop("_cuts")
-    return running_sums(placed, by, ["_v"], F.col("_blk"), {"_end": F.col("_n")}).drop("_blk")
+    return cumulative_sums(counts, by, {"_end": F.col("_n")}, parts=parts)
+
+
+def cumulative_sums(rows: DataFrame, by: Sequence[str], sums: dict[str, Column], *, parts: int | None = None) -> DataFrame:
+    """Running sums in ascending order of the distinct values `_v` of each group."""
+    parts = _blocks(rows, parts)
+    placed = _count_below(_with_splits(rows, list(by), "_v", None, parts), "_v", parts).drop("_cuts")
+    return running_sums(placed, by, ["_v"], F.col("_blk"), sums).drop("_blk")
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float], *, parts: int = 32
+    df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float], *, parts: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one output column per entry of `qs`.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import params as P
 from tidemark.functions.hashing import hash32, uniform
-from tidemark.functions.scan import exact_quantiles, first_per_key, rank_rows
+from tidemark.functions.scan import cumulative_sums, exact_quantiles, first_per_key, rank_rows
 
 
 # ---- labels ---------------------------------------------------------------------------------------
@@ -159,16 +159,18 @@ def best_trial(trials: DataFrame, value: str, params: Sequence[str], trial: str)
 
 
 # ---- thresholds and decisions ---------------------------------------------------------------------------------
-def threshold_curve(df: DataFrame, prob: str, hit: Column, step: float = 0.01) -> DataFrame:
-    """Precision, recall and fire rate of every threshold on the grid, from one pass of counts."""
-    k = round(1 / step)
-    g = df.groupBy(F.floor(F.round(F.col(prob) * k, 9)).cast("int").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("h"))
-    down = Window.orderBy(F.col("g").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy()
-    return g.select(
-        (F.col("g") / F.lit(float(k))).alias("threshold"), F.sum("n").over(down).alias("fired"), F.sum("h").over(down).alias("hits"), F.sum("n").over(tot).alias("n_all"), F.sum("h").over(tot).alias("h_all")
-    ).select(
-        "threshold", "fired", (F.try_divide(F.col("hits"), F.col("fired"))).alias("precision"), F.try_divide("hits", "h_all").alias("recall"), (F.try_divide(F.col("fired"), F.col("n_all"))).alias("fire_rate")
+def threshold_curve(df: DataFrame, prob: str, hit: Column, step: float | None = None) -> DataFrame:
+    """Precision, recall and fire rate of every threshold: each distinct probability, or those of a grid with `step`.
+
+    Probabilities are counted before anything moves; the running sums from the top are scanned in blocks.
+    """
+    k = round(1 / step) if step else None
+    value = F.floor(F.round(F.col(prob) * k, 9)) / F.lit(float(k)) if step else F.col(prob).cast("double")
+    g = df.filter(F.col(prob).isNotNull()).groupBy((-value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(hit).alias("_h"))
+    total = g.agg(F.sum("_n").alias("n_all"), F.sum("_h").alias("h_all"))
+    sums = cumulative_sums(g, [], {"fired": F.col("_n"), "hits": F.col("_h")}).withColumn("_t", total.select(F.struct("*")).scalar())
+    return sums.select(
+        (-F.col("_v")).alias("threshold"), "fired", F.try_divide("hits", "fired").alias("precision"), F.try_divide("hits", F.col("_t.h_all")).alias("recall"), F.try_divide("fired", F.col("_t.n_all")).alias("fire_rate")
     )
 
 

@@ -63,11 +63,11 @@ def grid_search(df: DataFrame, t: str, folds: DataFrame, features: Sequence[str]
     return spark.createDataFrame(rows, "trial int, value double, trees int, depth int")
 
 
-def fit_isotonic(df: DataFrame, label: str, probs: Sequence[str], grid: int = 10_000) -> list[IsotonicRegressionModel]:
-    """One isotonic map per class, fitted on counts per probability step (at most grid+1 rows)."""
+def fit_isotonic(df: DataFrame, label: str, probs: Sequence[str]) -> list[IsotonicRegressionModel]:
+    """One isotonic map per class, fitted on the counts of every distinct probability."""
     models = []
     for k, p in enumerate(probs):
-        g = df.groupBy((F.round(F.col(p) * grid) / grid).alias("x")).agg(F.avg((F.col(label) == k).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+        g = df.groupBy(F.col(p).alias("x")).agg(F.avg((F.col(label) == k).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
         models.append(IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="_c").fit(g))
     return models
 

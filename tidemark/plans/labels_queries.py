@@ -170,12 +170,25 @@ CURVE = (
 
 @query("f19_threshold_curve", "SELECT threshold, fired, round(precision,9) AS precision, round(recall,9) AS recall, round(fire_rate,9) AS fire_rate FROM curve_v", curve_v=CURVE)
 def f19(v):
-    return L.threshold_curve(v.probs(), "p3", F.col("y") == 3).select("threshold", "fired", r("precision"), r("recall"), r("fire_rate"))
+    return L.threshold_curve(v.probs(), "p3", F.col("y") == 3, 0.01).select("threshold", "fired", r("precision"), r("recall"), r("fire_rate"))
+
+
+EXACT_CURVE = (
+    "SELECT p3 AS threshold, (sum(n) OVER w)::BIGINT AS fired, (sum(h) OVER w)/(sum(n) OVER w)::DOUBLE AS precision, (sum(h) OVER w)/(sum(h) OVER ())::DOUBLE AS recall, (sum(n) OVER w)/(sum(n) OVER ())::DOUBLE AS fire_rate FROM "
+    "(SELECT p3, count(*) AS n, count(*) FILTER (y=3) AS h FROM probs_v GROUP BY 1) WINDOW w AS (ORDER BY p3 DESC)"
+)
+
+
+@query("f19_exact_curve", "SELECT round(threshold,9) AS threshold, fired, round(precision,9) AS precision, round(recall,9) AS recall, round(fire_rate,9) AS fire_rate FROM curve_v", curve_v=EXACT_CURVE)
+def f19x(v):
+    """Every distinct probability as a threshold."""
+    c = L.threshold_curve(v.probs(), "p3", F.col("y") == 3)
+    return c.select(r("threshold"), "fired", r("precision"), r("recall"), r("fire_rate"))
 
 
 @query("f19_choose_threshold", "SELECT threshold, fired, round(precision,9) AS precision, round(recall,9) AS recall, round(fire_rate,9) AS fire_rate FROM curve_v WHERE precision >= 0.45 AND fire_rate BETWEEN 0.01 AND 0.05 ORDER BY threshold LIMIT 1", curve_v=CURVE)
 def f19c(v):
-    c = L.choose_threshold(L.threshold_curve(v.probs(), "p3", F.col("y") == 3), P.PRECISION_FLOOR["Strong Buy"])
+    c = L.choose_threshold(L.threshold_curve(v.probs(), "p3", F.col("y") == 3, 0.01), P.PRECISION_FLOOR["Strong Buy"])
     return c.select("threshold", "fired", r("precision"), r("recall"), r("fire_rate"))
 
 
