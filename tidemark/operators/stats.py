@@ -83,9 +83,12 @@ def random_ticker_control(signals: DataFrame, returns: DataFrame, key: Sequence[
     """
     valid = returns.filter(F.col("adj").isNotNull()).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ticker", "adj"))).alias("v"))
     j = signals.join(valid, list(key)).withColumn("v", F.filter("v", lambda x: x.ticker != F.col("ticker"))).filter(F.size("v") > 0)
-    drawn = j.select("signal_id", "day", "v", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("b"))
-    u = hash32(F.lit(seed), F.col("b"), F.col("signal_id"))
-    picked = drawn.select("b", "day", F.element_at("v", (u % F.size("v")).cast("int") + 1).adj.alias("x"))
+    # The window's array is read where it stands; only a draw's number and return leave the row.
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.lit(n_draws - 1)),
+        lambda b: F.struct(b.alias("b"), F.element_at("v", (hash32(F.lit(seed), b, F.col("signal_id")) % F.size("v")).cast("int") + 1).adj.alias("x")),
+    )
+    picked = j.select("day", drawn.alias("d")).select("day", F.inline("d"))
     per_day = picked.groupBy("b", "day").agg(F.avg("x").alias("dm"))
     return per_day.groupBy("b").agg(F.avg("dm").alias("draw_mean"))
 

@@ -112,10 +112,9 @@ def a11(v):
     return T.with_added_columns(old, s.filter("status = 'fired'").drop("status")).select("signal_id", "news_source", "n_symbols")
 
 
-@query("a15_daily_bar_map", "SELECT event_type AS ticker, CAST(ts AS DATE) AS d, max(value) AS c, count(*)::DOUBLE AS v FROM events WHERE value > 0 GROUP BY 1,2")
+@query("a15_daily_bar_map", "SELECT event_type AS ticker, CAST(ts AS DATE) AS d, max(value) AS c, count(*)::DOUBLE AS v FROM events GROUP BY 1,2")
 def a15(v):
-    e = v.table("events").filter("value > 0")
-    day = e.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.max("value").alias("c"), F.count(F.lit(1)).cast("double").alias("v"))
+    day = v.table("events").groupBy("event_type", F.to_date("ts").alias("d")).agg(F.max("value").alias("c"), F.count(F.lit(1)).cast("double").alias("v"))
     bar = F.struct(F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), "c", "v")
     dead = F.struct(F.lit("1999-01-01T00:00:00Z").alias("t"), F.lit(1.0).alias("c"), F.lit(0.0).alias("v"))
     payload = F.to_json(F.create_map(F.col("event_type"), F.array(bar, bar, dead)))

@@ -148,7 +148,7 @@ MC = (
 
 @query(
     "h6_weighted_difference",
-    "SELECT (SELECT count(*) FROM vol_v) AS n_e, (SELECT count(*) FROM mp_v) AS n_p, G AS \"G\", round(me,5) AS mean_e, round(mp,5) AS mean_p, round(me-mp,5) AS diff, round(sqrt(G/(G-1)*(SELECT sum(power((e_y-e_w*me)/we - (p_y-p_w*mp)/wp,2)) FROM mc_v)),5) AS se, (SELECT lo FROM b_v) AS lo, (SELECT hi FROM b_v) AS hi FROM "
+    "SELECT (SELECT count(*) FROM vol_v) AS n_e, (SELECT count(*) FROM mp_v) AS n_p, G AS \"G\", round(me,5) AS mean_e, round(mp,5) AS mean_p, round(me-mp,5) AS diff, round(sqrt(G/(G-1)*(SELECT sum(power((e_y-e_w*me)/we - (p_y-p_w*mp)/wp,2)) FROM mc_v)),5) AS se, round((me-mp)/sqrt(G/(G-1)*(SELECT sum(power((e_y-e_w*me)/we - (p_y-p_w*mp)/wp,2)) FROM mc_v)),4) AS t, (SELECT lo FROM b_v) AS lo, (SELECT hi FROM b_v) AS hi FROM "
     "(SELECT count(*) AS G, sum(e_w) AS we, sum(p_w) AS wp, sum(e_y)/sum(e_w) AS me, sum(p_y)/sum(p_w) AS mp FROM mc_v)",
     **PV, mc_v=MC, b_v=boot("mc_v", "", "CASE WHEN sum(c.e_w) > 0 AND sum(c.p_w) > 0 THEN sum(c.e_y)/sum(c.e_w) - sum(c.p_y)/sum(c.p_w) END", 200, "7", "month", "round(quantile_cont(m,0.025),4) AS lo, round(quantile_cont(m,0.975),4) AS hi"),
 )
@@ -156,7 +156,7 @@ def h6(v):
     ev = voluntary(v).filter("adj_ret IS NOT NULL")
     p = S.ticker_mix_weights(population(v).filter("y IS NOT NULL"), ev)
     t = S.weighted_diff_test(ev.withColumnRenamed("adj_ret", "y"), p, [], "month", "y", "w", 200, "7")
-    return t.select("n_e", "n_p", "G", r("mean_e", 5), r("mean_p", 5), r("diff", 5), r("se", 5), r("lo", 4), r("hi", 4))
+    return t.select("n_e", "n_p", "G", r("mean_e", 5), r("mean_p", 5), r("diff", 5), r("se", 5), r("t", 4), r("lo", 4), r("hi", 4))
 
 
 CELLQ = (
@@ -249,10 +249,10 @@ def h16(v):
 
 @query(
     "h17_pooled_versus_daily",
-    "SELECT sum(n)::BIGINT AS n, round(sum(s)/sum(n),9) AS pooled_mean, round(avg(m),9) AS mean_of_day_means, round(sum(CASE WHEN m < 0 THEN n ELSE 0 END)/sum(n),9) AS share_on_negative_days FROM (SELECT day, count(*) AS n, sum(net_ret) AS s, avg(net_ret) AS m FROM trades_v WHERE direction='short' GROUP BY 1)",
+    "SELECT sum(n)::BIGINT AS n, round(sum(s)/sum(n),9) AS pooled_mean, round(avg(m),9) AS mean_of_day_means, round(sum(CASE WHEN m < 0 THEN n ELSE 0 END)/sum(n),9) AS share_on_negative_days FROM (SELECT day, count(*) AS n, sum(net_ret) AS s, avg(net_ret) AS m FROM trades_v GROUP BY 1)",
 )
 def h17(v):
-    p = S.pooled_versus_daily(v.trades().filter("direction = 'short'"), "day", "net_ret")
+    p = S.pooled_versus_daily(v.trades(), "day", "net_ret")
     return p.select("n", r("pooled_mean"), r("mean_of_day_means"), r("share_on_negative_days"))
 
 
