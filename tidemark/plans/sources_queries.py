@@ -13,22 +13,50 @@ from tidemark.sources import tables as T
 US = F.unix_micros
 
 
+def scratch(v):
+    """A new folder beside the session's checkpoints."""
+    return f"{checkpoint_dir(v.spark)}/tables-{uuid.uuid4().hex}"
+
+
+def land(v, lines, key, order, name):
+    """Landed files as a vendor leaves them: one text file per key, named by `name(key)`; returns their folder.
+
+    `lines` has key, `order` and value. The files are written by Spark in order and renamed in their store.
+    """
+    folder = scratch(v)
+    ordered = lines.repartition(key).sortWithinPartitions(key, *order)
+    ordered.select(key, "value").write.partitionBy(key).text(f"{folder}/_parts")
+    hadoop = v.spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(v.spark._jsc.hadoopConfiguration())
+    for d in fs.listStatus(hadoop.Path(f"{folder}/_parts")):
+        if d.isDirectory():
+            for f in fs.listStatus(d.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    target = hadoop.Path(f"{folder}/{name(d.getPath().getName().split('=', 1)[1])}")
+                    fs.mkdirs(target.getParent())
+                    fs.rename(f.getPath(), target)
+    return folder
+
+
 @query("a1_news_items", "SELECT news_id AS id, ticker, md5(headline) AS headline_md5, epoch_us(published_utc)//1000000 AS published_epoch FROM news_v")
 def a1(v):
-    n = v.news()
-    lines = n.select("ticker", F.to_json(F.struct(F.col("news_id").alias("id"), "headline", "summary", "source", F.unix_seconds("published_utc").alias("datetime"))).alias("j"))
-    raw = lines.select("ticker", F.from_json("j", schemas.NEWS_RAW).alias("r")).select("ticker", "r.*")
-    shaped = G.news_shape(raw.filter("id IS NOT NULL")).withColumn("k", F.col("published_epoch"))
-    ids = raw.select("id", "ticker", "headline", F.col("datetime").alias("k"))
-    return shaped.join(ids, ["ticker", "headline", "k"]).select("id", "ticker", F.md5("headline").alias("headline_md5"), "published_epoch").distinct()
+    """A JSON array per ticker, written line by line (with an empty last item, which drops), then read."""
+    item = F.to_json(F.struct(F.col("news_id").alias("id"), "headline", "summary", "source", F.unix_seconds("published_utc").alias("datetime")))
+    n = v.news().select("ticker", F.lit(1).alias("o"), F.col("news_id").alias("i"), F.concat(item, F.lit(",")).alias("value"))
+    tickers = v.news().select("ticker").distinct()
+    ends = tickers.select("ticker", F.inline(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(0).cast("long").alias("i"), F.lit(t).alias("value")) for o, t in ((0, "["), (2, "{}]"))])))
+    folder = land(v, n.unionByName(ends), "ticker", ["o", "i"], lambda t: f"{t}.json")
+    return G.news_shape(G.read_news(v.spark, f"{folder}/*.json")).select("id", "ticker", F.md5("headline").alias("headline_md5"), "published_epoch")
 
 
 @query("a2_bar_rename", "SELECT ticker, epoch_us(ts) AS ts_us, open, high, low, close, volume FROM bars_v")
 def a2(v):
     b = v.bars()
-    lines = b.select("ticker", F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "open", "high", "low", "close", "volume", F.lit(""), F.lit("")).alias("line"))
-    raw = lines.select("ticker", F.from_csv("line", F.lit(schemas.BAR_CSV)).alias("r")).select("ticker", "r.*").withColumnsRenamed(schemas.BAR_NAMES)
-    return raw.select("ticker", US("ts").alias("ts_us"), "open", "high", "low", "close", "volume")
+    line = F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "open", "high", "low", "close", "volume", F.lit(""), F.lit(""))
+    lines = b.select("ticker", F.lit(1).alias("o"), "ts", line.alias("value"))
+    head = b.select("ticker").distinct().select("ticker", F.lit(0).alias("o"), F.lit(None).cast("timestamp").alias("ts"), F.lit("t,o,h,l,c,v,n,vw").alias("value"))
+    folder = land(v, lines.withColumn("ts", F.col("ts").cast("timestamp")).unionByName(head), "ticker", ["o", "ts"], lambda t: f"{t}_1min.csv")
+    return G.read_bars(v.spark, folder).select("ticker", US("ts").alias("ts_us"), "open", "high", "low", "close", "volume")
 
 
 @query("a3_benchmark_closes", "SELECT CAST(ts AS DATE) AS d, arg_max(close, ts) AS c FROM bars_v WHERE ticker='view' GROUP BY 1")
@@ -48,9 +76,12 @@ def a4(v):
 
 @query("a5_filing_columns", "SELECT accession::VARCHAR AS accession, strftime(filing_date, '%Y-%m-%d') AS filing_date FROM filings_v")
 def a5(v):
-    f = v.filings().select(F.concat_ws("\t", F.col("accession").cast("string"), F.col("filing_date").cast("string")).alias("line"))
-    spec = "accession string, filing_date string"
-    return f.select(F.from_csv("line", F.lit(spec), {"sep": "\t"}).alias("r")).select("r.*")
+    """A TSV per quarter with a column that is pruned away."""
+    f = v.filings().withColumn("q", F.concat(F.year("filing_date").cast("string"), F.lit("q"), F.quarter("filing_date").cast("string")))
+    lines = f.select("q", F.lit(1).alias("o"), F.concat_ws("\t", F.lit("x"), F.col("accession").cast("string"), F.col("filing_date").cast("string")).alias("value"))
+    head = f.select("q").distinct().select("q", F.lit(0).alias("o"), F.lit("EXTRA\taccession\tfiling_date").alias("value"))
+    folder = land(v, lines.unionByName(head), "q", ["o"], lambda q: f"{q}/SUBMISSION.tsv")
+    return G.read_filing_table(v.spark, folder, "SUBMISSION", ["accession", "filing_date"])
 
 
 @query(
@@ -58,12 +89,14 @@ def a5(v):
     "SELECT l_orderkey AS k, l_linenumber AS n, round(CASE WHEN l_linenumber % 4 <> 0 THEN l_extendedprice/l_quantity END, 8) AS price FROM lineitem",
 )
 def a6(v):
+    """Holdings as XML files, the key in the name and the line in the identifier."""
     li = v.table("lineitem")
     bal = F.when(F.col("l_linenumber") % 4 == 0, F.lit("N/A")).otherwise(F.col("l_quantity").cast("string"))
-    xml = F.concat(F.lit("<h><valUSD>"), F.col("l_extendedprice").cast("string"), F.lit("</valUSD><balance>"), bal, F.lit("</balance></h>"))
-    rows = li.select("l_orderkey", "l_linenumber", F.from_xml(xml, F.lit("valUSD string, balance string")).alias("h"))
-    price = F.try_divide(F.expr("try_cast(h.valUSD AS DOUBLE)"), F.expr("try_cast(h.balance AS DOUBLE)"))
-    return rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.round(price, 8).alias("price"))
+    folder = scratch(v)
+    rows = li.select(F.col("l_orderkey").cast("string").alias("name"), F.col("l_linenumber").cast("string").alias("cusip"), bal.alias("balance"), F.col("l_extendedprice").cast("string").alias("valUSD"))
+    rows.write.option("rootTag", "invstOrSecs").option("rowTag", "invstOrSec").xml(folder)
+    h = G.read_holdings(v.spark, folder)
+    return h.select(F.col("name").cast("long").alias("k"), F.col("cusip").cast("long").alias("n"), F.round("price", 8).alias("price"))
 
 
 @query(
@@ -121,11 +154,6 @@ def a15(v):
     return G.daily_bars_from_map(day.select(payload.alias("p")), "p").select("ticker", "d", "c", "v")
 
 
-def scratch(v):
-    """A new folder beside the session's checkpoints."""
-    return f"{checkpoint_dir(v.spark)}/tables-{uuid.uuid4().hex}"
-
-
 @query("a10_append_log", "SELECT CAST(ts_utc AS DATE) AS day, count(*) AS n, count(DISTINCT ticker) AS n_tickers FROM signals_v GROUP BY 1")
 def a10(v):
     root, s = scratch(v), v.signals()

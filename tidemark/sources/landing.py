@@ -19,7 +19,7 @@ def read_news(spark: SparkSession, folder: str) -> DataFrame:
 def news_shape(raw: DataFrame) -> DataFrame:
     """Common news shape; rows without headline or time drop."""
     return raw.dropna(subset=["headline", "datetime"]).select(
-        "ticker", "headline", "summary", "source", "url", F.col("datetime").cast("long").alias("published_epoch"),
+        "id", "ticker", "headline", "summary", "source", "url", F.col("datetime").cast("long").alias("published_epoch"),
         F.timestamp_seconds("datetime").alias("published_utc"),
     )
 
@@ -48,7 +48,7 @@ def sessions_from_calendar(calendar: DataFrame) -> DataFrame:
 
 
 def read_filing_table(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
-    """One of the filing TSVs over all quarter folders, pruned to `columns`; all values are text."""
+    """One of the filing TSVs over all quarter folders, pruned to `columns`; all values are text, by the header's names."""
     return spark.read.option("header", True).option("sep", "\t").csv(f"{folder}/*/{name}.tsv").select(*columns)
 
 
