@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import params as P
 from tidemark.functions.hashing import hash32
-from tidemark.functions.scan import exact_quantiles, top_per_key
+from tidemark.functions.scan import DAY, asof, exact_quantiles, top_per_key
 from tidemark.operators.stats import wilson
 
 ET = "America/New_York"
@@ -179,18 +179,25 @@ def transitions(old: DataFrame, new: DataFrame, key: str, cls: str) -> DataFrame
     return j.groupBy("old", "new").agg(n(), F.count_if(F.col("old") != F.col("new")).alias("n_flipped"))
 
 
-def action_impact(rows: DataFrame, actions: DataFrame, date: str, value: str, look_back_days: int) -> DataFrame:
-    """Count and median of a feature for rows whose look-back window spans an action, and for the others.
+def with_last_action(rows: DataFrame, actions: DataFrame, date: str, out: str = "last_ex_date") -> DataFrame:
+    """The latest action date of the ticker on or before `date`, by one as-of join."""
+    t = actions.select("ticker", F.col("ex_date").cast("timestamp").alias("_t")).distinct()
+    return asof(rows.withColumn("_d", F.col(date).cast("timestamp")), t, ["ticker"], "_d", "_t", ["_t"], block=DAY, out="_a").withColumn(out, F.to_date("_a._t")).drop("_a", "_d")
 
-    Actions become a per-ticker array of distinct dates (bounded by the calendar).
-    """
-    ex = actions.groupBy("ticker").agg(F.sort_array(F.collect_set("ex_date")).alias("_ex"))
-    d = F.col(date)
-    hit = F.exists("_ex", lambda x: (x <= d) & (x > F.date_sub(d, look_back_days)))
-    j = rows.join(ex, "ticker", "left").withColumn("inside", F.coalesce(hit, F.lit(False)))
+
+def action_impact(rows: DataFrame, actions: DataFrame, date: str, value: str, look_back_days: int) -> DataFrame:
+    """Count and median of a feature for rows whose look-back window spans an action, and for the others."""
+    j = with_last_action(rows, actions, date, "_ex")
+    j = j.withColumn("inside", F.coalesce(F.col("_ex") > F.date_sub(F.col(date), look_back_days), F.lit(False))).drop("_ex")
     return j.groupBy("inside").agg(n()).join(exact_quantiles(j, ["inside"], value, {"median": 0.5}), "inside", "left")
 
 
+def actions_in_windows(windows: DataFrame, actions: DataFrame, start: str, end: str) -> DataFrame:
+    """Return windows with `spans_action`: whether a split of the ticker falls after `start`, up to `end`."""
+    j = with_last_action(windows, actions, end, "_ex")
+    return j.withColumn("spans_action", F.coalesce(F.col("_ex") > F.col(start), F.lit(False))).drop("_ex")
+
+
 def extreme_moves(daily: DataFrame, limit: float = 0.5) -> DataFrame:
     move = F.try_divide(F.col("c"), F.lag("c").over(Window.partitionBy("ticker").orderBy("d"))) - 1
     return daily.withColumn("move", move).filter(F.abs("move") > limit)
@@ -219,10 +226,18 @@ def shadow_status(signals: DataFrame, t: str, entry_source: str) -> DataFrame:
     )
 
 
-def summary_only_fired(tagged_full: DataFrame, tagged_headline: DataFrame, key: str) -> DataFrame:
-    """Rows relevant by headline and summary but not by headline alone."""
+def summary_only_fired(tagged_full: DataFrame, tagged_headline: DataFrame, key: str, fired: DataFrame) -> DataFrame:
+    """Fired rows (`fired` has their keys) relevant by headline and summary but not by headline alone."""
     j = tagged_full.filter("relevance_tier < 3").select(key).join(tagged_headline.filter("relevance_tier < 3").select(key), key, "left_anti")
-    return j.agg(n())
+    return j.join(fired.select(key), key, "left_semi").agg(n())
+
+
+def dataset_counts(tagged: DataFrame, typed: DataFrame, valid: dict[str, Column]) -> DataFrame:
+    """Rows by relevance tier and news type, and rows for which each named condition holds: (kind, value, n)."""
+    tiers = tagged.groupBy(F.col("relevance_tier").cast("string").alias("value")).agg(n()).select(F.lit("tier").alias("kind"), "value", "n")
+    types = typed.groupBy(F.col("news_type").alias("value")).agg(n()).select(F.lit("type").alias("kind"), "value", "n")
+    checks = typed.agg(F.array(*[F.struct(F.lit(k).alias("value"), F.count_if(c).alias("n")) for k, c in valid.items()]).alias("_c"))
+    return tiers.unionByName(types).unionByName(checks.select(F.inline("_c")).select(F.lit("valid").alias("kind"), "value", "n"))
 
 
 def calibration_shape(steps: DataFrame) -> DataFrame:

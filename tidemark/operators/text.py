@@ -26,8 +26,14 @@ NEWS_TYPES = [
 ]
 
 # Default word lists of the sentiment scorer.
-POSITIVE = "beat beats gain gains growth strong record surge rise rises upgrade profit win wins raise raises the and of".split()
-NEGATIVE = "miss misses loss losses weak fall falls drop drops downgrade probe lawsuit cut cuts recall on in la".split()
+POSITIVE = [
+    "beat", "beats", "best", "bullish", "gain", "gains", "growth", "high", "improve", "improved", "improves", "jump", "jumps", "optimistic", "outperform", "profit", "profitable",
+    "profits", "raise", "raised", "raises", "rally", "rebound", "record", "rise", "rises", "soar", "soars", "strong", "stronger", "surge", "surges", "upbeat", "upgrade", "upgraded", "win", "wins",
+]
+NEGATIVE = [
+    "bankruptcy", "bearish", "cut", "cuts", "decline", "declines", "default", "disappointing", "downgrade", "downgraded", "drop", "drops", "fall", "falls", "fraud", "investigation", "lawsuit",
+    "layoffs", "loss", "losses", "low", "miss", "misses", "plunge", "plunges", "probe", "recall", "shortfall", "sink", "sinks", "slump", "tumble", "tumbles", "warning", "weak", "weaker",
+]
 
 PRIMARY, SECONDARY, PASSING = 1, 2, 3
 EDGE_L, EDGE_R = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
@@ -106,14 +112,14 @@ def normalized_sentiment(pos: Column, neg: Column, neu: Column) -> dict[str, Col
     return {"p_pos": pos / safe, "p_neg": neg / safe, "p_neu": neu / safe, "sent_score": (pos - neg) / safe}
 
 
-def word_list_scorer(texts: DataFrame) -> DataFrame:
+def word_list_scorer(texts: DataFrame, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> DataFrame:
     """Default scorer: distinct word-list hits in the whole text, plus one neutral unit."""
     words = F.split(F.lower("text"), r"[^\p{L}]+")
 
     def hits(vocabulary: Sequence[str]) -> Column:
         return F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in vocabulary]))).cast("double")
 
-    return texts.select("text_hash", hits(POSITIVE).alias("pos"), hits(NEGATIVE).alias("neg"), F.lit(1.0).alias("neu"))
+    return texts.select("text_hash", hits(positive).alias("pos"), hits(negative).alias("neg"), F.lit(1.0).alias("neu"))
 
 
 def pandas_scorer(fn: Callable[[pd.Series], pd.DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -127,6 +133,9 @@ def pandas_scorer(fn: Callable[[pd.Series], pd.DataFrame]) -> Callable[[DataFram
     return lambda texts: texts.select("text_hash", "text").mapInPandas(run, "text_hash string, pos double, neg double, neu double")
 
 
+SCORES = "text_hash string, p_pos double, p_neg double, p_neu double, sent_score double"
+
+
 def score_with_cache(items: DataFrame, text: str, cache: DataFrame | None,
                      scorer: Callable[[DataFrame], DataFrame] = word_list_scorer) -> tuple[DataFrame, DataFrame]:
     """Score each distinct text once. Returns (items with scores, rows to append to the cache)."""

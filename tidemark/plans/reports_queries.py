@@ -8,7 +8,7 @@ from tidemark.operators import text as X
 from tidemark.plans.features_queries import AV, SIG, EVM, STUDY_EV, TR, events_with_regime
 from tidemark.plans.labels_queries import DEC, PRED, decisions, predicted
 from tidemark.plans.statistics_queries import PCT, boot
-from tidemark.plans.text_queries import TIER, profiled
+from tidemark.plans.text_queries import PROSE_TYPES, TIER, _type_sql, profiled
 from tidemark.plans.registry import query
 
 US = F.unix_micros
@@ -237,6 +237,28 @@ def j20(v):
     return R.extreme_moves(v.daily()).select("ticker", "d", r("move", 7))
 
 
+@query(
+    "j20_splits_in_windows",
+    "SELECT accession, EXISTS (SELECT 1 FROM filings_v f WHERE f.document_type='4/A' AND f.issuer=e.issuer AND f.filing_date > e.filing_date AND f.filing_date <= e.filing_date + 30) AS spans_action FROM filings_v e",
+)
+def j20s(v):
+    act = v.filings().filter("document_type = '4/A'").select(F.concat(F.lit("S"), "issuer").alias("ticker"), F.col("filing_date").alias("ex_date"))
+    w = v.filings().select("accession", F.concat(F.lit("S"), "issuer").alias("ticker"), "filing_date", F.date_add("filing_date", 30).alias("exit_date"))
+    return R.actions_in_windows(w, act, "filing_date", "exit_date").select("accession", "spans_action")
+
+
+@query(
+    "j21_dataset_counts",
+    "SELECT 'tier' AS kind, tier::VARCHAR AS value, count(*) AS n FROM tier_v GROUP BY 2 UNION ALL SELECT 'type', news_type, count(*) FROM type_v GROUP BY 2 "
+    "UNION ALL SELECT 'valid', 'with headline', count(*) FILTER (headline <> '') FROM news_v UNION ALL SELECT 'valid', 'with time', count(published_utc) FROM news_v",
+    tier_v=TIER, type_v=_type_sql(PROSE_TYPES),
+)
+def j21c(v):
+    news = v.news()
+    typed = news.withColumn("news_type", X.news_type("headline", "summary", PROSE_TYPES))
+    return R.dataset_counts(X.relevance_tier(news, X.matchers(profiled(v))), typed, {"with headline": F.col("headline") != "", "with time": F.col("published_utc").isNotNull()})
+
+
 @query("j21_dataset_summary", "SELECT ticker, count(*) AS n, count(sigma) AS n_sigma, round(quantile_cont(sigma,0.5),7) AS median_sigma FROM sigma_v GROUP BY 1", **AV, sigma_v=SIG)
 def j21(v):
     from tidemark.operators import features as E
@@ -266,12 +288,12 @@ def j24(v):
     return R.shadow_status(s, "ts_utc", "entry_source").withColumn("proxy_share", F.round("proxy_share", 9))
 
 
-@query("j25_summary_only", "SELECT count(*) AS n FROM tier_v WHERE tier = 2", tier_v=TIER)
+@query("j25_summary_only", "SELECT count(*) AS n FROM tier_v WHERE tier = 2 AND news_id IN (SELECT signal_id FROM signals_v WHERE status = 'fired')", tier_v=TIER)
 def j25(v):
     m = X.matchers(profiled(v))
     full = X.relevance_tier(v.news(), m)
     head = X.relevance_tier(v.news().withColumn("summary", F.lit(None).cast("string")), m)
-    return R.summary_only_fired(full, head, "news_id")
+    return R.summary_only_fired(full, head, "news_id", v.signals().filter("status = 'fired'").select(F.col("signal_id").alias("news_id")))
 
 
 @query(

@@ -8,7 +8,7 @@ wrote, so nothing is lost or doubled when executors or the driver are lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,15 +102,8 @@ def with_lag(items: DataFrame, published: str, arrival: str, max_minutes: int =
 
 
 def enrich(items: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Stateless columns: relevance tier (stream-static join), news type and word-list sentiment."""
-    typed = X.relevance_tier(items, patterns).withColumn("news_type", X.news_type("headline", "summary"))
-    words = F.split(F.lower("headline"), r"[^\p{L}]+")
-
-    def hits(vocabulary: Sequence[str]):
-        return F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in vocabulary]))).cast("double")
-
-    cols = X.normalized_sentiment(hits(X.POSITIVE), hits(X.NEGATIVE), F.lit(1.0))
-    return typed.withColumns(cols)
+    """Stateless columns: relevance tier (stream-static join) and news type."""
+    return X.relevance_tier(items, patterns).withColumn("news_type", X.news_type("headline", "summary"))
 
 
 def story_counts(items: DataFrame, t: str, minutes: int = P.STORY_MINUTES) -> DataFrame:
@@ -180,6 +173,7 @@ class LiveRun:
     severe_edges: tuple[float, float]
     suppressed_until: DataFrame | None = None
     calibrate: Callable[[DataFrame], DataFrame] | None = None
+    sentiment: Callable[[DataFrame], DataFrame] = X.word_list_scorer
     min_bars: int = P.MIN_HOURLY_BARS
     bar_payload: list[str] = field(default_factory=lambda: ["close"])
 
@@ -194,7 +188,12 @@ class LiveRun:
         seen = read_batches(self.spark, self.root, "seen_news", self.SEEN, batch_id).drop("batch_id")
         fresh = earliest(batch.withColumn("news_hash", h), "arrival").join(seen, "news_hash", "left_anti").checkpoint()
         # Passing mentions leave before anything is logged about them.
-        tagged = with_lag(enrich(fresh, self.patterns).filter("relevance_tier < 3"), "published_utc", "arrival").checkpoint()
+        relevant = enrich(fresh, self.patterns).filter("relevance_tier < 3")
+        # The batch scorer over the headline, each text once: earlier batches' scores are a table.
+        cache = read_batches(self.spark, self.root, "scores", X.SCORES, batch_id).drop("batch_id")
+        scored, new = X.score_with_cache(relevant, "headline", cache, self.sentiment)
+        tagged = with_lag(scored, "published_utc", "arrival").checkpoint()
+        write_batch(new, self.root, "scores", batch_id)
         write_batch(tagged.select("news_hash", "ticker", "headline", "published_utc", "arrival", "lag_minutes", "rejected_stale"), self.root, "retrieval_lag", batch_id)
         ok = tagged.filter("rejected_stale = 0")
         write_batch(tagged.filter("rejected_stale = 1").select("news_hash", "ticker", "headline", "lag_minutes"), self.root, "stale_rejections", batch_id)
