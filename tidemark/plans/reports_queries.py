@@ -126,17 +126,22 @@ CT = "SELECT 1 AS one, day, sum(excess) AS c_sum, count(*) AS c_n, avg(excess) A
 
 @query(
     "j11_decision_rule",
-    "SELECT lo > 0 AS ci_above_zero, p < 0.05 AS p_small, t >= 2 AS t_large, drift <= 0.10 AS calibrated, stop BETWEEN 0.1 AND 0.6 AND 0.1 < 0.2 AS sane, CASE WHEN lo > 0 AND p < 0.05 AND t >= 2 AND drift <= 0.1 AND stop BETWEEN 0.1 AND 0.6 THEN 'promote' ELSE 'keep watching' END AS verdict FROM "
-    "(SELECT lo, p_le_0 AS p FROM b_v), (SELECT avg(c_mean)/(stddev_samp(c_mean)/sqrt(count(*))) AS t FROM ct_v), (SELECT abs(avg(net_ret)) AS drift, avg(stopped::INT) AS stop FROM trades_v)",
+    "SELECT lo > 0 AS ci_above_zero, p < 0.05 AS p_small, t >= 2 AS t_large, drift <= 0.10 AS calibrated, stop BETWEEN 0.1 AND 0.6 AND proxy < 0.2 AS sane, CASE WHEN lo > 0 AND p < 0.05 AND t >= 2 AND drift <= 0.1 AND stop BETWEEN 0.1 AND 0.6 AND proxy < 0.2 THEN 'promote' ELSE 'keep watching' END AS verdict FROM "
+    "(SELECT lo, p_le_0 AS p FROM b_v), (SELECT avg(c_mean)/(stddev_samp(c_mean)/sqrt(count(*))) AS t FROM ct_v), (SELECT avg(stopped::INT) AS stop FROM trades_v), "
+    "(SELECT abs(avg(p3) - avg((y=3)::INT)) AS drift FROM (SELECT *, ntile(10) OVER (ORDER BY p3, id) AS bin FROM probs_v) WHERE bin = 10), (SELECT avg((n_symbols=3)::INT) AS proxy FROM signals_v WHERE status='fired')",
     ct_v=CT, b_v=boot("ct_v", "", "avg(c.c_mean)", 100, "42", "day", "quantile_cont(m,0.025) AS lo, avg((m<=0)::INT) AS p_le_0"),
 )
 def j11(v):
+    """Drift is the gap of the top bin of the reliability table; the proxy share is that of fired signals."""
+    from tidemark.operators import labels as L
+
     t = v.trades()
     st = S.cluster_stats(t, [], "day", "excess").select("t")
-    b = S.cluster_bootstrap(t, [], "day", "excess", 100, "42")
-    one = b.withColumn("t", st.scalar())
-    agg = t.agg(F.abs(F.avg("net_ret")).alias("d"), F.avg(F.col("stopped").cast("double")).alias("s"))
-    return R.decision_rule(one, agg.select("d").scalar(), agg.select("s").scalar(), F.lit(0.1))
+    one = S.cluster_bootstrap(t, [], "day", "excess", 100, "42").withColumn("t", st.scalar())
+    stop = t.agg(F.avg(F.col("stopped").cast("double")).alias("s"))
+    top = L.reliability(v.probs(), "p3", F.col("y") == 3, "id", 10).filter("bin = 10")
+    proxy = v.signals().filter("status = 'fired'").agg(F.avg((F.col("n_symbols") == 3).cast("double")).alias("p"))
+    return R.decision_rule(one, top.select(F.abs(F.col("mean_pred") - F.col("emp_freq"))).scalar(), stop.scalar(), proxy.scalar())
 
 
 @query(

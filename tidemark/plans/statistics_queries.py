@@ -160,7 +160,7 @@ def h6(v):
 
 
 CELLQ = (
-    "SELECT c AS cell, h, month, adj_ret FROM (SELECT *, strftime(filing_date,'%Y-%m') AS month, unnest(list_filter(['all', CASE WHEN NOT is_10b5_1 THEN 'voluntary' END, CASE WHEN is_10b5_1 THEN 'planned' END, CASE WHEN NOT is_10b5_1 THEN 'role=' || role END, CASE WHEN NOT is_10b5_1 THEN 'size=' || size_bucket END, "
+    "SELECT c AS cell, h, month, ticker, adj_ret FROM (SELECT *, strftime(filing_date,'%Y-%m') AS month, unnest(list_filter(['all', CASE WHEN NOT is_10b5_1 THEN 'voluntary' END, CASE WHEN is_10b5_1 THEN 'planned' END, CASE WHEN NOT is_10b5_1 THEN 'role=' || role END, CASE WHEN NOT is_10b5_1 THEN 'size=' || size_bucket END, "
     "CASE WHEN NOT is_10b5_1 THEN 'cluster=' || is_cluster::VARCHAR END], lambda x: x IS NOT NULL)) AS c FROM scored_ev_v) WHERE adj_ret IS NOT NULL"
 )
 
@@ -176,6 +176,44 @@ def h9(v):
     return s.select("cell", "h", "n", F.col("n_clusters").alias("n_months"), r("pooled_mean", 5, "mean"), r("t", 5))
 
 
+CELLC = "SELECT cell, h, month, sum(adj_ret) AS c_sum, count(*) AS c_n, avg(adj_ret) AS c_mean FROM cell_v GROUP BY 1,2,3"
+
+
+@query(
+    "h9_cells_versus_zero",
+    "SELECT c.cell, c.h, c.n, c.n_months, c.mean, c.t, m.median, m.win, b.lo, b.hi FROM (SELECT cell, h, sum(c_n)::BIGINT AS n, count(*) AS n_months, round(sum(c_sum)/sum(c_n),5) AS mean, round(avg(c_mean)/(stddev_samp(c_mean)/sqrt(count(*))),5) AS t FROM cellc_v GROUP BY 1,2) c "
+    "JOIN (SELECT cell, h, round(quantile_cont(adj_ret,0.5),6) AS median, round(avg((adj_ret>0)::INT),9) AS win FROM cell_v GROUP BY 1,2) m ON m.cell=c.cell AND m.h=c.h JOIN b_v b ON b.cell=c.cell AND b.h=c.h",
+    **FV, cell_v=CELLQ, cellc_v=CELLC, b_v=boot("cellc_v", "cell,h", "sum(c.c_sum)/sum(c.c_n)", 50, "42", "month", "round(quantile_cont(m,0.025),5) AS lo, round(quantile_cont(m,0.975),5) AS hi"),
+)
+def h9z(v):
+    """Every cell and horizon against zero."""
+    c = v.keep(S.study_cells(scored(v)).withColumn("month", F.date_format("filing_date", "yyyy-MM")).filter("adj_ret IS NOT NULL"))
+    z = S.vs_zero(c, ["cell", "h"], "month", "adj_ret", 50, "42")
+    return z.select("cell", "h", "n", "n_months", r("mean", 5), r("t", 5), r("median", 6), r("win"), r("lo", 5), r("hi", 5))
+
+
+C20 = "SELECT * FROM cell_v WHERE h = 20"
+MCC = (
+    "SELECT coalesce(e.cell, p.cell) AS cell, coalesce(e.month, p.month) AS month, coalesce(e.w,0) AS e_w, coalesce(e.y,0) AS e_y, coalesce(p.w,0) AS p_w, coalesce(p.y,0) AS p_y FROM (SELECT cell, month, count(*)::DOUBLE AS w, sum(adj_ret) AS y FROM c20_v GROUP BY 1,2) e FULL JOIN "
+    "(SELECT k.cell, p.month, sum(k.n/c.n::DOUBLE) AS w, sum(k.n/c.n::DOUBLE*p.y) AS y FROM (SELECT * FROM elig_v WHERE y IS NOT NULL) p JOIN (SELECT cell, ticker, count(*) AS n FROM c20_v GROUP BY 1,2) k ON k.ticker=p.ticker JOIN (SELECT ticker, count(*) AS n FROM elig_v WHERE y IS NOT NULL GROUP BY 1) c ON c.ticker=p.ticker GROUP BY 1,2) p ON p.month=e.month AND p.cell=e.cell"
+)
+
+
+@query(
+    "h9_cells_difference",
+    "SELECT x.cell, round(me,5) AS mean_e, round(mp,5) AS mean_p, round(me-mp,5) AS diff, round(sqrt(G/(G-1)*sum(power((e_y-e_w*me)/we - (p_y-p_w*mp)/wp,2))),5) AS se FROM mcc_v x JOIN "
+    "(SELECT cell, count(*) AS G, sum(e_w) AS we, sum(p_w) AS wp, sum(e_y)/sum(e_w) AS me, sum(p_y)/sum(p_w) AS mp FROM mcc_v GROUP BY 1) t ON t.cell=x.cell GROUP BY x.cell, me, mp, G",
+    **{**PV, "cell_v": CELLQ, "c20_v": C20, "mcc_v": MCC},
+)
+def h9d(v):
+    """Every cell at 20 days against the population, weighted to that cell's own mix of tickers."""
+    c = S.study_cells(scored(v)).filter("h = 20 AND adj_ret IS NOT NULL").withColumn("month", F.date_format("filing_date", "yyyy-MM"))
+    events = v.keep(c.select("cell", "ticker", "month", F.col("adj_ret").alias("y")))
+    p = S.cell_mix_weights(population(v).filter("y IS NOT NULL"), events, ["cell"], "month", "y")
+    t = S.weighted_diff_test(events, p, ["cell"], "month", "y", "w", 50, "7")
+    return t.select("cell", r("mean_e", 5), r("mean_p", 5), r("diff", 5), r("se", 5))
+
+
 @query(
     "h10_wilson_interval",
     "SELECT ticker, round((p + 3.8416/(2*n))/(1+3.8416/n) - 1.96*sqrt(p*(1-p)/n + 3.8416/(4*n*n))/(1+3.8416/n),9) AS lo, round((p + 3.8416/(2*n))/(1+3.8416/n) + 1.96*sqrt(p*(1-p)/n + 3.8416/(4*n*n))/(1+3.8416/n),9) AS hi FROM (SELECT ticker, count(*)::DOUBLE AS n, avg((net_ret>0)::INT) AS p FROM trades_v GROUP BY 1)",
