@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Prefixes, each_text, keep, mix, words
+from .common import Prefixes, byte_view, each_text, keep, mix, words
 
-MAX_POSITIVE = 12_000
-MAX_UNLABELLED = 24_000
+MAX_POSITIVE = 8_000
+MAX_UNLABELLED = 16_000
 FOLDS = 5
 BITS = 20
 LENGTHS = (3, 4, 5)
@@ -71,6 +71,26 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Features:
+    """Feature ids of texts, one after the other, and the offsets of the texts."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray):
+        self.ids, self.at = ids, at
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def only(self, wanted: np.ndarray) -> Features:
+        kept = wanted[self.ids]
+        return Features(self.ids[kept], np.concatenate(([0], np.cumsum(kept)))[self.at])
+
+    def rows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the picked texts, and which pick each belongs to."""
+        n = self.at[pick + 1] - self.at[pick]
+        of = np.repeat(np.arange(len(pick)), n)
+        return self.ids[np.arange(len(of)) + np.repeat(self.at[pick] - (np.cumsum(n) - n), n)], of
+
+
 class NNPU:
     """Weights of a linear classifier over hashed features and its bias."""
 
@@ -79,32 +99,26 @@ class NNPU:
         self.weights = np.zeros(1 << bits, np.float32)
         self.bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
 
-    def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], epochs: int = 12, batch: int = 512, rate: float = 0.03, decay: float = 1e-5, least_z: float | None = None, seed: int = 7) -> NNPU:
-        size = 1 << self.bits
-        least_z = min(7.0, max(3.0, len(positive) ** 0.5 / 6)) if least_z is None else least_z
-        p_count = np.bincount(np.concatenate([*positive, np.zeros(0, np.int32)]), minlength=size)
-        u_count = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int32)]), minlength=size)
+    def fit(self, positive: Features, unlabelled: Features, epochs: int = 12, batch: int = 512, rate: float = 0.03, decay: float = 1e-5, least_z: float | None = None, seed: int = 7) -> NNPU:
+        size, n_p, n_u = 1 << self.bits, len(positive), len(unlabelled)
+        least_z = min(7.0, max(3.0, n_p**0.5 / 6)) if least_z is None else least_z
+        p_count, u_count = (np.bincount(x.ids, minlength=size) for x in (positive, unlabelled))
         # Scale of a feature: how far its share in positives is from that in unlabelled texts, in standard errors.
-        p, u = (p_count + 0.5) / (len(positive) + 1), (u_count + 0.5) / (len(unlabelled) + 1)
-        z = np.abs(p - u) / np.sqrt(p * (1 - np.minimum(p, 0.999)) / len(positive) + u * (1 - np.minimum(u, 0.999)) / len(unlabelled))
+        p, u = (p_count + 0.5) / (n_p + 1), (u_count + 0.5) / (n_u + 1)
+        z = np.abs(p - u) / np.sqrt(p * (1 - np.minimum(p, 0.999)) / n_p + u * (1 - np.minimum(u, 0.999)) / n_u)
         scale = np.where((p_count + u_count >= 4) & (z > least_z), np.minimum(z / 10, 1.0), 0).astype(np.float32)
+        x_p, x_u = positive.only(scale > 0), unlabelled.only(scale > 0)
         rng = np.random.default_rng(seed)
-        x_p, x_u = ([r[scale[r] > 0] for r in rows] for rows in (positive, unlabelled))
         w, m, v = np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, np.float32)
         b, mb, vb, step = self.bias, 0.0, 0.0, 0
-
-        def rows(x, pick):
-            lengths = np.array([len(x[i]) for i in pick])
-            return np.concatenate([x[i] for i in pick] + [np.zeros(0, np.int32)]), np.repeat(np.arange(len(pick)), lengths)
-
         half = batch // 2
         for _ in range(epochs):
-            order = rng.permutation(len(x_u))
-            for a in range(0, len(order), half):
-                pu, pp = order[a : a + half], rng.integers(0, len(x_p), half)
-                (fu, iu), (fp, ip) = rows(x_u, pu), rows(x_p, pp)
-                gu = _sigmoid(np.bincount(iu, (w * scale)[fu], len(pu)) + b)  # score of the unlabelled
-                gp = _sigmoid(np.bincount(ip, (w * scale)[fp], len(pp)) + b)
+            order = rng.permutation(n_u)
+            for a in range(0, n_u, half):
+                pu, pp = order[a : a + half], rng.integers(0, n_p, half)
+                (fu, iu), (fp, ip) = x_u.rows(pu), x_p.rows(pp)
+                gu = _sigmoid(np.bincount(iu, w[fu] * scale[fu], len(pu)) + b)  # score of the unlabelled
+                gp = _sigmoid(np.bincount(ip, w[fp] * scale[fp], len(pp)) + b)
                 pi = self.prior
                 # Logistic loss: l(+) = -log g, l(-) = -log(1 - g).
                 negative = -np.log1p(-np.minimum(gu, 1 - 1e-7)).mean() + pi * np.log1p(-np.minimum(gp, 1 - 1e-7)).mean()
@@ -125,8 +139,9 @@ class NNPU:
         self.weights, self.bias = w * scale, float(b)
         # The prior also says about how many unlabelled texts are toxic: 0.5 is put into the widest gap between scores
         # around that rank, which keeps off the mass of clean texts.
-        scores = np.sort([float(self.weights[x].sum()) + self.bias for x in unlabelled])[::-1]
-        near = scores[int(0.5 * self.prior * len(scores)) : int(1.2 * self.prior * len(scores)) + 2]
+        f, i = x_u.rows(np.arange(n_u))
+        scores = np.sort(np.bincount(i, self.weights[f], n_u) + self.bias)[::-1]
+        near = scores[int(0.5 * self.prior * n_u) : int(1.2 * self.prior * n_u) + 2]
         if len(near) > 1:
             at = int(np.argmax(near[:-1] - near[1:]))
             self.bias -= float(near[at] + near[at + 1]) / 2
@@ -142,7 +157,7 @@ def held_out(id_column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _sample(df: DataFrame, most: int, text: str, bits: int) -> list[np.ndarray]:
+def _sample(df: DataFrame, most: int, text: str, bits: int) -> Features:
     """Feature ids of at most `most` texts, by hash of the id; only distinct hashed features reach the driver."""
     n = df.count()
     if n > most:
@@ -154,8 +169,9 @@ def _sample(df: DataFrame, most: int, text: str, bits: int) -> list[np.ndarray]:
             ids, at = features(flat, offsets, bits)
             yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["f"])
 
-    got = df.select("doc_id", text).mapInArrow(encode, "f binary").toPandas()["f"]
-    return [np.frombuffer(x, np.int32) for x in got[:most]]
+    got = df.select("doc_id", text).mapInArrow(encode, "f binary").toArrow().column("f").slice(0, most).cast(pa.large_binary()).combine_chunks()
+    flat, at = byte_view(got)
+    return Features(flat.view(np.int32), at // 4)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS) -> NNPU:
@@ -174,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     free = keep(_thin(free, free.count(), max_unlabelled), "unlabelled")
     unlabelled = _sample(texts.join(free, "doc_id", "left_semi"), max_unlabelled, "text", bits)
     model = NNPU(min(max(prior, 1e-3), 0.999), bits)
-    return model.fit(positive, unlabelled) if positive and unlabelled else model
+    return model.fit(positive, unlabelled) if len(positive) and len(unlabelled) else model
 
 
 def _thin(df: DataFrame, n: int, most: int) -> DataFrame:
