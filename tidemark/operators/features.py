@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark import params as P
 from tidemark.functions.scan import DAY, HOUR, asof, micros, running_sums, time_block
 from tidemark.operators.align import with_session
+from tidemark.session import settle
 
 ET = "America/New_York"
 
@@ -135,8 +136,12 @@ def session_vwap(events: DataFrame, bars: DataFrame, sessions: DataFrame, t: str
 
 
 def technical_features(events: DataFrame, bars: DataFrame, sessions: DataFrame, t: str) -> DataFrame:
-    """Indicators of the last completed hour and the session VWAP distance; `hb` is null in warm-up."""
-    ind = hourly_indicators(hourly_bars(bars))
+    """Indicators of the last completed hour and the session VWAP distance; `hb` is null in warm-up.
+
+    Bars and hourly bars are settled first: each of the as-of sides and running means would scan them again.
+    """
+    bars = settle(bars)
+    ind = hourly_indicators(settle(hourly_bars(bars)))
     return session_vwap(last_completed_hour(events, ind, t, INDICATORS), bars, sessions, t)
 
 

@@ -11,6 +11,7 @@ from tidemark import params as P
 from tidemark.functions.scan import asof
 from tidemark.operators import align as A
 from tidemark.operators import features as E
+from tidemark.session import settle
 
 
 def qualifying_lines(filings: DataFrame, lines: DataFrame, targets: DataFrame) -> DataFrame:
@@ -76,9 +77,9 @@ def quarter_funnel(filings: DataFrame, lines: DataFrame, targets: DataFrame) ->
 
 
 def purchase_events(filings: DataFrame, lines: DataFrame, owners: DataFrame, targets: DataFrame) -> DataFrame:
-    """Classified purchase events, one per filing."""
+    """Classified purchase events, one per filing. The filings are settled: owners, flags and roles all meet them."""
     ev = purchase_filings(qualifying_lines(filings, lines, targets))
-    ev = ev.withColumn("is_10b5_1", plan_flag("aff10b5one")).withColumn("size_bucket", size_bucket("dollar_amt"))
+    ev = settle(ev.withColumn("is_10b5_1", plan_flag("aff10b5one")).withColumn("size_bucket", size_bucket("dollar_amt")))
     mine = owners.join(ev.select("accession"), "accession", "left_semi")
     return cluster_flags(ev, mine).join(filing_roles(mine), "accession", "left")
 

@@ -70,13 +70,16 @@ def matchers(universe: DataFrame, case_sensitive_up_to: int = 0) -> DataFrame:
 
 def relevance_tier(news: DataFrame, patterns: DataFrame, headline: str = "headline", summary: str = "summary",
                    source: str = "source", strict_sources: Sequence[str] = ()) -> DataFrame:
-    """Tier 1: named in the headline; 2: in headline or summary; 3: neither. Strict sources have no tier 2."""
+    """Tier 1: named in the headline; 2: in headline or summary; 3: neither. Strict sources have no tier 2.
+
+    regexp_instr keeps a pattern compiled while consecutive rows have the same one, which regexp_like does not.
+    """
     head = F.coalesce(F.col(headline), F.lit(""))
     both = F.concat_ws(" ", head, F.coalesce(F.col(summary), F.lit("")))
     joined = news.join(patterns, "ticker", "left")
     tier = (
-        F.when(F.coalesce(F.regexp_like(head, F.col("pattern")), F.lit(False)), PRIMARY)
-        .when(F.coalesce(F.regexp_like(both, F.col("pattern")), F.lit(False)), SECONDARY)
+        F.when(F.coalesce(F.regexp_instr(head, F.col("pattern")) > 0, F.lit(False)), PRIMARY)
+        .when(F.coalesce(F.regexp_instr(both, F.col("pattern")) > 0, F.lit(False)), SECONDARY)
         .otherwise(PASSING)
     )
     tagged = joined.withColumn("relevance_tier", tier).drop("pattern")

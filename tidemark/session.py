@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC everywhere; AQE re-plans joins from measured shuffle sizes (broadcast only when the side is
 # really small, split the partitions of hot keys), so no operator carries a broadcast hint.
@@ -59,3 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, configured, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a frame that several later steps read once, in the shared folder (reliable checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
