@@ -67,6 +67,12 @@ def with_report_groups(signals: DataFrame) -> DataFrame:
     return signals.withColumn("grp", F.explode(groups))
 
 
+def raw_and_adjusted(trades: DataFrame, raw: str, adjusted: str) -> DataFrame:
+    """Each trade once per report group and measure, the value in `x`; rows without a value drop."""
+    both = F.inline(F.array(F.struct(F.lit("raw").alias("measure"), F.col(raw).alias("x")), F.struct(F.lit("adjusted").alias("measure"), F.col(adjusted).alias("x"))))
+    return with_report_groups(trades).select("*", both).filter(F.col("x").isNotNull())
+
+
 def regime_buckets(df: DataFrame, above: str, vol_ratio: str, mom: str, tod: str) -> DataFrame:
     """Each row once per breakdown dimension, missing values in their own bucket."""
     def three(c, yes, label):

@@ -70,6 +70,25 @@ def j5(v):
     return s.select("grp", "n", "n_days", r("day_mean", 8), r("pooled", 8), r("neg_share"), "thin", r("lo", 8), r("hi", 8))
 
 
+GT = (
+    "SELECT unnest(list_filter(['all signals', s.class_name, CASE WHEN s.status='fired' AND s.class_name IN ('Buy','Strong Buy') THEN 'fired Buy/Strong Buy' END], lambda g: g IS NOT NULL)) AS grp, t.day, t.net_ret, t.excess FROM trades_v t JOIN signals_v s ON s.signal_id=t.trade_id"
+)
+GM = "SELECT grp, 'raw' AS measure, day, net_ret AS x FROM gt_v UNION ALL SELECT grp, 'adjusted', day, excess FROM gt_v"
+GMC = "SELECT grp, measure, day, sum(x) AS c_sum, count(x) AS c_n, avg(x) AS c_mean, count(*) FILTER (x < 0) AS c_neg FROM gm_v WHERE x IS NOT NULL GROUP BY 1,2,3"
+
+
+@query(
+    "j5_raw_and_adjusted",
+    "SELECT c.grp, c.measure, sum(c_n)::BIGINT AS n, count(*) AS n_days, round(avg(c_mean),8) AS day_mean, round(sum(c_sum)/sum(c_n),8) AS pooled, round(sum(c_neg)/sum(c_n),9) AS neg_share, sum(c_n) < 30 AS thin, any_value(b.lo) AS lo, any_value(b.hi) AS hi FROM gmc_v c JOIN b_v b ON b.grp=c.grp AND b.measure=c.measure GROUP BY 1,2",
+    gt_v=GT, gm_v=GM, gmc_v=GMC, b_v=boot("gmc_v", "grp,measure", "avg(c.c_mean)", 50, "42", "day", PCT),
+)
+def j5a(v):
+    """Net return and excess over the benchmark for every report group."""
+    s = v.signals().select(F.col("signal_id").alias("trade_id"), "class_name", "status")
+    t = R.raw_and_adjusted(v.trades().join(s, "trade_id"), "net_ret", "excess")
+    return S.summarize(t, ["grp", "measure"], "day", "x", 50, "42").select("grp", "measure", "n", "n_days", r("day_mean", 8), r("pooled", 8), r("neg_share"), "thin", r("lo", 8), r("hi", 8))
+
+
 BK = (
     "SELECT accession, d.dimension, d.bucket FROM (SELECT accession, unnest([{'dimension':'benchmark','bucket':CASE WHEN above IS NULL THEN 'benchmark missing' WHEN above=1 THEN 'benchmark high' ELSE 'benchmark low' END}, {'dimension':'vol','bucket':CASE WHEN vol_ratio IS NULL THEN 'vol missing' WHEN vol_ratio > 1 THEN 'vol high' ELSE 'vol low' END}, "
     "{'dimension':'mom','bucket':CASE WHEN mom IS NULL THEN 'mom missing' WHEN mom > 0 THEN 'mom high' ELSE 'mom low' END}, {'dimension':'tod','bucket':coalesce(tod,'tod missing')}]) AS d FROM (SELECT *, CASE WHEN accession % 3 < 2 THEN accession % 3 END AS above, CASE WHEN accession % 5 > 0 THEN 'midday' END AS tod FROM evm_v))"
