@@ -100,9 +100,13 @@ def fit_severity(train: DataFrame, features: Sequence[str], score: str, iteratio
 
 
 def severity_metrics(model: Model, test: DataFrame, features: Sequence[str], score: str, lo: float, hi: float) -> DataFrame:
-    """Rank correlation, absolute error and hit rates of the two severe flags."""
+    """Rank correlation, absolute error and hit rates of the two severe flags of the model's predictions."""
     x = test.select("*", *[F.col(f).cast("double").alias(f"_x_{f}") for f in features])
-    p = model.transform(x).select(F.col(score).alias("s"), "pred_score")
+    return prediction_metrics(model.transform(x).select(F.col(score).alias("s"), "pred_score"), lo, hi)
+
+
+def prediction_metrics(p: DataFrame, lo: float, hi: float) -> DataFrame:
+    """The same for given predictions: `s` the true score, `pred_score` the predicted one."""
     low, high = F.col("pred_score") <= lo, F.col("pred_score") >= hi
     m = p.agg(
         F.avg(F.abs(F.col("s") - F.col("pred_score"))).alias("mae"), F.count_if(low).alias("n_low"), F.avg(F.when(low, (F.col("s") <= lo).cast("double"))).alias("low_hit"),
@@ -115,7 +119,11 @@ def importances(model: Model, df: DataFrame, features: Sequence[str], groups: di
     """Importance per feature with its group's share."""
     imp = model.stages[-1].featureImportances.toArray()
     rows = [(f, groups.get(f, "other"), float(v)) for f, v in zip(features, imp, strict=True)]
-    t = df.sparkSession.createDataFrame(rows, "feature string, grp string, importance double")
+    return with_group_share(df.sparkSession.createDataFrame(rows, "feature string, grp string, importance double"))
+
+
+def with_group_share(t: DataFrame) -> DataFrame:
+    """Importances (feature, grp, importance) with their group's share of the total, largest first."""
     g = t.groupBy("grp").agg(F.sum("importance").alias("_g"))
     total = t.agg(F.sum("importance")).scalar()
     return t.join(g, "grp").withColumn("group_share", F.try_divide("_g", total)).drop("_g").orderBy(F.col("importance").desc(), "feature")

@@ -1,4 +1,7 @@
-"""Registered queries: model fitting, calibration and severity (rows-only checks)."""
+"""Registered queries: model fitting, calibration and severity.
+
+Fitted trees are rows-only checks; what is computed from given scores, predictions or importances has an oracle.
+"""
 
 from pyspark.sql import functions as F
 
@@ -59,6 +62,46 @@ def f18(v):
     return M.calibrate(oof, iso, ["q0", "q1", "q2", "q3"]).select("id", "c0", "c1", "c2", "c3")
 
 
+# Pool-adjacent-violators in closed form: the greatest, over starts up to a point, of the least mean up to any later end.
+ISO = {
+    "u_v": "SELECT id, y, round(p0,2) AS a0, round(p1,2) AS a1, round(p2,2) AS a2, round(p3,2) AS a3 FROM probs_v",
+    "g_v": " UNION ALL ".join(f"SELECT {k} AS k, a{k} AS x, sum((y={k})::INT)::DOUBLE AS s, count(*)::DOUBLE AS w FROM u_v GROUP BY a{k}" for k in range(4)),
+    "c_v": "SELECT *, row_number() OVER o AS i, sum(s) OVER o AS cs, sum(w) OVER o AS cw FROM g_v WINDOW o AS (PARTITION BY k ORDER BY x)",
+    "m_v": "SELECT k, x, max(lo) AS c FROM (SELECT q.k, q.x, a.i, min((b.cs-a.cs+a.s)/(b.cw-a.cw+a.w)) AS lo FROM c_v q JOIN c_v a ON a.k=q.k AND a.i <= q.i JOIN c_v b ON b.k=q.k AND b.i >= q.i GROUP BY 1,2,3) GROUP BY 1,2",
+    "r_v": "SELECT id, m0.c AS r0, m1.c AS r1, m2.c AS r2, m3.c AS r3, m0.c+m1.c+m2.c+m3.c AS t FROM u_v " + " ".join(f"JOIN m_v m{k} ON m{k}.k={k} AND m{k}.x=a{k}" for k in range(4)),
+}
+
+
+@query("f18_isotonic_on_scores", "SELECT id, " + ", ".join(f"round(r{k}/CASE WHEN t=0 THEN 1 ELSE t END,8) AS c{k}" for k in range(4)) + " FROM r_v", **ISO)
+def f18s(v):
+    """Isotonic maps of given scores (two digits), fitted and applied."""
+    p = v.keep(v.probs().select("id", "y", *[F.round(f"p{k}", 2).alias(f"a{k}") for k in range(4)]))
+    a = [f"a{k}" for k in range(4)]
+    return M.calibrate(p, M.fit_isotonic(p, "y", a), a).select("id", *[F.round(f"c{k}", 8).alias(f"c{k}") for k in range(4)])
+
+
+@query(
+    "f23_prediction_metrics",
+    "SELECT round(avg(abs(s-p)),8) AS mae, count(*) FILTER (p <= -0.5) AS n_low, round(avg((s <= -0.5)::INT) FILTER (p <= -0.5),9) AS low_hit, count(*) FILTER (p >= 0.5) AS n_high, round(avg((s >= 0.5)::INT) FILTER (p >= 0.5),9) AS high_hit, round(corr(rp, rs),8) AS spearman FROM "
+    "(SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1)/2.0::DOUBLE AS rp, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1)/2.0::DOUBLE AS rs FROM (SELECT p3*4-1 AS p, ln(value)-3 AS s FROM probs_v))",
+)
+def f23p(v):
+    """Severity metrics of given predictions."""
+    p = v.probs().select((F.ln("value") - 3).alias("s"), (F.col("p3") * 4 - 1).alias("pred_score"))
+    m = M.prediction_metrics(p, -0.5, 0.5)
+    return m.select(*[F.round(c, 9 if "hit" in c else 8).alias(c) if c[0] != "n" else c for c in ("mae", "n_low", "low_hit", "n_high", "high_hit", "spearman")])
+
+
+@query(
+    "f24_group_shares",
+    "SELECT feature, grp, round(i,9) AS importance, round(sum(i) OVER (PARTITION BY grp)/sum(i) OVER (),9) AS group_share FROM (SELECT ticker AS feature, substr(ticker,1,1) AS grp, avg(p3) AS i FROM probs_v GROUP BY 1)",
+)
+def f24g(v):
+    """Group shares of given importances."""
+    t = v.probs().groupBy(F.col("ticker").alias("feature")).agg(F.substring(F.first("ticker"), 1, 1).alias("grp"), F.avg("p3").alias("importance"))
+    return M.with_group_share(t).select("feature", "grp", F.round("importance", 9).alias("importance"), F.round("group_share", 9).alias("group_share"))
+
+
 @query("j26_calibration_map_shape")
 def j26(v):
     oof, iso = calibrated(v)
