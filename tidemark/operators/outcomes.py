@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import params as P
 from tidemark.functions.hashing import hash32
 from tidemark.functions.scan import DAY, asof, exact_quantiles, first_per_key, rank_rows, running_sums, time_block
-from tidemark.operators.align import after, with_session
+from tidemark.operators.align import after, entry_bar, with_exit, with_session
 
 
 # ---- stop exits -------------------------------------------------------------------------------------
@@ -143,6 +143,23 @@ def trade_summary(trades: DataFrame, by: Sequence[str], t: str, tie: str) -> Dat
     return base.join(med, by).join(max_drawdown(trades, by, t, tie, "net_ret"), by)
 
 
+def backtest(decisions: DataFrame, bars: DataFrame, bench_bars: DataFrame, t: str, horizon: int = P.HORIZON_BARS) -> DataFrame:
+    """From decisions to trades: entry at the first bar at or after `t`, first-touch exit within `horizon` bars, gross and
+    net return, benchmark return and signed excess. Decisions without a whole horizon of bars drop.
+
+    `decisions` has ticker, `t`, direction and stop_share (stop distance as a share of the entry price, null for none);
+    its other columns are kept. `trade_summary` by strategy makes the report.
+    """
+    x = with_exit(bars, horizon).withColumn("exit_idx", F.when(F.col("exit_ts").isNotNull(), F.col("idx") + horizon))
+    found = entry_bar(decisions, x, t, ["ts", "idx", "open", "exit_idx", "exit_ts", "exit_price"]).filter("bar.exit_idx IS NOT NULL")
+    trades = found.select(
+        *decisions.columns, F.col("bar.ts").alias("entry_ts"), F.col("bar.idx").alias("entry_idx"), F.col("bar.open").alias("entry_price"), "bar.exit_idx", "bar.exit_ts", "bar.exit_price",
+        (F.col("bar.open") * F.col("stop_share")).alias("stop_dist"),
+    )
+    priced = benchmark_excess(trade_returns(first_touch_exit(trades, x)), bench_bars, "entry_ts", "exit_ts")
+    return priced.withColumnRenamed("excess_gross", "excess")
+
+
 def random_trades(pool: DataFrame, key: str, n: Column, seed: str) -> DataFrame:
     """`n` rows drawn without replacement by hash order, each with a random side."""
     h = pool.withColumn("_h", hash32(F.lit(seed), F.col(key).cast("string")))

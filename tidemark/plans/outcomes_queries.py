@@ -152,3 +152,47 @@ def g11(v):
     f = v.probs().filter("p3 >= 0.45 OR p2 >= 0.42").withColumn("alert", F.when(F.col("p3") >= 0.45, 3).otherwise(2)).withColumn("ret", F.col("value") / 100 - 0.3)
     g = O.alert_reconciliation(f, "alert", "y", "ret")
     return g.select("alert", "n", r("precision", 9), r("win", 9), r("mean_ret"), *[c for k in range(4) for c in (f"n_true_{k}", r(f"mean_true_{k}"))])
+
+
+# Three strategies over the same signals: fired long classes, a random side for every signal, and a rule.
+BT_DEC = (
+    "SELECT signal_id, ticker, ts_utc, n_symbols = 2 AS severe, 'champion' AS strategy, 'long' AS direction FROM signals_v WHERE status='fired' AND class_name IN ('Buy','Strong Buy') UNION ALL "
+    "SELECT signal_id, ticker, ts_utc, n_symbols = 2, 'random', CASE WHEN " + HX.format(x="concat_ws('|','7-side',CAST(signal_id AS VARCHAR))") + " % 2 = 0 THEN 'long' ELSE 'short' END FROM signals_v UNION ALL "
+    "SELECT signal_id, ticker, ts_utc, n_symbols = 2, 'rule', CASE WHEN n_symbols > 2 THEN 'long' ELSE 'short' END FROM signals_v WHERE n_symbols > 1"
+)
+BT_TRD = (
+    "SELECT s.*, b.ts AS entry_ts, b.idx AS entry_idx, b.open AS entry_price, b.exit_idx, b.exit_ts, b.exit_price, b.open * 0.3 AS stop_dist FROM bd_v s ASOF JOIN xb_v b ON b.ticker=s.ticker AND b.ts >= s.ts_utc WHERE b.exit_idx IS NOT NULL"
+)
+BT_G = (
+    "SELECT t.*, h.idx IS NOT NULL AS stopped, CASE WHEN h.idx IS NULL THEN t.exit_price WHEN direction='long' THEN least(h.open, entry_price - stop_dist) ELSE greatest(h.open, entry_price + stop_dist) END AS exit_fill FROM bt_v t "
+    "LEFT JOIN (SELECT t.strategy, t.signal_id, min(b.idx) AS hidx FROM bt_v t JOIN rb_v b ON b.ticker=t.ticker AND b.idx BETWEEN t.entry_idx AND t.exit_idx WHERE CASE WHEN t.direction='long' THEN b.low <= t.entry_price - t.stop_dist ELSE b.high >= t.entry_price + t.stop_dist END GROUP BY 1,2) m "
+    "ON m.signal_id=t.signal_id AND m.strategy=t.strategy LEFT JOIN rb_v h ON h.ticker=t.ticker AND h.idx=m.hidx"
+)
+BT_N = (
+    f"SELECT g.strategy, g.signal_id, g.entry_ts, g.direction, g.stopped, {NET} AS net_ret, {GROSS} - CASE WHEN direction='long' THEN 1 ELSE -1 END*(z.close/a.open - 1) AS excess FROM bg_v g "
+    "ASOF LEFT JOIN (SELECT ts, open FROM rb_v WHERE ticker='view') a ON a.ts >= g.entry_ts ASOF LEFT JOIN (SELECT ts, close FROM rb_v WHERE ticker='view') z ON z.ts >= g.exit_ts"
+)
+BT_DD = (
+    "SELECT strategy, max(pk - c) AS dd FROM (SELECT *, max(c) OVER (PARTITION BY strategy ORDER BY entry_ts, signal_id ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT *, sum(net_ret) OVER (PARTITION BY strategy ORDER BY entry_ts, signal_id ROWS UNBOUNDED PRECEDING) AS c FROM bn_v)) GROUP BY 1"
+)
+
+
+@query(
+    "g_backtest",
+    "SELECT n.strategy, count(*) AS n, round(avg((net_ret>0)::INT),9) AS win, round(avg(net_ret),7) AS mean, round(quantile_cont(net_ret,0.5),7) AS median, round(avg(stopped::INT),9) AS stop_share, count(*) FILTER (direction='long') AS n_long, round(avg(excess),7) AS excess_mean, round(any_value(d.dd),5) AS max_drawdown FROM bn_v n JOIN bdd_v d ON d.strategy=n.strategy GROUP BY 1",
+    rb_v=RB, xb_v=XB, bd_v=BT_DEC, bt_v=BT_TRD, bg_v=BT_G, bn_v=BT_N, bdd_v=BT_DD,
+)
+def g_backtest(v):
+    """Decisions of three strategies to one summary: entries, exits, returns, excess."""
+    from tidemark.functions.hashing import hash32
+
+    s = v.signals().select("signal_id", "ticker", "ts_utc", (F.col("n_symbols") == 2).alias("severe"), "status", "class_name", "n_symbols")
+    side = F.when(hash32(F.lit("7-side"), F.col("signal_id").cast("string")) % 2 == 0, "long").otherwise("short")
+    fired = (F.col("status") == "fired") & F.col("class_name").isin("Buy", "Strong Buy")
+    rule = F.when(F.col("n_symbols") > 2, "long").otherwise("short")
+    parts = [s.filter(fired).withColumns({"strategy": F.lit("champion"), "direction": F.lit("long")}), s.withColumns({"strategy": F.lit("random"), "direction": side}), s.filter("n_symbols > 1").withColumns({"strategy": F.lit("rule"), "direction": rule})]
+    d = parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("status", "class_name", "n_symbols").withColumn("stop_share", F.lit(0.3))
+    bars = v.keep(regular(v))
+    t = v.keep(O.backtest(d, bars, bars.filter("ticker = 'view'").select("ts", "open", "close"), "ts_utc"))
+    m = O.trade_summary(t, ["strategy"], "entry_ts", "signal_id")
+    return m.select("strategy", "n", r("win", 9), r("mean", 7), r("median", 7), r("stop_share", 9), "n_long", r("excess_mean", 7), r("max_drawdown", 5))
