@@ -35,7 +35,7 @@ def corpus(seed, n=3000):
         s = rng.choices(sources, [30, 5, 5, 10, 8, 1, 1])[0]
         k = 0 if s == "zero" else int(rng.expovariate(1 / 40)) if s != "tiny" else 1
         rows.append((i, " ".join(["w"] * k) if k or rng.random() < 0.5 else None, s))
-    return rows + [(5, "repeated row", "a"), (5, "repeated row", "a"), (None, "no id", "b")]
+    return rows + [(90_005, "repeated row", "a"), (90_005, "repeated row", "a"), (None, "no id", "b")]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
