@@ -9,8 +9,10 @@
 4. Inside a cluster a signature tree holds the sets in blocks of close size; a node has the OR of its sets' token
    bitmaps, its size range and the fewest bits of a set. A traversal of the tree against itself skips node pairs whose
    largest possible overlap is below what the threshold asks for, and pairs of sets that are already connected; the
-   rest is compared exactly. A cluster above `block_bytes` is cut into blocks and every pair of blocks is a task of
-   its own, so that no task holds more than two blocks.
+   rest is compared exactly. A cluster above `block_bytes` is cut into blocks: every block meets the cluster's hub first,
+   and sets linked to the hub are connected. Only the loose sets that are left still have to meet all others, in pairs
+   of blocks with at least one block of loose sets, so a large group of near copies costs its size and no task holds
+   more than two blocks.
 
 Equal sets (copies) are one member from step 1 on, so a group of copies of any size costs one member per chunk.
 
@@ -31,7 +33,7 @@ from .common import CHUNK_BYTES, SLICE_BYTES, Chunks, byte_view, chunk_rows, com
 KEY_BITS = 39
 BITMAP_BITS = 4096
 LEAF = 16
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def _needed(a, b, num: int, den: int):
@@ -201,9 +203,12 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return overlap * den >= num * (len(a) + len(b) - overlap)
 
 
-def join_sets(names: np.ndarray, sets: list[np.ndarray], num: int, den: int, left: int | None = None, all_pairs: bool = False) -> list[tuple[int, int]]:
-    """Links between sets by a signature tree: a spanning forest of the link graph, or every link."""
-    parent = list(range(len(sets)))
+def join_sets(names: np.ndarray, sets: list[np.ndarray], num: int, den: int, left: int | None = None, all_pairs: bool = False, joined: int = 0) -> list[tuple[int, int]]:
+    """Links between sets by a signature tree: a spanning forest of the link graph, or every link.
+
+    With `left`, only links between the first `left` sets and the others; the first `joined` sets are known to be connected.
+    """
+    parent = [0] * joined + list(range(joined, len(sets)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -219,7 +224,7 @@ def join_sets(names: np.ndarray, sets: list[np.ndarray], num: int, den: int, lef
             parent[max(x, y)] = min(x, y)
             out.append((int(names[i]), int(names[j])))
 
-    if len(sets) == 2:
+    if len(sets) == 2 and left in (None, 1):
         on_pair(0, 1)
     elif len(sets) > 2:
         _self_join(sets, num, den, on_pair, BITMAP_BITS, left)
@@ -235,31 +240,60 @@ def set_links(rows: DataFrame, num: int, den: int, all_pairs: bool = False, bloc
     edges = pairs.join(hubs, "token").where("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(edges).withColumnsRenamed({"node": "name", "label": "cluster"})
     members = keep(may.dropDuplicates(["name"]).select("name", "whole").join(clusters, "name"), "members")
-    # A third of all sets may be one cluster: it is cut into blocks by name, and each pair of blocks is a group.
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("whole") + BITMAP_BITS // 4) / block_bytes).cast("int").alias("blocks"))
-    parts = partitions(spark)
-    dealt = (
-        members.join(blocks, "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("name", "whole", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks")
-        .withColumn("deal", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(parts * 4))).otherwise(F.xxhash64("cluster", "i", "j")))
-    )
+    weight = F.length("whole") + BITMAP_BITS // 4
+    sizes = keep(members.groupBy("cluster").agg(F.ceil(F.sum(weight) / block_bytes).cast("int").alias("blocks"), F.min("name").alias("hub")), "clusters")
+    m = members.join(sizes, "cluster")
+    parts, zero = partitions(spark), F.lit(0)
+    columns = ["name", "whole", "cluster", "kind", "part", "i", "j", "deal"]
+
+    def dealt(df: DataFrame, kind: int, part, i, j, deal) -> DataFrame:
+        return df.withColumns({"kind": F.lit(kind), "part": part, "i": i, "j": j}).withColumn("deal", deal).select(columns)
+
+    pairs_of = F.xxhash64("cluster", "kind", "i", "j")
+    work = dealt(m.where("blocks = 1"), 0, zero, zero, zero, F.pmod(F.xxhash64("cluster"), F.lit(parts * 4)))
+    links = None
+    if sizes.where("blocks > 1").limit(1).count():
+        # A third of all sets may be one cluster.
+        large = m.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
+        loose = large
+        if not all_pairs:
+            hubs = large.where("name = hub").withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+            met = large.where("name <> hub").unionAll(hubs.select(large.columns)).select("cluster", "block", "name", "hub", "whole")
+
+            def meet(group: pa.Table) -> pa.Table:
+                names, hub = group.column("name").to_numpy(), group.column("hub").to_numpy()
+                sets = [np.frombuffer(x.as_py(), "<u8") for x in group.column("whole")]
+                centre = sets[int(np.flatnonzero(names == hub)[0])]
+                return pa.table({"name": group.column("name"), "hub": group.column("hub"), "near": pa.array([linked(x, centre, num, den) for x in sets])})
+
+            near = keep(met.groupBy("cluster", "block").applyInArrow(meet, "name long, hub long, near boolean").where("near").distinct(), "near")
+            links = near.where("name <> hub").select(F.col("hub").alias("a"), F.col("name").alias("b"))
+            close, loose = large.join(near.select("name"), "name", "left_semi"), large.join(near.select("name"), "name", "left_anti")
+        loose_sizes = keep(loose.groupBy("cluster").agg(F.ceil(F.sum(weight) / block_bytes).cast("int").alias("loose_blocks")), "loose")
+        loose = loose.join(loose_sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("name"), "loose_blocks").cast("int"))
+        own = loose.withColumn("other", F.explode(F.sequence(zero, F.col("loose_blocks") - 1)))
+        work = work.unionAll(dealt(own, 1, F.col("own"), F.least("own", "other"), F.greatest("own", "other"), pairs_of))
+        if not all_pairs:
+            to_loose = close.join(loose_sizes, "cluster").withColumn("other", F.explode(F.sequence(zero, F.col("loose_blocks") - 1)))
+            to_close = loose.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+            work = work.unionAll(dealt(to_loose, 2, zero, F.col("block"), F.col("other"), pairs_of)).unionAll(dealt(to_close, 2, F.lit(1), F.col("other"), F.col("own"), pairs_of))
 
     def join(group: pa.Table) -> pa.Table:
-        cols = {c: group.column(c).to_numpy() for c in ("name", "cluster", "block", "i", "j")}
-        order = np.lexsort((cols["name"], cols["block"], cols["j"], cols["i"], cols["cluster"]))
-        key = np.stack([cols[c][order] for c in ("cluster", "i", "j")])
+        cols = {c: group.column(c).to_numpy() for c in ("name", "cluster", "kind", "part", "i", "j")}
+        order = np.lexsort((cols["name"], cols["part"], cols["j"], cols["i"], cols["kind"], cols["cluster"]))
+        key = np.stack([cols[c][order] for c in ("cluster", "kind", "i", "j")])
         cut = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(order)]))
         blobs, out = group.column("whole"), []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             mine = order[a:b]
             sets = [np.frombuffer(blobs[int(i)].as_py(), "<u8") for i in mine]
-            left = None if key[1, a] == key[2, a] else int(np.searchsorted(cols["block"][mine], key[2, a]))
-            out += join_sets(cols["name"][mine], sets, num, den, left, all_pairs)
+            kind, i, j = key[1:, a].tolist()
+            left = None if kind == 0 or kind == 1 and i == j else int(np.searchsorted(cols["part"][mine], j if kind == 1 else 1))
+            out += join_sets(cols["name"][mine], sets, num, den, left, all_pairs, left if kind == 2 else 0)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return dealt.groupBy("deal").applyInArrow(join, "a long, b long")
+    found = work.groupBy("deal").applyInArrow(join, "a long, b long")
+    return found if links is None else found.unionAll(links)
 
 
 def _join(chunks: Chunks, id_column: str, text: str, size: int, threshold: tuple[int, int], all_pairs: bool, block_bytes: int) -> tuple[DataFrame, DataFrame]:
