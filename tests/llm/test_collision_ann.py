@@ -51,3 +51,27 @@ def test_odd_rows_and_few_candidates(spark):
     assert got == brute(good, [0, 20], 20)
     assert collision_ann.nearest(df.limit(0), df.limit(0)).count() == 0
     assert collision_ann.nearest(df, df.where("vec_id = 40")).count() == 0
+
+
+@pytest.mark.parametrize("norms", ["one long vector", "lognormal"])
+def test_recall_with_uneven_norms(spark, norms):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.exp(0.5 * rng.standard_normal(4000))[:, None] if norms == "lognormal" else np.where(np.arange(4000) == 7, 5, 1)[:, None]
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collision_ann.nearest(df, df.where("vec_id % 40 = 0")).collect()
+    want = brute(rows, range(0, 4000, 40), 20)
+    assert len(got) == len(want)
+    true = {(q, i) for q, _, i, _ in want}
+    assert len(true & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(true)
+
+
+def test_bands_hold_every_row_once_and_small_ones_are_exact():
+    rng = np.random.default_rng(6)
+    norms = np.concatenate((np.ones(2000), np.exp(rng.standard_normal(1500))))
+    cut = collision_ann.bands(norms)
+    assert sorted(np.concatenate(cut)) == list(range(3500))
+    for band in cut:
+        assert len(band) <= collision_ann.EXACT_ROWS or norms[band].max() <= norms[band].min() * collision_ann.NORM_RATIO * (1 + 1e-12)

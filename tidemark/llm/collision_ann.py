@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by collision-counting hashing, for the largest inner product.
 
-Vectors are lengthened by one component so that all have the same norm; the largest inner product is then the least
-distance. Each shard of vectors projects its own on `projections` random lines and keeps one sorted array per line. A
-query's window on a line is centred on its own projection and bounded by binary search. Vectors are verified with their
+Each shard of vectors is cut into bands of like norm, the longest first. A band's vectors are lengthened by one component
+so that all have the norm of its longest; the largest inner product is then the least distance. One long vector so changes
+the scale of its own band only. A band projects its vectors on `projections` random lines and keeps one sorted array per
+line; a band of EXACT_ROWS or fewer is verified whole, whatever its norms. A query leaves out the bands whose longest
+norm, times its own, is below the k-th score it has found: they can't hold a better one. A query's window on a line is centred on its own projection and bounded by binary search. Vectors are verified with their
 exact inner product if the number of windows that hold them reaches a collision threshold: the highest one that `k`
-vectors and the share `verify` of the shard reach. While that threshold is below the share `collisions` of the lines,
-virtual rehashing widens all windows by a factor; as they grow without limit, a shard ends in any case. The best of all
-shards are merged.
+vectors and the share `verify` of the band reach. While that threshold is below the share `collisions` of the lines,
+virtual rehashing widens all windows by a factor; as they grow without limit, a band ends in any case. The best of all
+bands and shards are merged.
 
 Every vector is indexed, none is sampled. The query set is a stated one, against all rows: shards of bounded size meet
 blocks of queries of bounded size, one pair a task, and each pair gives k rows per query.
@@ -35,15 +37,18 @@ COLLISIONS = 0.5
 VERIFY = 0.2
 FIRST_WINDOW = 1.6
 GROWTH = 1.2
+#: Longest by shortest norm of a band.
+NORM_RATIO = 1.05
+EXACT_ROWS = 256
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 4_096
 
 
 class CollisionIndex:
-    """Sorted projections of a shard's vectors, lengthened to the norm `longest`."""
+    """Sorted projections of a band's vectors, lengthened to the norm `longest`."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, projections: int = PROJECTIONS, seed: int = 11):
-        self.ids, self.vectors, self.longest = ids, vectors, longest
+        self.ids, self.vectors = ids, vectors
         extra = np.sqrt(np.maximum(longest**2 - np.einsum("ij,ij->i", vectors, vectors), 0))
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
         at = np.column_stack([vectors, extra]) @ self.lines / longest
@@ -88,13 +93,61 @@ class CollisionIndex:
                 low, width = (w[0] for w in self._windows(at[q : q + 1], half))
             pick = np.flatnonzero(counts >= threshold)
             pick = pick[self.ids[pick] != query_ids[q]]
-            score = np.einsum("ij,j->i", self.vectors[pick], queries[q])
-            if len(pick) > k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
-                pick = pick[score >= least - 1e-9 * (1 + abs(least))]
-            score = (self.vectors[pick] * queries[q]).sum(axis=1)  # row by row alike: equal vectors have equal scores
-            order = np.lexsort((self.ids[pick], -score))[:k]
-            yield self.ids[pick[order]], score[order]
+            yield _best(self.ids, self.vectors, pick, queries[q], k)
+
+
+class Exact:
+    """A band that is verified whole."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, **_):
+        for i, q in zip(query_ids, queries, strict=True):
+            yield _best(self.ids, self.vectors, np.flatnonzero(self.ids != i), q, k)
+
+
+def _best(ids: np.ndarray, vectors: np.ndarray, pick: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and inner products of the k best of the picked vectors, best first."""
+    score = np.einsum("ij,j->i", vectors[pick], query)
+    if len(pick) > k:
+        least = np.partition(score, len(score) - k)[len(score) - k]
+        pick = pick[score >= least - 1e-9 * (1 + abs(least))]
+    score = (vectors[pick] * query).sum(axis=1)  # row by row alike: equal vectors have equal scores
+    order = np.lexsort((ids[pick], -score))[:k]
+    return ids[pick[order]], score[order]
+
+
+def bands(norms: np.ndarray, ratio: float = NORM_RATIO, least: int = EXACT_ROWS) -> list[np.ndarray]:
+    """Rows by falling norm, cut where a norm is below its band's longest by the ratio, but not below `least` rows."""
+    order = np.argsort(-norms, kind="stable")
+    falling, out, a = -norms[order], [], 0
+    while a < len(order):
+        b = int(np.searchsorted(falling, falling[a] / ratio, "right"))
+        b = max(b, min(a + least, len(order)))
+        out.append(order[a:b])
+        a = b
+    return out
+
+
+def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, projections: int = PROJECTIONS, **search) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query the ids and inner products of the k best vectors found in all bands, best first."""
+    norms, asked = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (vectors, queries))
+    found = [(ids[:0], np.zeros(0))] * len(queries)
+    kth = np.full(len(queries), -np.inf)
+    for band in bands(norms):
+        longest = norms[band[0]] * (1 + 1e-12)
+        left = np.flatnonzero(longest * asked * (1 + 1e-9) >= kth)
+        if not len(left):
+            break
+        index = Exact(ids[band], vectors[band]) if len(band) <= EXACT_ROWS else CollisionIndex(ids[band], vectors[band], longest, projections)
+        for q, (i, s) in zip(left, index.search(query_ids[left], queries[left], k, **search), strict=True):
+            i, s = np.concatenate((found[q][0], i)), np.concatenate((found[q][1], s))
+            order = np.lexsort((i, -s))[:k]
+            found[q] = i[order], s[order]
+            if len(order) == k:
+                kth[q] = s[order[-1]]
+    return found
 
 
 def _valid(df: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -114,8 +167,6 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == sizes["d"])
     asked = keep(asked.where(F.size("v") == sizes["d"]).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    longest = float(np.sqrt(rows.agg(F.max(square)).first()[0])) * (1 + 1e-12)
     shards = -(-sizes["n"] // shard_rows)
     blocks = max(1, -(-asked.count() // block_queries))
     # (shard, block) pairs: a vector goes to its shard's pairs, a query to its block's.
@@ -128,9 +179,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
     def search_pair(vectors: pa.Table, block: pa.Table) -> pa.Table:
         if not vectors.num_rows or not block.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        index = CollisionIndex(vectors.column("vec_id").to_numpy(), matrix(vectors), longest)
         ids = block.column("vec_id").to_numpy()
-        found = list(index.search(ids, matrix(block), k, **search))
+        found = search_shard(vectors.column("vec_id").to_numpy(), matrix(vectors), ids, matrix(block), k, **search)
         return pa.table({"query_id": pa.array(np.repeat(ids, [len(x) for x, _ in found])), "vec_id": pa.array(np.concatenate([x for x, _ in found])), "score": pa.array(np.concatenate([s for _, s in found]))})
 
     best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search_pair, out)
