@@ -79,3 +79,22 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
         return [set(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
     assert of(texts) == [of([t])[0] for t in texts]
     assert of(["moron"]) == of(["(MORON)"]) and of(["!!!"]) == [set()] == of([""])
+
+
+def test_shares_of_labelled_and_unlabelled_rows_differ(spark):
+    docs, _, truth = data(3)
+    rng = random.Random(4)
+    # Hot source: copies of toxic rows with other plain words, without labels.
+    bad = [t for i, t, *_ in docs if truth[i]]
+    for i in range(3000, 4200):
+        words = rng.choice(bad).split()
+        rng.shuffle(words)
+        docs.append((i, " ".join(words), "en", "hot", 0.5))
+        truth[i] = True
+    df = spark.createDataFrame(docs, SCHEMA)
+    labels = [(i, int(truth[i])) for i in range(3000) if rng.random() < 0.5]
+    for marks in (labels, [x for x in labels if x[1]]):  # all, and confirmed toxic rows only
+        rows = toxicity.toxicity(df, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+        recall = np.mean([r.predicted for r in rows if truth[r.doc_id]])
+        wrong = np.mean([r.predicted for r in rows if not truth[r.doc_id]])
+        assert recall > 0.95 and wrong < 0.03, (recall, wrong)

@@ -3,18 +3,21 @@
 A linear classifier is trained in numpy from confirmed toxic texts (positive) and texts without a label (unlabelled,
 some of them toxic). The risk corrects for the class prior pi: pi R_p(+) + max(0, R_u(-) - pi R_p(-)); while the second
 part of a batch is negative, the step goes the other way, so that the classifier can't learn that known positives in the
-unlabelled text are negative. pi is the share of toxic rows among the training rows that have a label.
+unlabelled text are negative. pi is the `prior` given, or else estimated from the unlabelled texts: toxic and clean rows
+may be labelled at any shares, and labels may hold toxic rows only. One classifier is trained per fold of both samples
+and scores the fold it has not seen. These scores give pi, and the cut that makes the non-negative risk, counted in
+errors, least; it becomes the score 0.5 of the mean of the classifiers.
 
 Features are a text's distinct words (trimmed of punctuation) and their first 3, 4 and 5 characters, hashed; a feature
 counts once per text and is weighted by how unevenly it is spread over both samples (none if the difference is within a
-few standard errors). Nothing but the text is an input.
+few standard errors, or if fewer than four texts hold it). Nothing but the text is an input.
 
 Bounded: at most MAX_POSITIVE and MAX_UNLABELLED training texts, taken by hash of doc_id, are fitted in the driver.
 Every row is scored over its whole text, in Arrow batches; weights (one float per hashed feature) are broadcast.
 
-Null and empty texts get the score of a text without features, which is below 0.5 (not toxic). Labels of a doc_id that
+Null and empty texts get the score of a text without features, which is held below 0.5 (not toxic). Labels of a doc_id that
 is repeated in `labels` count as toxic if any is; null labels are no labels. Without a positive or an unlabelled training
-text every score is the prior. Null doc_ids are not held out and carry no label. Other columns are ignored or kept.
+text every score is the prior given, or else the share of toxic rows among the labelled training rows. Null doc_ids are not held out and carry no label. Other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -84,6 +87,9 @@ class Features:
         kept = wanted[self.ids]
         return Features(self.ids[kept], np.concatenate(([0], np.cumsum(kept)))[self.at])
 
+    def take(self, pick: np.ndarray) -> Features:
+        return Features(self.rows(pick)[0], np.concatenate(([0], np.cumsum(self.at[pick + 1] - self.at[pick]))))
+
     def rows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the picked texts, and which pick each belongs to."""
         n = self.at[pick + 1] - self.at[pick]
@@ -108,6 +114,11 @@ class NNPU:
         z = np.abs(p - u) / np.sqrt(p * (1 - np.minimum(p, 0.999)) / n_p + u * (1 - np.minimum(u, 0.999)) / n_u)
         scale = np.where((p_count + u_count >= 4) & (z > least_z), np.minimum(z / 10, 1.0), 0).astype(np.float32)
         x_p, x_u = positive.only(scale > 0), unlabelled.only(scale > 0)
+        # Only features with a weight are trained, under new numbers.
+        active = np.flatnonzero(scale)
+        number = np.zeros(size, np.int32)
+        number[active] = np.arange(len(active))
+        x_p, x_u, scale, size = Features(number[x_p.ids], x_p.at), Features(number[x_u.ids], x_u.at), scale[active], len(active)
         rng = np.random.default_rng(seed)
         w, m, v = np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, np.float32)
         b, mb, vb, step = self.bias, 0.0, 0.0, 0
@@ -136,20 +147,73 @@ class NNPU:
                 c1, c2 = 1 - 0.9**step, 1 - 0.999**step
                 w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
                 b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-        self.weights, self.bias = w * scale, float(b)
-        # The prior also says about how many unlabelled texts are toxic: 0.5 is put into the widest gap between scores
-        # around that rank, which keeps off the mass of clean texts.
-        f, i = x_u.rows(np.arange(n_u))
-        scores = np.sort(np.bincount(i, self.weights[f], n_u) + self.bias)[::-1]
-        near = scores[int(0.5 * self.prior * n_u) : int(1.2 * self.prior * n_u) + 2]
-        if len(near) > 1:
-            at = int(np.argmax(near[:-1] - near[1:]))
-            self.bias -= float(near[at] + near[at + 1]) / 2
+        self.weights[active], self.bias = w * scale, float(b)
         return self
 
-    def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def margin(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0.0], np.cumsum(self.weights[ids], dtype=np.float64)))
-        return _sigmoid(sums[at[1:]] - sums[at[:-1]] + self.bias)
+        return sums[at[1:]] - sums[at[:-1]] + self.bias
+
+    def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        m = self.margin(ids, at)
+        return _sigmoid(np.where(at[1:] == at[:-1], np.minimum(m, -1e-6), m))  # a text without features is not toxic
+
+
+def _above(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Share of the scores that reach each cut."""
+    return 1 - np.searchsorted(np.sort(scores), cuts) / len(scores)
+
+
+def unlabelled_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from scores of texts that the model has not seen.
+
+    Above every cut lie at least the share's own positives, so it is at most the ratio of both samples' shares above the
+    cut; the cut with the least upper bound of that ratio (90 % of confidence) counts.
+    """
+    cuts = np.unique(positive)
+    p, u = _above(positive, cuts), _above(unlabelled, cuts)
+    margin = sum(np.sqrt(np.log(40) / 2 / len(x)) for x in (positive, unlabelled))
+    at = np.argmin((u + 1.01 * margin) / p)
+    return float(min(max(u[at] / p[at], 1e-3), 0.999))
+
+
+def least_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The cut with the least non-negative risk in errors: pi P_p(below) + max(0, P_u(above) - pi P_p(above))."""
+    values = np.unique(np.concatenate((positive, unlabelled)))
+    cuts = np.concatenate((values[:1] - 1, (values[:-1] + values[1:]) / 2, values[-1:] + 1))
+    p, u = _above(positive, cuts), _above(unlabelled, cuts)
+    risk = prior * (1 - p) + np.maximum(0, u - prior * p)
+    return float(np.median(cuts[risk <= risk.min() + 1e-12]))
+
+
+def fit(positive: Features, unlabelled: Features, prior: float | None, fallback: float, bits: int = BITS) -> NNPU:
+    """The mean of one classifier per fold; texts of a fold, scored by its classifier, give the prior and the cut."""
+    folds = min(FOLDS, len(positive), len(unlabelled))
+    if folds < 2:
+        return NNPU(fallback if prior is None else prior, bits).fit(positive, unlabelled)
+    fold_p, fold_u = (np.random.default_rng(5).permutation(len(x)) % folds for x in (positive, unlabelled))
+
+    def each_fold(pi: float) -> tuple[list[NNPU], np.ndarray, np.ndarray]:
+        models, seen = [], ([], [])
+        for k in range(folds):
+            m = NNPU(pi, bits).fit(*(x.take(np.flatnonzero(f != k)) for x, f in ((positive, fold_p), (unlabelled, fold_u))))
+            models.append(m)
+            for out, x, f in zip(seen, (positive, unlabelled), (fold_p, fold_u), strict=True):
+                part = x.take(np.flatnonzero(f == k))
+                out.append(m.margin(part.ids, part.at))
+        return models, *map(np.concatenate, seen)
+
+    if prior is None:
+        # Both are estimates from above: the less the scores of the two kinds overlap, the closer.
+        first = unlabelled_prior(*each_fold(0.5)[1:])
+        models, p, u = each_fold(first)
+        prior = min(first, unlabelled_prior(p, u))
+    else:
+        models, p, u = each_fold(prior)
+    model = NNPU(prior, bits)
+    model.weights = np.mean([m.weights for m in models], axis=0)
+    model.bias = float(np.mean([m.bias for m in models])) - least_risk(p, u, prior)
+    return model
 
 
 def held_out(id_column: str = "doc_id"):
@@ -174,13 +238,13 @@ def _sample(df: DataFrame, most: int, text: str, bits: int) -> Features:
     return Features(flat.view(np.int32), at // 4)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS) -> NNPU:
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS, prior: float | None = None) -> NNPU:
     """Fit on the rows that are not held out."""
     marks = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("doc_id")).agg(F.max(label).alias("_y"))
     marks = marks.where(~held_out())
     by = {bool(r["t"]): r["n"] for r in marks.groupBy((F.col("_y") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_all = by.get(True, 0), sum(by.values())
-    prior = n_toxic / n_all if n_all else 0.0
+    share = min(max(n_toxic / n_all if n_all else 0.0, 1e-3), 0.999)
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     few = keep(_thin(marks.where("_y > 0"), n_toxic, max_positive), "toxic")
     positive = _sample(texts.join(few.select("doc_id"), "doc_id", "left_semi"), max_positive, "text", bits)
@@ -189,8 +253,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     free = ids.join(marks.select("doc_id"), "doc_id", "left_anti")
     free = keep(_thin(free, free.count(), max_unlabelled), "unlabelled")
     unlabelled = _sample(texts.join(free, "doc_id", "left_semi"), max_unlabelled, "text", bits)
-    model = NNPU(min(max(prior, 1e-3), 0.999), bits)
-    return model.fit(positive, unlabelled) if len(positive) and len(unlabelled) else model
+    if not len(positive) or not len(unlabelled):
+        return NNPU(share if prior is None else prior, bits)
+    return fit(positive, unlabelled, prior, share, bits)
 
 
 def _thin(df: DataFrame, n: int, most: int) -> DataFrame:
