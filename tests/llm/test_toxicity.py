@@ -98,3 +98,19 @@ def test_shares_of_labelled_and_unlabelled_rows_differ(spark):
         recall = np.mean([r.predicted for r in rows if truth[r.doc_id]])
         wrong = np.mean([r.predicted for r in rows if not truth[r.doc_id]])
         assert recall > 0.95 and wrong < 0.03, (recall, wrong)
+
+
+def test_rare_markers_count_at_every_sample_size():
+    rng = random.Random(5)
+    plain = [f"{a}{b}" for a in ("ar", "tio", "un", "ke") for b in ("st", "ou", "ing", "lla", "mo")]
+    markers = ["".join(rng.choices("bcdfghjklmnpqrvwxz", k=7)) for _ in range(30)]  # each in a thirtieth of the toxic texts
+
+    def sample(n, toxic):
+        texts = [" ".join([*rng.choices(plain, k=30), *([rng.choice(markers)] if rng.random() < toxic else [])]) for _ in range(n)]
+        return toxicity.Features(*toxicity.features(*byte_view(pa.array(texts, pa.large_string()))))
+
+    for n in (900, 1600):
+        model = toxicity.NNPU(0.1).fit(sample(n, 1), sample(4000, 0.1))
+        seen, clean = sample(500, 1), sample(500, 0)
+        scores = model.margin(seen.ids, seen.at), model.margin(clean.ids, clean.at)
+        assert np.mean([p > q for p in scores[0][:200] for q in scores[1][:200]]) > 0.95

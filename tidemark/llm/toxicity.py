@@ -9,8 +9,8 @@ and scores the fold it has not seen. These scores give pi, and the cut that make
 errors, least; it becomes the score 0.5 of the mean of the classifiers.
 
 Features are a text's distinct words (trimmed of punctuation) and their first 3, 4 and 5 characters, hashed; a feature
-counts once per text and is weighted by how unevenly it is spread over both samples (none if the difference is within a
-few standard errors, or if fewer than four texts hold it). Nothing but the text is an input.
+counts once per text and is weighted by how unevenly it is spread over both samples (none if the difference is within
+LEAST_Z standard errors, or if fewer than four texts hold it). Nothing but the text is an input.
 
 Bounded: at most MAX_POSITIVE and MAX_UNLABELLED training texts, taken by hash of doc_id, are fitted in the driver.
 Every row is scored over its whole text, in Arrow batches; weights (one float per hashed feature) are broadcast.
@@ -35,6 +35,8 @@ MAX_UNLABELLED = 16_000
 FOLDS = 5
 BITS = 20
 LENGTHS = (3, 4, 5)
+#: Standard errors between both samples' shares from which a feature has a weight, whatever the sample sizes.
+LEAST_Z = 3.0
 _TRIM = np.zeros(256, bool)
 _TRIM[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
@@ -105,9 +107,8 @@ class NNPU:
         self.weights = np.zeros(1 << bits, np.float32)
         self.bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
 
-    def fit(self, positive: Features, unlabelled: Features, epochs: int = 12, batch: int = 512, rate: float = 0.03, decay: float = 1e-5, least_z: float | None = None, seed: int = 7) -> NNPU:
+    def fit(self, positive: Features, unlabelled: Features, epochs: int = 12, batch: int = 512, rate: float = 0.03, decay: float = 1e-5, least_z: float = LEAST_Z, seed: int = 7) -> NNPU:
         size, n_p, n_u = 1 << self.bits, len(positive), len(unlabelled)
-        least_z = min(7.0, max(3.0, n_p**0.5 / 6)) if least_z is None else least_z
         p_count, u_count = (np.bincount(x.ids, minlength=size) for x in (positive, unlabelled))
         # Scale of a feature: how far its share in positives is from that in unlabelled texts, in standard errors.
         p, u = (p_count + 0.5) / (n_p + 1), (u_count + 0.5) / (n_u + 1)
