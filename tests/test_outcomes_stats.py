@@ -87,3 +87,17 @@ def test_bootstrap_is_the_same_however_rows_are_partitioned(spark):
     a = S.cluster_bootstrap(df, [], "day", "x", 50).first()
     b = S.cluster_bootstrap(df.repartition(7, "x"), [], "day", "x", 50).first()
     assert abs(a.lo - b.lo) < 1e-12 and abs(a.hi - b.hi) < 1e-12
+
+
+def test_cell_mix_weights_keep_horizons_apart(spark):
+    pop = spark.createDataFrame([("a", 5, "m1", 1.0), ("a", 5, "m2", 3.0), ("b", 5, "m1", 2.0), ("a", 60, "m1", 7.0)], "ticker string, h int, month string, y double")
+    ev = spark.createDataFrame([("all", 5, "a", "m1", 0.0), ("all", 5, "b", "m1", 0.0), ("all", 60, "a", "m1", 0.0), ("all", 60, "a", "m2", 0.0)], "cell string, h int, ticker string, month string, y double")
+    got = S.cell_mix_weights(pop, ev, ["cell", "h"], "month", "y", shared=["h"])
+    assert sorted((r.h, r.ticker, r.month, r.w, r.y) for r in got.collect()) == [(5, "a", "m1", 0.5, 1.0), (5, "a", "m2", 0.5, 3.0), (5, "b", "m1", 1.0, 2.0), (60, "a", "m1", 2.0, 7.0)]
+
+
+def test_cells_meet_the_population_at_every_horizon():
+    from tidemark.plans import catalog
+
+    sql = catalog.ORACLES["h9_cells_difference_horizons"]
+    assert "h9_cells_difference_horizons" in catalog.QUERIES and all(f"adj_ret_{h}d AS y" in sql or f"THEN p.adj_ret_{h}d" in sql or f"ELSE p.adj_ret_{h}d" in sql for h in (5, 20, 60))

@@ -143,16 +143,17 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-def cell_mix_weights(population: DataFrame, events: DataFrame, by: Sequence[str], month: str, y: str) -> DataFrame:
+def cell_mix_weights(population: DataFrame, events: DataFrame, by: Sequence[str], month: str, y: str, shared: Sequence[str] = ()) -> DataFrame:
     """Population weighted to each cell's mix of tickers, as one row per cell, ticker and month with the mean of y.
 
-    The population is summed to ticker and month first, so cells never multiply its rows.
+    The population is summed to ticker and month first, so cells never multiply its rows. Keys of `by` that the
+    population has as well (a horizon) are `shared`.
     """
-    by = list(by)
+    by, on = list(by), ["ticker", *shared]
     w_ev = events.groupBy(*by, "ticker").agg(F.count(F.lit(1)).alias("_e"))
-    sums = population.groupBy("ticker", month).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"))
-    total = sums.groupBy("ticker").agg(F.sum("_n").alias("_p"))
-    j = sums.join(total, "ticker").join(w_ev, "ticker")
+    sums = population.groupBy(*on, month).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"))
+    total = sums.groupBy(*on).agg(F.sum("_n").alias("_p"))
+    j = sums.join(total, on).join(w_ev, on)
     return j.select(*by, "ticker", month, (F.col("_e") / F.col("_p") * F.col("_n")).alias("w"), (F.col("_s") / F.col("_n")).alias(y))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark import params as P
 from tidemark.operators import align as A
 from tidemark.operators import features as E
 from tidemark.operators import stats as S
@@ -125,6 +126,15 @@ def population(v):
     return v.keep(eligible_population(inside, purchase_events(v)))
 
 
+def population_horizons(v):
+    """The eligible population with the return y of every horizon h."""
+    pop = E.population_returns(v.daily(), v.bench(), gap_days=25)
+    inside = pop.filter(F.col("d").between(F.lit("1993-01-01").cast("date"), F.lit("2000-12-31").cast("date")))
+    e = A.eligible_days(inside, purchase_events(v), "d", "filing_date", 3).filter("eligible AND adj_ret_5d IS NOT NULL")
+    y = F.inline(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"adj_ret_{h}d").alias("y")) for h in P.STUDY_HORIZONS)))
+    return v.keep(e.select("ticker", "d", F.date_format("d", "yyyy-MM").alias("month"), y))
+
+
 def eligible_population(inside, events):
     e = A.eligible_days(inside, events, "d", "filing_date", 3).filter("eligible AND adj_ret_5d IS NOT NULL")
     return e.select("ticker", "d", F.col("adj_ret_20d").alias("y"), F.date_format("d", "yyyy-MM").alias("month"))
@@ -214,6 +224,30 @@ def h9d(v):
     return t.select("cell", r("mean_e", 5), r("mean_p", 5), r("diff", 5), r("se", 5))
 
 
+ELIGH = ELIG.replace("p.adj_ret_20d AS y", "h.h, CASE h.h WHEN 5 THEN p.adj_ret_5d WHEN 20 THEN p.adj_ret_20d ELSE p.adj_ret_60d END AS y").replace("FROM pop_v p", "FROM pop_v p CROSS JOIN (VALUES (5), (20), (60)) h(h)")
+MCH = (
+    "SELECT coalesce(e.cell, p.cell) AS cell, coalesce(e.h, p.h) AS h, coalesce(e.month, p.month) AS month, coalesce(e.w,0) AS e_w, coalesce(e.y,0) AS e_y, coalesce(p.w,0) AS p_w, coalesce(p.y,0) AS p_y FROM (SELECT cell, h, month, count(*)::DOUBLE AS w, sum(adj_ret) AS y FROM cell_v GROUP BY 1,2,3) e FULL JOIN "
+    "(SELECT k.cell, k.h, p.month, sum(k.n/c.n::DOUBLE) AS w, sum(k.n/c.n::DOUBLE*p.y) AS y FROM (SELECT * FROM eligh_v WHERE y IS NOT NULL) p JOIN (SELECT cell, h, ticker, count(*) AS n FROM cell_v GROUP BY 1,2,3) k ON k.ticker=p.ticker AND k.h=p.h "
+    "JOIN (SELECT ticker, h, count(*) AS n FROM eligh_v WHERE y IS NOT NULL GROUP BY 1,2) c ON c.ticker=p.ticker AND c.h=p.h GROUP BY 1,2,3) p ON p.month=e.month AND p.cell=e.cell AND p.h=e.h"
+)
+
+
+@query(
+    "h9_cells_difference_horizons",
+    "SELECT s.cell, s.h, round(me,5) AS mean_e, round(mp,5) AS mean_p, round(me-mp,5) AS diff, round(se,5) AS se, round(CASE WHEN se > 0 THEN (me-mp)/se END,5) AS t, b.lo, b.hi FROM (SELECT x.cell, x.h, me, mp, sqrt(G/nullif(G-1,0)*sum(power((e_y-e_w*me)/we - (p_y-p_w*mp)/wp,2))) AS se FROM mch_v x JOIN "
+    "(SELECT cell, h, count(*) AS G, nullif(sum(e_w),0) AS we, nullif(sum(p_w),0) AS wp, sum(e_y)/nullif(sum(e_w),0) AS me, sum(p_y)/nullif(sum(p_w),0) AS mp FROM mch_v GROUP BY 1,2) t ON t.cell=x.cell AND t.h=x.h GROUP BY x.cell, x.h, me, mp, G) s JOIN b_v b ON b.cell=s.cell AND b.h=s.h",
+    **{**PV, "cell_v": CELLQ, "eligh_v": ELIGH, "mch_v": MCH},
+    b_v=boot("mch_v", "cell,h", "sum(c.e_y)/nullif(sum(c.e_w),0)-sum(c.p_y)/nullif(sum(c.p_w),0)", 50, "7", "month", "round(quantile_cont(m,0.025),5) AS lo, round(quantile_cont(m,0.975),5) AS hi"),
+)
+def h9dh(v):
+    """Every cell and horizon against the population of that horizon, weighted to that cell's own mix of tickers."""
+    c = S.study_cells(scored(v)).filter("adj_ret IS NOT NULL").withColumn("month", F.date_format("filing_date", "yyyy-MM"))
+    events = v.keep(c.select("cell", "h", "ticker", "month", F.col("adj_ret").alias("y")))
+    p = S.cell_mix_weights(population_horizons(v).filter("y IS NOT NULL"), events, ["cell", "h"], "month", "y", shared=["h"])
+    t = S.weighted_diff_test(events, p, ["cell", "h"], "month", "y", "w", 50, "7")
+    return t.select("cell", "h", r("mean_e", 5), r("mean_p", 5), r("diff", 5), r("se", 5), r("t", 5), r("lo", 5), r("hi", 5))
+
+
 @query(
     "h10_wilson_interval",
     "SELECT ticker, round((p + 3.8416/(2*n))/(1+3.8416/n) - 1.96*sqrt(p*(1-p)/n + 3.8416/(4*n*n))/(1+3.8416/n),9) AS lo, round((p + 3.8416/(2*n))/(1+3.8416/n) + 1.96*sqrt(p*(1-p)/n + 3.8416/(4*n*n))/(1+3.8416/n),9) AS hi FROM (SELECT ticker, count(*)::DOUBLE AS n, avg((net_ret>0)::INT) AS p FROM trades_v GROUP BY 1)",
