@@ -101,3 +101,10 @@ def test_cells_meet_the_population_at_every_horizon():
 
     sql = catalog.ORACLES["h9_cells_difference_horizons"]
     assert "h9_cells_difference_horizons" in catalog.QUERIES and all(f"adj_ret_{h}d AS y" in sql or f"THEN p.adj_ret_{h}d" in sql or f"ELSE p.adj_ret_{h}d" in sql for h in (5, 20, 60))
+
+
+def test_random_ticker_control_of_groups(spark):
+    sig = spark.createDataFrame([("all", 1, "a", "d1", 1), ("all", 2, "b", "d1", 1), ("fired", 2, "b", "d1", 1), ("all", 3, "a", "d2", 2)], "grp string, signal_id int, ticker string, day string, t0 int")
+    rets = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (2, "a", 5.0)], "t0 int, ticker string, adj double")  # window 2 has no other ticker
+    got = S.random_ticker_control(sig, rets, ["t0"], 3, "7", by=["grp"]).collect()
+    assert sorted((r.grp, r.b, r.draw_mean) for r in got) == [("all", b, 2.0) for b in range(3)] + [("fired", b, 1.0) for b in range(3)]

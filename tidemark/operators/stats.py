@@ -75,29 +75,30 @@ def summarize(df: DataFrame, by: Sequence[str], cluster: str, value: str, n_boot
     return base.join(_percentiles(draws, by).drop("p_le_0"), by)
 
 
-def random_ticker_control(signals: DataFrame, returns: DataFrame, key: Sequence[str], n_draws: int = 1000, seed: str = "20261001") -> DataFrame:
+def random_ticker_control(signals: DataFrame, returns: DataFrame, key: Sequence[str], n_draws: int = 1000, seed: str = "20261001", by: Sequence[str] = ()) -> DataFrame:
     """Replace each signal's return by that of another valid ticker over the same window, `n_draws` times.
 
     `signals` has `key` (window), ticker, signal_id, day; `returns` has `key`, ticker, adj. The valid
-    tickers of a window form one array, bounded by the universe. One row per draw: its day-weighted mean.
+    tickers of a window form one array, bounded by the universe. One row per draw (and group `by` of the signals): its
+    day-weighted mean.
     """
     valid = returns.filter(F.col("adj").isNotNull()).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ticker", "adj"))).alias("v"))
     j = signals.join(valid, list(key)).withColumn("v", F.filter("v", lambda x: x.ticker != F.col("ticker"))).filter(F.size("v") > 0)
     # The window's array is read where it stands; only a draw's number and return leave the row.
     drawn = F.transform(
         F.sequence(F.lit(0), F.lit(n_draws - 1)),
-        lambda b: F.struct(b.alias("b"), F.element_at("v", (hash32(F.lit(seed), b, F.col("signal_id")) % F.size("v")).cast("int") + 1).adj.alias("x")),
+        lambda b: F.struct(b.alias("b"), F.element_at("v", (hash32(F.lit(seed), b, F.col("signal_id")) % F.nullif(F.size("v"), F.lit(0))).cast("int") + 1).adj.alias("x")),
     )
-    picked = j.select("day", drawn.alias("d")).select("day", F.inline("d"))
-    per_day = picked.groupBy("b", "day").agg(F.avg("x").alias("dm"))
-    return per_day.groupBy("b").agg(F.avg("dm").alias("draw_mean"))
+    picked = j.select(*by, "day", drawn.alias("d")).select(*by, "day", F.inline("d"))
+    per_day = picked.groupBy(*by, "b", "day").agg(F.avg("x").alias("dm"))
+    return per_day.groupBy(*by, "b").agg(F.avg("dm").alias("draw_mean"))
 
 
-def control_percentile(draws: DataFrame, real: Column) -> DataFrame:
-    """Share of draws below the real mean, ties half, with the draws' median and interval."""
+def control_percentile(draws: DataFrame, real: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Share of draws below the real mean, ties half, with the draws' median and interval, per group `by`."""
     d = draws.withColumn("_r", real)
     below = F.when(F.col("draw_mean") < F.col("_r"), 1.0).when(F.col("draw_mean") == F.col("_r"), 0.5).otherwise(0.0)
-    return d.agg(
+    return d.groupBy(*by).agg(
         F.max("_r").alias("real_mean"), F.avg(below).alias("real_percentile"), F.percentile("draw_mean", F.lit(0.5)).alias("control_median"),
         F.percentile("draw_mean", F.lit(0.025)).alias("control_lo"), F.percentile("draw_mean", F.lit(0.975)).alias("control_hi"),
     )

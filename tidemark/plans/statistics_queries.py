@@ -91,6 +91,46 @@ def h4p(v):
     return S.control_percentile(draws, real).select(r("real_mean", 7), r("real_percentile"), r("control_median", 7))
 
 
+# Both groups of the report: all signals, and the fired ones among them.
+RG = {
+    "w_v": "SELECT unnest(CASE WHEN status='fired' THEN ['all','fired'] ELSE ['all'] END) AS grp, signal_id, ticker, CAST(ts_utc AS DATE) AS day, ts_utc AS t0, ts_utc + INTERVAL '120' MINUTE AS t1 FROM signals_v",
+    "r_v": RV["r_v"],
+    "adj_v": RV["adj_v"],
+    "draw_v": (
+        "SELECT grp, b, avg(dm) AS draw_mean FROM (SELECT grp, b, day, avg(v[('0x'||substr(md5(concat_ws('|','7',b,signal_id)),1,8))::UBIGINT::BIGINT % len(v) + 1]) AS dm FROM (SELECT w.grp, w.signal_id, w.day, list(a.adj ORDER BY a.ticker) AS v FROM w_v w JOIN adj_v a ON a.t0=w.t0 WHERE a.adj IS NOT NULL AND a.ticker <> w.ticker GROUP BY 1,2,3) "
+        "CROSS JOIN range(100) t(b) GROUP BY 1,2,3) GROUP BY 1,2"
+    ),
+}
+
+
+def control_groups(v):
+    s = v.signals().select(
+        F.explode(F.when(F.col("status") == "fired", F.array(F.lit("all"), F.lit("fired"))).otherwise(F.array(F.lit("all")))).alias("grp"),
+        "signal_id", "ticker", F.to_date("ts_utc").alias("day"), F.col("ts_utc").alias("t0"), A.after("ts_utc", 120).alias("t1"),
+    )
+    rets = v.keep(A.universe_returns(s, v.bars(), v.universe(), "view"))
+    return s, rets, S.random_ticker_control(s, rets, ["t0", "t1"], 100, "7", by=["grp"])
+
+
+@query("h4_random_ticker_draws_groups", "SELECT grp, b::INT AS b, round(draw_mean,7) AS draw_mean FROM draw_v", **RG)
+def h4g(v):
+    """The control of all signals and of the fired ones."""
+    return control_groups(v)[2].select("grp", "b", r("draw_mean", 7))
+
+
+@query(
+    "h4_control_percentile_groups",
+    "SELECT d.grp, round(m,7) AS real_mean, round(avg(CASE WHEN draw_mean < m THEN 1.0 WHEN draw_mean = m THEN 0.5 ELSE 0 END),9) AS real_percentile, round(quantile_cont(draw_mean,0.5),7) AS control_median, round(quantile_cont(draw_mean,0.025),7) AS control_lo, round(quantile_cont(draw_mean,0.975),7) AS control_hi "
+    "FROM draw_v d JOIN (SELECT grp, avg(dm) AS m FROM (SELECT w.grp, w.day, avg(a.adj) AS dm FROM w_v w JOIN adj_v a ON a.t0=w.t0 AND a.ticker=w.ticker WHERE a.adj IS NOT NULL GROUP BY 1,2) GROUP BY 1) x ON x.grp=d.grp GROUP BY d.grp, m",
+    **RG,
+)
+def h4pg(v):
+    s, rets, draws = control_groups(v)
+    real = S.cluster_stats(s.join(rets, ["t0", "t1", "ticker"]), ["grp"], "day", "adj").select("grp", "cluster_mean")
+    p = S.control_percentile(draws.join(real, "grp"), F.col("cluster_mean"), by=["grp"])
+    return p.select("grp", r("real_mean", 7), r("real_percentile"), r("control_median", 7), r("control_lo", 7), r("control_hi", 7))
+
+
 # ---- study statistics --------------------------------------------------------------------------------
 SC20 = "SELECT *, strftime(filing_date,'%Y-%m') AS month FROM scored_ev_v WHERE h = 20"
 VOL = "SELECT * FROM sc20_v WHERE NOT is_10b5_1 AND adj_ret IS NOT NULL"
