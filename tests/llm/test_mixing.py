@@ -88,3 +88,12 @@ def test_hot_source_spreads(spark):
     df = spark.range(20_000).selectExpr("id as doc_id", "'w w' as text", "'one' as source")
     rows = mixing.ranked(df, "source", [df.doc_id], 8)
     assert sorted(r["rank"] for r in rows.collect()) == list(range(1, 20_001))
+
+
+def test_a_column_named_like_the_size_is_no_input(spark):
+    df = spark.createDataFrame([(1, "a b c", "x"), (2, "d", "x"), (3, "e f", "y")], "doc_id long, text string, source string")
+    want = sorted(tuple(r) for r in mixing.plan(df).collect())
+    for name in ("_size", "_SIZE"):
+        extra = df.selectExpr("*", f"1000L AS {name}")
+        assert sorted(tuple(r) for r in mixing.plan(extra).collect()) == want
+        assert mixing.mix(extra).columns == extra.columns

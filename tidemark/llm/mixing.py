@@ -13,7 +13,7 @@ the counts of the tasks before it.
 
 Null and empty texts have size 0 and are taken like others (with 0 words). A source whose sizes are all 0 has target 0
 and nothing is taken from it; a null source is one source. Repeated rows are documents of their own; null ids come
-first. Other columns are kept. The offset is a hash of seed and source, so reruns agree.
+first. Other columns are kept, whatever their names, and are no input. The offset is a hash of seed and source, so reruns agree.
 """
 
 from __future__ import annotations
@@ -110,8 +110,10 @@ def offset(source: Column, seed: str) -> Column:
 def plan(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", cycle: tuple[int, ...] = CYCLE, cap: int = CAP, carry: bool = False) -> DataFrame:
     """Per document doc_id, size, source_size, target, copies and taken; with `carry` all columns of df as struct `row`."""
     row = [F.struct(*df.columns).alias("row")] if carry else []
-    sized = add_word_count(df, text, "_size") if "_size" not in df.columns else df
-    docs = sized.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col("_size").alias("size"), *row)
+    words = "_size"
+    while words in {c.lower() for c in df.columns}:
+        words = f"_{words}"
+    docs = add_word_count(df, text, words).select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col(words).alias("size"), *row)
     rows = ranked(docs, "source", [F.col("size").asc(), F.col("doc_id").asc()], partitions(df.sparkSession))
     sources = keep(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     goal = keep(targets(sources, cycle, cap), "targets").withColumnRenamed("source", "_source")
