@@ -1,7 +1,7 @@
 """Queries of this subpackage, one per operator, with DuckDB SQL where SQL can express them.
 
 op1 (tokenizer), op2 (byte strings and digests over whole tables), op4 (a trained model), op5 (tokenizer), op9 (an
-approximate search) and the pipeline have none; tests hold them against brute force.
+approximate search), op12 (tokenizer) and the pipeline have none; tests hold them against brute force.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, collision_ann, decontaminate, mixing, ngram_join, suffix_dedup, token_counts, token_files, toxicity, warc
+from . import byte_bpe, centroids, chat, collision_ann, decontaminate, mixing, ngram_join, ranked_search, suffix_dedup, token_counts, token_files, toxicity, warc
 from .common import table
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -68,6 +68,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(chat.probe(spark, table(spark, sf_dir, "conversations")))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 8 clusters after 10 rounds, in integers."""
+    return centroids.summary(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the ranks of a byte-level vocabulary and decoded again."""
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that score highest for every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Lower-cases A-Z only, as the operator does.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -154,9 +169,48 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def _op11(rounds: int = 10, clusters: int = 8, dimensions: int = 64) -> str:
+    """Rounds are written out one after the other."""
+    steps = f"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dimensions}),
+v AS MATERIALIZED (SELECT r, vec_id, unnest(range(1, {dimensions} + 1)) AS d, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM e),
+s AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id), embedding) - 1 AS k FROM e WHERE vec_id IS NOT NULL QUALIFY k < {clusters}),
+c0 AS MATERIALIZED (SELECT k, d, x AS c FROM v JOIN s USING (r))"""
+    for i in range(rounds + 1):
+        steps += f""",
+p{i} AS (SELECT r, k, sum((x - c) * (x - c))::BIGINT AS w FROM v JOIN c{i} USING (d) GROUP BY r, k),
+a{i} AS MATERIALIZED (SELECT r, k, w FROM p{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY w, k) = 1)"""
+        if i < rounds:
+            steps += f""",
+m{i} AS (SELECT k, d, sum(x) AS t, count(*) AS n FROM v JOIN a{i} USING (r) GROUP BY k, d),
+c{i + 1} AS MATERIALIZED (SELECT k, d, CASE WHEN n IS NULL THEN c ELSE ((t - ((t % n) + n) % n) // n)::BIGINT END AS c FROM c{i} LEFT JOIN m{i} USING (k, d))"""
+    return steps + f"""
+SELECT vec_id, k::INTEGER AS cluster, w AS distance, (sum(w) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(w) OVER ())::BIGINT AS inertia,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY d)) FROM c{rounds} z WHERE z.k = a{rounds}.k) AS centroid_sha256
+FROM a{rounds} JOIN e USING (r)
+"""
+
+
+_OP13 = r"""
+WITH q AS (
+  SELECT DISTINCT item_id, text, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+n AS (SELECT r, doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+g AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS l FROM n),
+t AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, g GROUP BY term, nn),
+p AS (SELECT t.r, t.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nn) // l))) AS part FROM t JOIN w USING (term) JOIN n USING (r), g),
+s AS (SELECT item_id, text, r, sum(part)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY 1, 2, 3 HAVING sum(part) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank, doc_id, score
+FROM s JOIN n USING (r) QUALIFY rank <= 50
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_suffix_dedup, op3_ngram_jaccard_join, op4_toxicity, op5_token_counts, op6_warc, op7_decontaminate, op8_mixing, op9_collision_ann, op10_chat)
+    for f in (op1_token_files, op2_suffix_dedup, op3_ngram_jaccard_join, op4_toxicity, op5_token_counts, op6_warc, op7_decontaminate, op8_mixing, op9_collision_ann, op10_chat, op11_centroids, op12_byte_bpe, op13_ranked_search)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": _OP3, "op6_warc": _OP6, "op7_decontaminate": _OP7, "op8_mixing": _OP8, "op10_chat": _OP10}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": _OP3, "op6_warc": _OP6, "op7_decontaminate": _OP7, "op8_mixing": _OP8, "op10_chat": _OP10, "op11_centroids": _op11(), "op13_ranked_search": _OP13}
