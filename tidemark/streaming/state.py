@@ -255,7 +255,9 @@ class ItemState:
 
     def add(self, items: DataFrame, batch_id: int, published: str = "published_utc", arrival: str = "arrival") -> None:
         write_day(items.select("news_hash", F.col(published).alias("_p")), f"{self.root}/hashes", "_p", batch_id)
-        arrivals = items.select("ticker", F.col(arrival).alias("nt"))
+        self.add_arrivals(items.select("ticker", F.col(arrival).alias("nt")), batch_id)
+
+    def add_arrivals(self, arrivals: DataFrame, batch_id: int) -> None:
         write_day(arrivals, f"{self.root}/arrivals", "nt", batch_id)
         # Arrivals of days that a snapshot has closed (none where time runs forward) are kept beside the snapshots.
         closed = days_of(self.spark, f"{self.root}/last")
