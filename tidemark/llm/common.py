@@ -35,6 +35,14 @@ def keep(df: DataFrame, kind: str = "kept") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df has not, in any case; nor with one more underscore."""
+    taken = {c.lower() for c in df.columns}
+    while {name.lower(), f"_{name.lower()}"} & taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

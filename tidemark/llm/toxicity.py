@@ -6,18 +6,22 @@ part of a batch is negative, the step goes the other way, so that the classifier
 unlabelled text are negative. pi is the `prior` given, or else estimated from the unlabelled texts: toxic and clean rows
 may be labelled at any shares, and labels may hold toxic rows only. One classifier is trained per fold of both samples
 and scores the fold it has not seen. These scores give pi, and the cut that makes the non-negative risk, counted in
-errors, least; it becomes the score 0.5 of the mean of the classifiers.
+errors, least; it becomes the score 0.5 of the mean of the classifiers. Where the scores don't bound pi (few positives, or
+no feature that tells them apart) pi is the toxic share of the labelled rows, and no more than half of the unlabelled
+texts lie above the cut. A clean label is not read by the classifier: every training row that is not confirmed toxic is
+unlabelled, so a fully labelled table works as any other.
 
 Features are a text's distinct words (trimmed of punctuation) and their first 3, 4 and 5 characters, hashed; a feature
 counts once per text and is weighted by how unevenly it is spread over both samples (none if the difference is within
 LEAST_Z standard errors, or if fewer than four texts hold it). Nothing but the text is an input.
 
-Bounded: at most MAX_POSITIVE and MAX_UNLABELLED training texts, taken by hash of doc_id, are fitted in the driver.
-Every row is scored over its whole text, in Arrow batches; weights (one float per hashed feature) are broadcast.
+Bounded: at most MAX_POSITIVE and MAX_UNLABELLED training texts, taken by hash of doc_id, are fitted in one task, which
+reads their hashed features from the shared folder; the driver gets the weights. Every row is scored over its whole text, in Arrow batches; weights (one float per hashed feature) are broadcast.
 
 Null and empty texts get the score of a text without features, which is held below 0.5 (not toxic). Labels of a doc_id that
 is repeated in `labels` count as toxic if any is; null labels are no labels. Without a positive or an unlabelled training
-text every score is the prior given, or else the share of toxic rows among the labelled training rows. Null doc_ids are not held out and carry no label. Other columns are ignored or kept.
+text every score is the prior given, or else the share of toxic rows among the labelled training rows, held below 0.5.
+Very long texts are one numpy pass each. Columns of the input may have any names. Null doc_ids are not held out and carry no label. Other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Prefixes, byte_view, each_text, keep, mix, words
+from .common import Prefixes, each_text, free_name, keep, mix, words
 
 MAX_POSITIVE = 8_000
 MAX_UNLABELLED = 16_000
@@ -165,16 +169,19 @@ def _above(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return 1 - np.searchsorted(np.sort(scores), cuts) / len(scores)
 
 
-def unlabelled_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def unlabelled_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float | None:
     """Share of positives among the unlabelled, from scores of texts that the model has not seen.
 
     Above every cut lie at least the share's own positives, so it is at most the ratio of both samples' shares above the
-    cut; the cut with the least upper bound of that ratio (90 % of confidence) counts.
+    cut; the cut with the least upper bound of that ratio (90 % of confidence) counts. None if no cut bounds it below one.
     """
     cuts = np.unique(positive)
     p, u = _above(positive, cuts), _above(unlabelled, cuts)
     margin = sum(np.sqrt(np.log(40) / 2 / len(x)) for x in (positive, unlabelled))
-    at = np.argmin((u + 1.01 * margin) / p)
+    bound = (u + 1.01 * margin) / p
+    at = np.argmin(bound)
+    if bound[at] >= 1:
+        return None
     return float(min(max(u[at] / p[at], 1e-3), 0.999))
 
 
@@ -191,7 +198,9 @@ def fit(positive: Features, unlabelled: Features, prior: float | None, fallback:
     """The mean of one classifier per fold; texts of a fold, scored by its classifier, give the prior and the cut."""
     folds = min(FOLDS, len(positive), len(unlabelled))
     if folds < 2:
-        return NNPU(fallback if prior is None else prior, bits).fit(positive, unlabelled)
+        model = NNPU(fallback if prior is None else prior, bits).fit(positive, unlabelled)
+        model.bias -= max(0.0, _over_half(model.margin(unlabelled.ids, unlabelled.at)))
+        return model
     fold_p, fold_u = (np.random.default_rng(5).permutation(len(x)) % folds for x in (positive, unlabelled))
 
     def each_fold(pi: float) -> tuple[list[NNPU], np.ndarray, np.ndarray]:
@@ -204,39 +213,84 @@ def fit(positive: Features, unlabelled: Features, prior: float | None, fallback:
                 out.append(m.margin(part.ids, part.at))
         return models, *map(np.concatenate, seen)
 
-    if prior is None:
+    known = prior is not None
+    if known:
+        models, p, u = each_fold(prior)
+    else:
         # Both are estimates from above: the less the scores of the two kinds overlap, the closer.
         first = unlabelled_prior(*each_fold(0.5)[1:])
-        models, p, u = each_fold(first)
-        prior = min(first, unlabelled_prior(p, u))
-    else:
+        prior = fallback if first is None else first
         models, p, u = each_fold(prior)
+        second = unlabelled_prior(p, u)
+        known = first is not None and second is not None
+        prior = min(x for x in (prior, second) if x is not None)
     model = NNPU(prior, bits)
     model.weights = np.mean([m.weights for m in models], axis=0)
-    model.bias = float(np.mean([m.bias for m in models])) - least_risk(p, u, prior)
+    cut = least_risk(p, u, prior)
+    model.bias = float(np.mean([m.bias for m in models])) - (cut if known else max(cut, _over_half(u)))
     return model
 
 
+def _over_half(scores: np.ndarray) -> float:
+    """The least cut that at most half of the scores reach."""
+    return float(np.nextafter(np.sort(scores)[(len(scores) - 1) // 2], np.inf)) + 1e-6
+
+
 def held_out(id_column: str = "doc_id"):
     """Whether labels of the row are kept from training: crc32 of the id as text divides by FOLDS."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _sample(df: DataFrame, most: int, text: str, bits: int) -> Features:
-    """Feature ids of at most `most` texts, by hash of the id; only distinct hashed features reach the driver."""
+def _sample(df: DataFrame, most: int, text: str, bits: int) -> DataFrame:
+    """Hashed features (`f`, 32-bit ids) of some `most` texts, by hash of the id, kept in the shared folder."""
     n = df.count()
     if n > most:
-        # A share of the hash range that holds `most` rows on average, then the exact bound.
+        # A share of the hash range that holds `most` rows on average; the fit takes `most` of them.
         df = df.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.02 * most / n)))
 
     def encode(batches):
-        for _, flat, offsets in each_text(batches, text):
+        for batch, flat, offsets in each_text(batches, text):
             ids, at = features(flat, offsets, bits)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "f"])
+
+    return keep(df.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(encode, "doc_id long, f binary"), "features")
 
-    got = df.select("doc_id", text).mapInArrow(encode, "f binary").toArrow().column("f").slice(0, most).cast(pa.large_binary()).combine_chunks()
-    flat, at = byte_view(got)
-    return Features(flat.view(np.int32), at // 4)
+
+def _fit_in_task(positive: DataFrame, unlabelled: DataFrame, most: tuple[int, int], prior: float | None, fallback: float, bits: int) -> NNPU:
+    """The fit over both bounded samples, in one task; the weights come back."""
+
+    def run(batches):
+        rows: tuple[list, list] = ([], [])
+        for batch in batches:
+            for kind, f in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if len(rows[kind]) < most[kind]:
+                    rows[kind].append(np.frombuffer(f.as_buffer(), np.int32).copy())
+        both = [Features(np.concatenate([*x, np.zeros(0, np.int32)]), np.concatenate(([0], np.cumsum([len(v) for v in x], dtype=np.int64)))) for x in rows]
+        rows[0].clear(), rows[1].clear()
+        if not len(both[0]) or not len(both[1]):
+            model = NNPU(fallback if prior is None else prior, bits)
+            model.bias = model.bias if prior is not None else min(model.bias, -1e-6)
+        else:
+            model = fit(*both, prior, fallback, bits)
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([float(model.bias)]), "prior": pa.array([float(model.prior)])})
+
+    tagged = positive.select(F.lit(0).alias("k"), "doc_id", "f").unionAll(unlabelled.select(F.lit(1).alias("k"), "doc_id", "f"))
+    # One task over a bounded sample, in a fixed order.
+    ordered = tagged.repartition(1).sortWithinPartitions("k", "doc_id", "f").select("k", "f")
+    row = ordered.mapInArrow(run, "weights binary, bias double, prior double").first()
+    if row is None:
+        return _unfitted(prior, fallback, bits)
+    model = NNPU(row.prior, bits)
+    model.weights, model.bias = np.frombuffer(row.weights, "<f4"), row.bias
+    return model
+
+
+def _unfitted(prior: float | None, fallback: float, bits: int) -> NNPU:
+    """Without texts of both kinds: the prior as every score, an estimated one below 0.5."""
+    model = NNPU(fallback if prior is None else prior, bits)
+    if prior is None:
+        model.bias = min(model.bias, -1e-6)
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS, prior: float | None = None) -> NNPU:
@@ -250,13 +304,11 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     few = keep(_thin(marks.where("_y > 0"), n_toxic, max_positive), "toxic")
     positive = _sample(texts.join(few.select("doc_id"), "doc_id", "left_semi"), max_positive, "text", bits)
     ids = docs.select(F.col(id_column).alias("doc_id")).where("doc_id is not null").where(~held_out()).distinct()
-    # Labels of held-out rows play no part: unlabelled rows come from the training rows.
-    free = ids.join(marks.select("doc_id"), "doc_id", "left_anti")
+    # Labels of held-out rows play no part: unlabelled rows come from the training rows, those labelled clean among them.
+    free = ids.join(marks.where("_y > 0").select("doc_id"), "doc_id", "left_anti")
     free = keep(_thin(free, free.count(), max_unlabelled), "unlabelled")
     unlabelled = _sample(texts.join(free, "doc_id", "left_semi"), max_unlabelled, "text", bits)
-    if not len(positive) or not len(unlabelled):
-        return NNPU(share if prior is None else prior, bits)
-    return fit(positive, unlabelled, prior, share, bits)
+    return _fit_in_task(positive, unlabelled, (max_positive, max_unlabelled), prior, share, bits)
 
 
 def _thin(df: DataFrame, n: int, most: int) -> DataFrame:
@@ -286,4 +338,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 def reject(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows that are not predicted to be toxic, with the columns of docs."""
     model = train(docs, labels, id_column, text, **options)
-    return score(docs, model, text, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = free_name(docs, "_toxicity")
+    return score(docs, model, text, name).where(F.col(name) < 0.5).drop(name)
