@@ -4,15 +4,17 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir) and return
 the columns of `documents`. Between stages the rows are written as Parquet in the shared folder and read again.
 
 Null ids, null and empty texts: not toxic by themselves, no duplicates, not contaminated, mixed at size 0, encoded as the
-end id alone. Repeated rows of one id count as copies of it: one stays. An empty table gives an empty result.
+end id alone. Repeated rows of one id count as copies of it: one stays. Ties go to the smaller id. Very long texts are whole
+in every stage. Columns of any other names are kept up to the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, ngram_join, token_files, toxicity
-from tidemark.llm.common import keep, table
+from tidemark.llm.common import free_name, keep, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item (7)."""
-    return decontaminate.screen(docs, table(spark, sf_dir, "benchmark"), name="_hits").where("size(_hits) = 0").drop("_hits")
+    name = free_name(docs, "_hits")
+    return decontaminate.screen(docs, table(spark, sf_dir, "benchmark"), name=name).where(F.size(name) == 0).drop(name)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
