@@ -14,62 +14,75 @@ from tidemark.operators.align import after, entry_bar, with_exit, with_session
 
 
 # ---- stop exits -------------------------------------------------------------------------------------
-def _along_path(trades: DataFrame, bars: DataFrame, block: int, found: Callable[[Column], dict[str, Column]]) -> DataFrame:
-    """Trades with the columns that `found(path)` aggregates over the bars of [entry_idx, exit_idx], however many.
-
-    Bars are packed by blocks of row numbers and a trade is dealt to each block that its own window meets, so the two
-    meet in an equi-join on (ticker, block) that makes one row per trade and block, not per bar. Equal trades stay as
-    many as they are.
+def _first_bar(windows: DataFrame, bars: DataFrame, some: Callable[[Column, Column], Column], each: Column, block: int) -> DataFrame:
+    """Per distinct window (ticker, entry_idx, exit_idx and the columns that the conditions name) the first bar that meets
+    `each`, as struct `_bar`; windows without one drop.
+
+    Blocks of bars have a summary, their lowest low and highest high. A window meets the summaries of its blocks in an
+    equi-join, and `some(low, high)` says whether a block can hold such a bar. Opened are only the block that holds the
+    window's first bar, its last one, and the first block between them that can; the two at the ends may also hold bars
+    outside the window, the one between holds the bar if the summary says so.
     """
-    bar = F.struct("idx", "ts", "open", "high", "low", "close")
-    packed = bars.groupBy("ticker", F.floor(F.col("idx") / block).cast("long").alias("_blk")).agg(F.sort_array(F.collect_list(bar)).alias("_bars"))
+    keys = windows.columns
+    place = F.floor(F.col("idx") / block).cast("long")
+    levels = bars.groupBy("ticker", place.alias("_blk")).agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
     first, last = (F.floor(F.col(c) / block).cast("long") for c in ("entry_idx", "exit_idx"))
-    dealt = trades.withColumn("_blk", F.explode(F.sequence(first, F.greatest(first, last))))
-    lo, hi = F.col("entry_idx"), F.col("exit_idx")
-    path = F.filter("_bars", lambda b: (b.idx >= lo) & (b.idx <= hi))
-    parts = dealt.join(packed, ["ticker", "_blk"])
-    copies = F.count_if(F.col("_blk") == first).alias("_copies")
-    met = parts.groupBy(*trades.columns).agg(copies, *[c.alias(n) for n, c in found(path).items()])
-    return met.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).filter("_copies > 0").drop("_copies")
+    dealt = windows.withColumn("_blk", F.explode(F.sequence(first, F.greatest(first, last))))
+    able = dealt.join(levels, ["ticker", "_blk"]).filter(some(F.col("_low"), F.col("_high")))
+    end = (F.col("_blk") == first) | (F.col("_blk") == last)
+    opened = able.groupBy(*keys).agg(F.collect_set(F.when(end, F.col("_blk"))).alias("_ends"), F.min(F.when(~end, F.col("_blk"))).alias("_mid"))
+    opened = opened.withColumn("_blk", F.explode(F.array_distinct(F.array_compact(F.concat("_ends", F.array("_mid"))))))
+    met = opened.join(bars.select("ticker", place.alias("_blk"), "idx", "ts", "open", "high", "low", "close"), ["ticker", "_blk"])
+    met = met.filter((F.col("idx") >= F.col("entry_idx")) & (F.col("idx") <= F.col("exit_idx")) & each)
+    return met.groupBy(*keys).agg(F.min_by(F.struct("ts", "open", "high", "low", "close"), "idx").alias("_bar"))
+
+
+def _with_path(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """Trades whose ticker has bars from the entry on."""
+    newest = bars.groupBy("ticker").agg(F.max("idx").alias("_newest"))
+    return trades.join(newest, "ticker").filter(F.col("entry_idx") <= F.col("_newest"))
 
 
-def first_touch_exit(trades: DataFrame, bars: DataFrame, block: int = 128) -> DataFrame:
+def first_touch_exit(trades: DataFrame, bars: DataFrame, block: int = 32) -> DataFrame:
     """Exit at the first bar of [entry, exit] that touches the stop, else at the planned exit.
 
     `trades` has entry_idx, exit_idx, entry_price, exit_price, direction, stop_dist; a missing or
     non-positive stop distance never stops. A gap through the stop fills at the open.
+    Only distinct windows are searched; the wide rows move once, in the closing join.
     """
     sd = F.when((F.col("stop_dist") > 0) & ~F.isnan("stop_dist") & (F.col("stop_dist") < float("inf")), F.col("stop_dist"))
-    t = trades.withColumn("_long", F.col("direction") == "long").withColumn(
+    t = _with_path(trades, bars).drop("_newest").withColumn("_long", F.col("direction") == "long").withColumn(
         "_stop", F.when(F.col("_long"), F.col("entry_price") - sd).otherwise(F.col("entry_price") + sd)
     )
     lng, stop = F.col("_long"), F.col("_stop")
+    keys = ["ticker", "entry_idx", "exit_idx", "_long", "_stop"]
 
-    def touched(path: Column) -> dict[str, Column]:
-        hits = F.filter(path, lambda b: F.coalesce(F.when(lng, b.low <= stop).otherwise(b.high >= stop), F.lit(False)))
-        return {"_hit": F.min(F.try_element_at(hits, F.lit(1)))}
+    def touch(low: Column, high: Column) -> Column:
+        return F.coalesce(F.when(lng, low <= stop).otherwise(high >= stop), F.lit(False))
 
-    j = _along_path(t, bars, block, touched)
-    fill = F.when(lng, F.least(F.col("_hit.open"), stop)).otherwise(F.greatest(F.col("_hit.open"), stop))
-    return j.withColumn("stopped", F.col("_hit").isNotNull()).withColumn(
+    hits = _first_bar(t.filter("_stop IS NOT NULL").select(*keys).distinct(), bars, touch, touch(F.col("low"), F.col("high")), block)
+    j = t.join(hits, keys, "left")
+    fill = F.when(lng, F.least(F.col("_bar.open"), stop)).otherwise(F.greatest(F.col("_bar.open"), stop))
+    return j.withColumn("stopped", F.col("_bar").isNotNull()).withColumn(
         "exit_fill", F.when(F.col("stopped"), fill).otherwise(F.col("exit_price"))
-    ).drop("_hit", "_long", "_stop")
+    ).select(*trades.columns, "stopped", "exit_fill")
 
 
-def short_circuit_exit(trades: DataFrame, bars: DataFrame, block: int = 128) -> DataFrame:
+def short_circuit_exit(trades: DataFrame, bars: DataFrame, block: int = 32) -> DataFrame:
     """The live variant: only the first bar not wholly below the stop decides; it stops only if the
     stop lies inside that bar. Kept for comparison with `first_touch_exit`. Null stop: never stops."""
     stop = F.col("stop_price")
-
-    def decider(path: Column) -> dict[str, Column]:
-        open_ = F.filter(path, lambda b: ~F.coalesce(b.high < stop, F.lit(False)))
-        return {"_d": F.min(F.try_element_at(open_, F.lit(1))), "_last": F.max(F.try_element_at(path, F.lit(-1)))}
-
-    j = _along_path(trades, bars, block, decider)
-    hit = F.coalesce((F.col("_d.low") <= stop) & (stop <= F.col("_d.high")), F.lit(False))
+    keys = ["ticker", "entry_idx", "exit_idx", "stop_price"]
+    t = _with_path(trades, bars)
+    # A bar without a high is not wholly below: a block that may hold one is opened.
+    whole = bars.withColumn("high", F.coalesce("high", F.lit(float("inf"))))
+    deciders = _first_bar(t.filter("stop_price IS NOT NULL").select(*keys).distinct(), whole, lambda low, high: high >= stop, F.col("high") >= stop, block)
+    ends = bars.select("ticker", F.col("idx").alias("_end"), F.struct("ts", "close").alias("_last"))
+    j = t.withColumn("_end", F.when(F.col("exit_idx") >= F.col("entry_idx"), F.least("exit_idx", "_newest"))).join(ends, ["ticker", "_end"], "left").join(deciders, keys, "left")
+    hit = F.coalesce((F.col("_bar.low") <= stop) & (stop <= F.col("_bar.high")), F.lit(False))
     return j.withColumn("stopped", hit).withColumn("exit_price", F.when(hit, stop).otherwise(F.col("_last.close"))).withColumn(
-        "exit_ts", F.when(hit, F.col("_d.ts")).otherwise(F.col("_last.ts"))
-    ).drop("_d", "_last")
+        "exit_ts", F.when(hit, F.col("_bar.ts")).otherwise(F.col("_last.ts"))
+    ).select(*[c for c in trades.columns if c not in ("exit_price", "exit_ts")], "stopped", "exit_price", "exit_ts")
 
 
 def wall_clock_window(trades: DataFrame, bars: DataFrame, t: str, minutes: int = P.HORIZON_BARS) -> DataFrame:
