@@ -108,3 +108,13 @@ def test_random_ticker_control_of_groups(spark):
     rets = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (2, "a", 5.0)], "t0 int, ticker string, adj double")  # window 2 has no other ticker
     got = S.random_ticker_control(sig, rets, ["t0"], 3, "7", by=["grp"]).collect()
     assert sorted((r.grp, r.b, r.draw_mean) for r in got) == [("all", b, 2.0) for b in range(3)] + [("fired", b, 1.0) for b in range(3)]
+
+
+def test_secrets_stay_out_of_plans(spark):
+    from tidemark.operators.clean import redact
+
+    df = spark.createDataFrame([("key=s3cr3tvalue, tok",), (None,)], "text string")
+    out = df.select(redact("text", {"KEY": "s3cr3tvalue", "EMPTY": "", "TOK": "tok"}).alias("text"))
+    assert [r.text for r in out.collect()] == ["key=***REDACTED_KEY***, ***REDACTED_TOK***", None]
+    assert "s3cr3tvalue" not in out._jdf.queryExecution().toString()
+    assert redact("text", {"EMPTY": ""}) is not None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import params as P
@@ -104,11 +104,17 @@ def pair_kth(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: st
 
 
 def redact(text: str | Column, secrets: dict[str, str]) -> Column:
-    """Mask each non-empty secret value by its name."""
+    """Mask each non-empty secret value by its name.
+
+    The values come from a one-row frame through scalar subqueries, so that plans, which are logged, don't show them.
+    """
     out = F.col(text) if isinstance(text, str) else text
-    for name, value in secrets.items():
-        if value:
-            out = F.replace(out, F.lit(value), F.lit(f"***REDACTED_{name}***"))
+    held = {name: value for name, value in secrets.items() if value}
+    if not held:
+        return out
+    one = SparkSession.active().createDataFrame([tuple(held.values())], ", ".join(f"`{name}` string" for name in held))
+    for name in held:
+        out = F.replace(out, one.select(f"`{name}`").scalar(), F.lit(f"***REDACTED_{name}***"))
     return out
 
 

@@ -162,13 +162,19 @@ def best_trial(trials: DataFrame, value: str, params: Sequence[str], trial: str)
 def threshold_curve(df: DataFrame, prob: str, hit: Column, step: float | None = None) -> DataFrame:
     """Precision, recall and fire rate of every threshold: each distinct probability, or those of a grid with `step`.
 
-    Probabilities are counted before anything moves; the running sums from the top are scanned in blocks.
+    Probabilities are counted before anything moves; the running sums from the top are scanned in blocks, or in one window
+    over the grid, which has at most 1 / step + 1 rows.
     """
     k = round(1 / step) if step else None
     value = F.floor(F.round(F.col(prob) * k, 9)) / F.lit(float(k)) if step else F.col(prob).cast("double")
     g = df.filter(F.col(prob).isNotNull()).groupBy((-value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(hit).alias("_h"))
     total = g.agg(F.sum("_n").alias("n_all"), F.sum("_h").alias("h_all"))
-    sums = cumulative_sums(g, [], {"fired": F.col("_n"), "hits": F.col("_h")}).withColumn("_t", total.select(F.struct("*")).scalar())
+    if k:
+        top = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        scanned = g.select("*", F.sum("_n").over(top).alias("fired"), F.sum("_h").over(top).alias("hits"))
+    else:
+        scanned = cumulative_sums(g, [], {"fired": F.col("_n"), "hits": F.col("_h")})
+    sums = scanned.withColumn("_t", total.select(F.struct("*")).scalar())
     return sums.select(
         (-F.col("_v")).alias("threshold"), "fired", F.try_divide("hits", "fired").alias("precision"), F.try_divide("hits", F.col("_t.h_all")).alias("recall"), F.try_divide("fired", F.col("_t.n_all")).alias("fire_rate")
     )

@@ -192,6 +192,13 @@ def f19c(v):
     return c.select("threshold", "fired", r("precision"), r("recall"), r("fire_rate"))
 
 
+@query("f19_choose_exact_threshold", "SELECT round(threshold,9) AS threshold, fired, round(precision,9) AS precision, round(recall,9) AS recall, round(fire_rate,9) AS fire_rate FROM curve_v WHERE precision >= 0.45 AND fire_rate BETWEEN 0.01 AND 0.05 ORDER BY curve_v.threshold LIMIT 1", curve_v=EXACT_CURVE)
+def f19cx(v):
+    """The choice among all distinct probabilities."""
+    c = L.choose_threshold(L.threshold_curve(v.probs(), "p3", F.col("y") == 3), P.PRECISION_FLOOR["Strong Buy"])
+    return c.select(r("threshold"), "fired", r("precision"), r("recall"), r("fire_rate"))
+
+
 @query("f20_reliability", "SELECT bin, count(*) AS n, round(avg(p2),8) AS mean_pred, round(avg((y=2)::INT),9) AS emp_freq FROM (SELECT *, ntile(5) OVER (ORDER BY p2, id) AS bin FROM probs_v) GROUP BY 1")
 def f20(v):
     return L.reliability(v.probs(), "p2", F.col("y") == 2, "id", 5).select("bin", "n", r("mean_pred", 8), r("emp_freq"))
