@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import align as A
+from tidemark.operators import features as E
 from tidemark.operators import reports as R
 from tidemark.operators import stats as S
 from tidemark.operators import text as X
-from tidemark.plans.features_queries import AV, SIG, EVM, STUDY_EV, TR, events_with_regime
+from tidemark.plans.features_queries import AV, BR, SIG, EVM, STUDY_EV, TR, events_with_regime
 from tidemark.plans.labels_queries import DEC, PRED, decisions, predicted
 from tidemark.plans.statistics_queries import PCT, boot
 from tidemark.plans.text_queries import PROSE_TYPES, TIER, _type_sql, profiled
@@ -102,6 +104,43 @@ def j6(v):
     return R.regime_buckets(e, "above", "vol_ratio", "mom", "tod").groupBy("dimension", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A month of bars holds no 60 days; the long volatility window is 20 days here.
+SHORT_LONG = (5, 20)
+TRB = (
+    "SELECT ticker, d, CASE WHEN n>=22 AND rs>=0 AND rl>0 THEN rs/rl END AS vol_ratio, CASE WHEN n>=22 AND rs>=0 AND rl>0 THEN m END AS mom FROM (SELECT ticker, d, n, "
+    "stddev_samp(lr) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS rs, stddev_samp(lr) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS rl, m FROM (SELECT ticker, d, "
+    "row_number() OVER w AS n, ln(c/lag(c) OVER w) AS lr, c/lag(c,5) OVER w - 1 AS m FROM (SELECT ticker, CAST(ts AS DATE) AS d, arg_max(close, ts) AS c FROM bars_v GROUP BY 1,2) WINDOW w AS (PARTITION BY ticker ORDER BY d)))"
+)
+TB = (
+    "SELECT t.trade_id, t.day, t.excess, b.above_slow AS above, a.vol_ratio, a.mom, CASE WHEN x.sess_start IS NULL THEN NULL WHEN epoch_us(t.entry_ts)-epoch_us(x.sess_start) < 3600000000 THEN 'first hour' WHEN epoch_us(x.sess_end)-epoch_us(t.entry_ts) <= 7200000000 THEN 'last 2h' ELSE 'midday' END AS tod "
+    "FROM (SELECT * FROM trades_v WHERE excess IS NOT NULL) t ASOF LEFT JOIN trb_v a ON a.ticker=t.ticker AND a.d < t.day ASOF LEFT JOIN br9_v b ON b.d < t.day LEFT JOIN sessions_v x ON t.entry_ts >= x.sess_start AND t.entry_ts < x.sess_end"
+)
+TBK = (
+    "SELECT d.dimension AS dimension, d.bucket AS bucket, day, excess FROM (SELECT day, excess, unnest([{'dimension':'benchmark','bucket':CASE WHEN above IS NULL THEN 'benchmark missing' WHEN above=1 THEN 'benchmark high' ELSE 'benchmark low' END}, {'dimension':'vol','bucket':CASE WHEN vol_ratio IS NULL THEN 'vol missing' WHEN vol_ratio > 1 THEN 'vol high' ELSE 'vol low' END}, "
+    "{'dimension':'mom','bucket':CASE WHEN mom IS NULL THEN 'mom missing' WHEN mom > 0 THEN 'mom high' ELSE 'mom low' END}, {'dimension':'tod','bucket':coalesce(tod,'tod missing')}]) AS d FROM tb_v)"
+)
+
+
+@query(
+    "j6_breakdown_summary",
+    "SELECT c.dimension, c.bucket, sum(c_n)::BIGINT AS n, count(*) AS n_days, round(avg(c_mean),8) AS day_mean, round(sum(c_sum)/sum(c_n),8) AS pooled, round(sum(c_neg)/sum(c_n),9) AS neg_share, sum(c_n) < 30 AS thin, any_value(b.lo) AS lo, any_value(b.hi) AS hi FROM tbc_v c JOIN b_v b ON b.dimension=c.dimension AND b.bucket=c.bucket GROUP BY 1,2",
+    br_v=BR, br9_v="SELECT d + 9131 AS d, above_slow FROM br_v", trb_v=TRB, tb_v=TB, tbk_v=TBK,
+    tbc_v="SELECT dimension, bucket, day, sum(excess) AS c_sum, count(*) AS c_n, avg(excess) AS c_mean, count(*) FILTER (excess < 0) AS c_neg FROM tbk_v GROUP BY 1,2,3",
+    b_v=boot("tbc_v", "dimension,bucket", "avg(c.c_mean)", 50, "42", "day", PCT),
+)
+def j6s(v):
+    """Trades' excess by benchmark regime, volatility regime, momentum sign and time of day, with the summary of H3 for
+    every bucket; the buckets come from the prior-day regimes and the session of the entry."""
+    daily = E.daily_closes(v.bars())
+    bench = v.bench().select(F.date_add("d", 9131).alias("d"), "c")
+    t = v.trades().filter("excess IS NOT NULL").select("trade_id", "ticker", "entry_ts", "day", "excess")
+    t = E.prior_valid_day(t, daily, E.ticker_regime(daily, *SHORT_LONG), "entry_ts", ["vol_ratio", "mom"])
+    t = A.with_session(E.prior_day(t, E.benchmark_regime(bench), "entry_ts", ["above_slow"], by=(), out="_b"), "entry_ts", v.sessions())
+    tod = F.when(F.col("sess_start").isNotNull(), E.time_of_day("entry_ts", "sess_start", "sess_end"))
+    rows = R.regime_buckets(t.select("day", "excess", F.col("_b.above_slow").alias("above"), "pd.vol_ratio", "pd.mom", tod.alias("tod")), "above", "vol_ratio", "mom", "tod")
+    return S.summarize(rows, ["dimension", "bucket"], "day", "excess", 50, "42").select("dimension", "bucket", "n", "n_days", r("day_mean", 8), r("pooled", 8), r("neg_share"), "thin", r("lo", 8), r("hi", 8))
+
+
 @query("j7_negative_share", "SELECT count(*) AS n, round(avg((ln(entry_price) < 1)::INT),9) AS negative_share FROM signals_v WHERE class_name='Sell'")
 def j7(v):
     return R.negative_share(v.signals().withColumn("x", F.ln("entry_price") - 1), "x").select("n", r("negative_share"))
