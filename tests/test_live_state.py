@@ -172,3 +172,30 @@ def test_nothing_seen_yet(spark, made, tmp_path):
     flow = items.select("news_hash", F.lit(1.0).alias("hours_since_prev"), F.lit(0).alias("items_prior"))
     assert state.frame(items, day(4), flow).count() == 0 and not Path(state.root, "carry").exists()
     assert S.ItemState(spark, str(tmp_path / "f")).unseen(items, 0).count() == 1
+
+
+def test_live_run_scores_the_whole_frame(spark, made, tmp_path):
+    from tidemark.operators import text as X
+    from tidemark.streaming import live as K
+
+    rows, bars, sessions, bench, universe = made
+    expected = R.expected_columns(["A", "B"], ["earnings", "other"])
+    few = bars.filter(F.to_date("ts").between(F.lit(day(60)), F.lit(day(66)))).cache()
+    state = S.FeatureState(spark, str(tmp_path / "s"), sessions, bench, universe, expected, min_bars=3)
+    state.add_bars(few, 0)
+    asked = []
+
+    def score(df):
+        asked.append(df.columns)
+        p = F.when(F.col("rsi").isNotNull() | F.col("atr_pct").isNull(), 0.6).otherwise(0.5)
+        return df.withColumns({"p0": F.lit(0.1), "p1": F.lit(0.1), "p2": F.lit(0.2), "p3": p, "severity": F.col("et_hour")})
+
+    patterns = X.matchers(spark.createDataFrame([("X", "Xylo Works Inc"), ("Y", "Yonder Mills")], "ticker string, name string"))
+    run = K.LiveRun(spark, str(tmp_path / "out"), few, sessions, patterns, score, {"Strong Buy": 0.4}, (-1.0, 1.0), min_bars=3, features=state)
+    (_, a), (_, b) = at(66, 15, 40), at(66, 15, 50)
+    items = spark.createDataFrame([("X", "Xylo Works beats", "", "s", a, b, "http://x", 2, "f"), ("Y", "nothing here", "", "s", a, b, None, None, "f")], "ticker string, headline string, summary string, source string, published_utc timestamp, arrival timestamp, url string, n_symbols int, news_source string")
+    run.process(items, 0)
+    run.process(items, 1)
+    (r,) = spark.read.parquet(f"{run.root}/signals").collect()
+    assert set(expected) <= set(asked[0]) and (r.headline, r.status, r.url, r.n_symbols, r.prob_raw, r.severe) == ("Xylo Works beats", "fired", "http://x", 2, 0.6, 1)
+    assert math.isclose(r.severity, 10 + 40 / 60) and r.items_prior == 0 and r.signal_id is not None
