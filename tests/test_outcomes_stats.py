@@ -118,3 +118,16 @@ def test_secrets_stay_out_of_plans(spark):
     assert [r.text for r in out.collect()] == ["key=***REDACTED_KEY***, ***REDACTED_TOK***", None]
     assert "s3cr3tvalue" not in out._jdf.queryExecution().toString()
     assert redact("text", {"EMPTY": ""}) is not None
+
+
+def test_drawdown_does_not_depend_on_the_block_width(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, ts(f"2024-03-04T{int(h):02d}:{int(m):02d}:00"), i, float(x)) for i, (g, h, m, x) in enumerate(zip(rng.choice(["A", "B"], 400), rng.integers(9, 12, 400), rng.integers(0, 60, 400), rng.standard_normal(400)))]
+    df = spark.createDataFrame(rows, "g string, t timestamp, i int, x double")
+    want = {}
+    for g in "AB":
+        c = np.cumsum([r[3] for r in sorted(rows, key=lambda r: (r[1], r[2])) if r[0] == g])
+        want[g] = (np.maximum.accumulate(c) - c).max()
+    for width in (60_000_000, 3_600_000_000, 86_400_000_000):
+        got = {r.g: r.max_drawdown for r in O.max_drawdown(df, ["g"], "t", "i", "x", width).collect()}
+        assert all(abs(got[g] - want[g]) < 1e-9 for g in want)

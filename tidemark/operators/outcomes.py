@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import params as P
 from tidemark.functions.hashing import hash32
-from tidemark.functions.scan import DAY, asof, exact_quantiles, first_per_key, rank_rows, running_sums, time_block
+from tidemark.functions.scan import HOUR, asof, exact_quantiles, first_per_key, rank_rows, running_sums, time_block
 from tidemark.operators.align import after, entry_bar, with_exit, with_session
 
 
@@ -120,17 +120,21 @@ def stop_level(df: DataFrame, atr_pct: str, multiple: float = P.STOP_ATR_MULTIPL
 
 
 # ---- summaries ---------------------------------------------------------------------------------------------
-def max_drawdown(trades: DataFrame, by: Sequence[str], t: str, tie: str, ret: str) -> DataFrame:
-    """Largest fall of the running return sum from its running peak, scanned day by day."""
+def max_drawdown(trades: DataFrame, by: Sequence[str], t: str, tie: str, ret: str, width: int = HOUR) -> DataFrame:
+    """Largest fall of the running return sum from its running peak.
+
+    Scanned in time blocks of `width` microseconds, whatever the trades in a day: a block's own sums and peaks meet the sum
+    and the peak of the blocks before it. The width only decides how work is cut.
+    """
     by = list(by)
-    day = time_block(t, DAY)
-    cum = running_sums(trades.select(*by, t, tie, ret), by, [t, tie], day, {"_cum": F.col(ret)}).withColumn("_day", day)
-    peaks = cum.groupBy(*by, "_day").agg(F.max("_cum").alias("_pk"))
-    before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carry = peaks.select(*by, "_day", F.max("_pk").over(before).alias("_before"))
-    inner = Window.partitionBy(*by, "_day").orderBy(t, tie).rowsBetween(Window.unboundedPreceding, 0)
+    block = time_block(t, width)
+    cum = running_sums(trades.select(*by, t, tie, ret), by, [t, tie], block, {"_cum": F.col(ret)}).withColumn("_blk", block)
+    peaks = cum.groupBy(*by, "_blk").agg(F.max("_cum").alias("_pk"))
+    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = peaks.select(*by, "_blk", F.max("_pk").over(before).alias("_before"))
+    inner = Window.partitionBy(*by, "_blk").orderBy(t, tie).rowsBetween(Window.unboundedPreceding, 0)
     peak = F.greatest(F.max("_cum").over(inner), F.col("_before"))
-    return cum.join(carry, [*by, "_day"]).withColumn("_dd", peak - F.col("_cum")).groupBy(*by).agg(F.max("_dd").alias("max_drawdown"))
+    return cum.join(carry, [*by, "_blk"]).withColumn("_dd", peak - F.col("_cum")).groupBy(*by).agg(F.max("_dd").alias("max_drawdown"))
 
 
 def _t_stat(c: str) -> Column:
