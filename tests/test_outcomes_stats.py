@@ -110,6 +110,26 @@ def test_random_ticker_control_of_groups(spark):
     assert sorted((r.grp, r.b, r.draw_mean) for r in got) == [("all", b, 2.0) for b in range(3)] + [("fired", b, 1.0) for b in range(3)]
 
 
+def test_random_ticker_draws_equal_a_loop(spark):
+    from hashlib import md5
+
+    tickers, n = list("abcde"), 40
+    rng = np.random.default_rng(3)
+    adj = {(w, t): None if (w + i) % 7 == 0 else float(rng.integers(-9, 9)) for w in range(6) for i, t in enumerate(tickers)}
+    sig = [(i, tickers[i % 5], f"d{i % 3}", i % 6) for i in range(60)]
+    want = []
+    for b in range(n):
+        days = {}
+        for i, t, d, w in sig:
+            v = [adj[w, x] for x in tickers if x != t and adj[w, x] is not None]
+            days.setdefault(d, []).append(v[int(md5(f"7|{b}|{i}".encode()).hexdigest()[:8], 16) % len(v)])
+        want.append(np.mean([np.mean(x) for x in days.values()]))
+    s = spark.createDataFrame(sig, "signal_id int, ticker string, day string, t0 int")
+    r = spark.createDataFrame([(w, t, x) for (w, t), x in adj.items()], "t0 int, ticker string, adj double")
+    got = {x.b: x.draw_mean for x in S.random_ticker_control(s, r, ["t0"], n, "7").collect()}
+    assert np.allclose([got[b] for b in range(n)], want) and len(got) == n
+
+
 def test_secrets_stay_out_of_plans(spark):
     from tidemark.operators.clean import redact
 

@@ -80,16 +80,17 @@ def random_ticker_control(signals: DataFrame, returns: DataFrame, key: Sequence[
 
     `signals` has `key` (window), ticker, signal_id, day; `returns` has `key`, ticker, adj. The valid
     tickers of a window form one array, bounded by the universe. One row per draw (and group `by` of the signals): its
-    day-weighted mean.
+    day-weighted mean. Every pair of window and ticker is priced once, before the draws: with draws in the hundreds
+    and a universe of that size nearly every pair is drawn.
     """
     valid = returns.filter(F.col("adj").isNotNull()).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ticker", "adj"))).alias("v"))
-    j = signals.join(valid, list(key)).withColumn("v", F.filter("v", lambda x: x.ticker != F.col("ticker"))).filter(F.size("v") > 0)
-    # The window's array is read where it stands; only a draw's number and return leave the row.
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.lit(n_draws - 1)),
-        lambda b: F.struct(b.alias("b"), F.element_at("v", (hash32(F.lit(seed), b, F.col("signal_id")) % F.nullif(F.size("v"), F.lit(0))).cast("int") + 1).adj.alias("x")),
-    )
-    picked = j.select(*by, "day", drawn.alias("d")).select(*by, "day", F.inline("d"))
+    # The other tickers are picked once per signal. Draws then run inside generated code up to the partial sums, and the
+    # array is read where it stands: only (draw, day) sums leave a task.
+    others = F.filter("v", lambda x: x.ticker != F.col("ticker")).getField("adj")
+    j = signals.join(valid, list(key)).select(*by, "day", "signal_id", others.alias("v")).filter(F.size("v") > 0)
+    drawn = j.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    pick = (hash32(F.lit(seed), F.col("b"), F.col("signal_id")) % F.size("v")).cast("int")
+    picked = drawn.select(*by, "b", "day", F.get("v", pick).alias("x"))
     per_day = picked.groupBy(*by, "b", "day").agg(F.avg("x").alias("dm"))
     return per_day.groupBy(*by, "b").agg(F.avg("dm").alias("draw_mean"))
 
