@@ -147,6 +147,35 @@ def running_sums(
     return joined.drop("_b", *[f"_c_{n}" for n in sums])
 
 
+def merge_intervals(df: DataFrame, by: Sequence[str], start: str, end: str, width: int = HOUR) -> DataFrame:
+    """Union of possibly overlapping intervals per `by` (may be empty): disjoint rows (`by`, s, e); touching ones merge.
+
+    Intervals are cut into blocks by their start. A block is scanned with the furthest end and the open union of the blocks
+    before it, so no task holds a key's intervals, however many overlap; `width` microseconds only decide how work is cut.
+    Intervals that are empty, reversed or null at either end take no part.
+    """
+    by = list(by)
+    rows = df.select(*by, F.col(start).alias("s"), F.col(end).alias("e")).filter("s < e").groupBy(*by, "s").agg(F.max("e").alias("e"))
+    rows = rows.withColumn("_b", F.coalesce(time_block("s", width), F.lit(0)))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*by, "_b").agg(F.max("e").alias("_r")).select(*by, "_b", F.max("_r").over(before).alias("_reach"))
+    earlier = Window.partitionBy(*by, "_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*by, "_b").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_b"]]
+    seen = rows.alias("l").join(reach.alias("r"), on).select("l.*", "r._reach")
+    opens = F.col("s") > F.greatest(F.max("e").over(earlier), F.col("_reach"))
+    local = seen.withColumn("_o", F.when(F.coalesce(opens, F.lit(True)), F.col("s"))).withColumn("_i", F.max("_o").over(upto))
+    pieces = local.groupBy(*by, "_b", "_i").agg(F.max("e").alias("e"))
+    # A piece without an opening of its own belongs to the last union opened in the blocks before.
+    last = Window.partitionBy(*by).orderBy("_b", F.col("_i").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    heads = pieces.groupBy(*by, "_b").agg(F.max("_i").alias("_i"))
+    wanted = pieces.filter(F.col("_i").isNull()).select(*by, "_b", "_i", F.col("e").alias("_e"))
+    chain = heads.select(*by, "_b", "_i", F.lit(None).cast(pieces.schema["e"].dataType).alias("_e")).filter("_i IS NOT NULL").unionByName(wanted)
+    tails = chain.withColumn("s", F.max("_i").over(last)).filter(F.col("_e").isNotNull()).select(*by, "s", F.col("_e").alias("e"))
+    own = pieces.filter(F.col("_i").isNotNull()).select(*by, F.col("_i").alias("s"), "e")
+    return own.unionByName(tails).groupBy(*by, "s").agg(F.max("e").alias("e"))
+
+
 def _with_splits(df: DataFrame, by: list[str], value: str, tie: str | None, parts: int) -> DataFrame:
     """Add the value splits of each group (and the tie-break's span) as columns."""
     cuts = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)])

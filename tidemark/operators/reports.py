@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import params as P
 from tidemark.functions.hashing import hash32
-from tidemark.functions.scan import DAY, asof, exact_quantiles, top_per_key
+from tidemark.functions.scan import DAY, HOUR, asof, exact_quantiles, merge_intervals, top_per_key
 from tidemark.operators.stats import wilson
 
 ET = "America/New_York"
@@ -278,18 +278,12 @@ def multi_symbol_share(signals: DataFrame, k: int = 1) -> DataFrame:
     return fired.agg(n(), F.avg((F.col("n_symbols") >= 2).cast("double")).alias("multi_share"), F.count_if(F.col("n_symbols") <= k).alias(f"n_at_most_{k}"))
 
 
-def merged_downtime(down: DataFrame, start: str, end: str) -> DataFrame:
-    """Merge overlapping intervals. Runs inside each UTC day; longer intervals are cut at midnight first,
-    so no task scans more than one day of intervals."""
-    days = F.sequence(F.to_date(start), F.to_date(end))
-    cut = down.select(F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(days).alias("day")).select(
-        "day", F.greatest("_s", F.col("day").cast("timestamp")).alias("s"), F.least("_e", F.date_add("day", 1).cast("timestamp")).alias("e")
-    ).filter("s < e")
-    w = Window.partitionBy("day").orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    m = cut.withColumn("_new", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int"))
-    m = m.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return m.groupBy("day", "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
+def merged_downtime(down: DataFrame, start: str, end: str, width: int = HOUR) -> DataFrame:
+    """Merge overlapping intervals and cut the result at midnight (UTC): rows day, s, e."""
+    m = merge_intervals(down, [], start, end, width)
+    days = m.withColumn("day", F.explode(F.sequence(F.to_date("s"), F.to_date("e"))))
+    midnight, after = F.col("day").cast("timestamp"), F.date_add("day", 1).cast("timestamp")
+    return days.select("day", F.greatest("s", midnight).alias("s"), F.least("e", after).alias("e")).filter("s < e")
 
 
 def service_coverage(down: DataFrame, sessions: DataFrame, start: str, end: str) -> DataFrame:
