@@ -5,6 +5,7 @@ Fitted trees are rows-only checks; what is computed from given scores, predictio
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import additive as N
 from tidemark.operators import labels as L
 from tidemark.operators import models as M
 from tidemark.operators import reports as R
@@ -43,6 +44,74 @@ def f11(v):
     return M.predict_probs(model, test, FEATURES).select("id", "y", "pred", "q0", "q1", "q2", "q3")
 
 
+# ---- the additive model ------------------------------------------------------------------------------
+DAY = "CAST(ts AS DATE)"
+NB = {
+    "fr_v": f"SELECT id, ts, {DAY} AS day, y, p0, p1, p2, p3, hour(ts)::DOUBLE AS hour, (dayofweek(ts) + 1)::DOUBLE AS dow FROM probs_v",
+    "ho_v": f"SELECT 1 AS fold, DATE '{CUT}' AS test_start, (SELECT max(day) FROM fr_v) AS test_end, DATE '{CUT}' - 1 AS train_before",
+    "tr_v": f"SELECT * FROM fr_v WHERE day < DATE '{CUT}' - 1",
+    "wf_v": "SELECT fold, min(day) AS test_start, max(day) AS test_end, min(day) - 1 AS train_before FROM (SELECT day, ntile(3) OVER (ORDER BY day) AS fold FROM (SELECT day, row_number() OVER (ORDER BY day) AS i FROM (SELECT DISTINCT day FROM tr_v)) WHERE i > 8) GROUP BY 1",
+}
+
+
+def nb_views(rows: str, folds: str, trials: str = "(VALUES (0, 1e-9, true)) t(trial, smoothing, balanced)") -> dict[str, str]:
+    """Naive Bayes in long form: one row per feature, two-pass variances per fold and class."""
+    unpivot = "UNPIVOT {} ON p0, p1, p2, p3, hour, dow INTO NAME f VALUE x"
+    return {
+        **NB,
+        "in_v": f"SELECT g.fold, r.* FROM {rows} r JOIN {folds} g ON r.day < g.train_before",
+        "te_v": f"SELECT g.fold, r.* FROM {rows} r JOIN {folds} g ON r.day BETWEEN g.test_start AND g.test_end",
+        "il_v": f"SELECT fold, y, f, x FROM ({unpivot.format('in_v')})",
+        "tl_v": f"SELECT fold, id, y, f, x FROM ({unpivot.format('te_v')})",
+        "po_v": "SELECT fold, f, var_pop(x) AS v FROM il_v GROUP BY 1,2",
+        "cl_v": "SELECT c.fold, c.y AS k, t.trial, CASE WHEN t.balanced THEN -ln(count(*) OVER (PARTITION BY c.fold, t.trial)) ELSE ln(c.n / sum(c.n) OVER (PARTITION BY c.fold, t.trial)) END AS prior "
+        f"FROM (SELECT fold, y, count(*) AS n FROM in_v GROUP BY 1,2) c, {trials}",
+        "pa_v": f"SELECT l.fold, l.y AS k, l.f, t.trial, avg(l.x) AS m, var_pop(l.x) + t.smoothing * any_value(p.v) AS v FROM il_v l JOIN po_v p ON p.fold=l.fold AND p.f=l.f, {trials} WHERE p.v > 0 GROUP BY 1,2,3,4, t.smoothing",
+        "ll_v": "SELECT l.trial, l.fold, l.id, l.y, l.k, l.s + c.prior AS s FROM (SELECT p.trial, t.fold, t.id, t.y, p.k, sum(-(ln(p.v) + (t.x-p.m)*(t.x-p.m)/p.v)/2) AS s FROM tl_v t JOIN pa_v p ON p.fold=t.fold AND p.f=t.f GROUP BY 1,2,3,4,5) l JOIN cl_v c ON c.fold=l.fold AND c.k=l.k AND c.trial=l.trial",
+        "sm_v": "SELECT trial, fold, id, y, k, exp(s - max(s) OVER w) / sum(exp(s - m)) OVER w AS q, row_number() OVER (PARTITION BY trial, fold, id ORDER BY s DESC, k) AS r FROM (SELECT *, max(s) OVER (PARTITION BY trial, fold, id) AS m FROM ll_v) WINDOW w AS (PARTITION BY trial, fold, id)",
+        "nb_v": "SELECT trial, fold, id, any_value(y) AS y, max(CASE WHEN r=1 THEN k END) AS pred, " + ", ".join(f"coalesce(max(CASE WHEN k={k} THEN q END),0) AS q{k}" for k in range(4)) + " FROM sm_v GROUP BY 1,2,3",
+    }
+
+
+Q = ", ".join(f"round(q{k},7) AS q{k}" for k in range(4))
+
+
+def rounded(df, *first):
+    return df.select(*first, *[F.round(f"q{k}", 7).alias(f"q{k}") for k in range(4)])
+
+
+@query("f11_additive_classifier", f"SELECT id, y, pred, {Q} FROM nb_v", **nb_views("fr_v", "ho_v"))
+def f11a(v):
+    """Naive Bayes on the holdout split."""
+    train, test = split(v)
+    return rounded(N.holdout(train, test, FEATURES, "y"), "id", "y", "pred")
+
+
+@query("f17_additive_out_of_fold", f"SELECT id, fold, y, pred, {Q} FROM nb_v", **nb_views("tr_v", "wf_v"))
+def f17a(v):
+    """Naive Bayes out of fold: all expanding folds from one pass over the rows."""
+    train, _ = split(v)
+    return rounded(N.out_of_fold(train, "ts", folds(v, train), FEATURES, "y"), "id", "fold", "y", "pred")
+
+
+GRID = [(1e-9, True), (1e-9, False), (0.1, True), (1.0, False)]
+TRIALS = "(VALUES " + ", ".join(f"({i}, {s}, {str(b).lower()})" for i, (s, b) in enumerate(GRID)) + ") t(trial, smoothing, balanced)"
+
+
+@query(
+    "f9_additive_search",
+    "SELECT m.trial, round(avg(m.f),8) AS value, any_value(t.smoothing)::DOUBLE AS smoothing, any_value(t.balanced) AS balanced FROM (SELECT trial, fold, avg(f1) AS f FROM (SELECT a.trial, a.fold, a.k, 2.0*a.tp/(a.n+a.p) AS f1 FROM "
+    "(SELECT n.trial, n.fold, k.k, count(*) FILTER (n.y=k.k) AS n, count(*) FILTER (n.pred=k.k) AS p, count(*) FILTER (n.y=k.k AND n.pred=k.k) AS tp FROM nb_v n, (VALUES (0),(1),(2),(3)) k(k) GROUP BY 1,2,3) a WHERE a.n > 0) GROUP BY 1,2) m "
+    f"JOIN {TRIALS} ON t.trial=m.trial GROUP BY 1",
+    **nb_views("tr_v", "wf_v", TRIALS),
+)
+def f9a(v):
+    """Four trials over all folds from the same sums."""
+    train, _ = split(v)
+    s = N.search(train, "ts", folds(v, train), FEATURES, "y", GRID)
+    return s.select("trial", F.round("value", 8).alias("value"), "smoothing", "balanced")
+
+
 def calibrated(v):
     train, _ = split(v)
     oof = v.keep(M.out_of_fold(train, "ts", folds(v, train), FEATURES, "y", lambda: M.forest(5, 4)))
