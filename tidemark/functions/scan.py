@@ -8,7 +8,7 @@ the blocks before it. `block` only decides how work is cut; results do not depen
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,14 +51,15 @@ def asof(
     *,
     forward: bool = False,
     exact: bool = True,
-    block: int | None = HOUR,
+    block: int | Callable[[str], Column] | None = HOUR,
     out: str = "m",
 ) -> DataFrame:
     """Attach to each left row the nearest right row at or before (or after) `lt`, as struct `out`.
 
     `right` holds one row per (`by`, `rt`). Only the distinct (`by`, `lt`) points take part in the
     scan; the wide left rows move once, in the closing equi-join, whose hot keys AQE can split.
-    `block=None` skips the cutting, for date columns, where a key has at most one point per day.
+    `block=None` skips the cutting, for date columns, where a key has at most one point per day; for other orders than time
+    it is a function from a column's name to a block number that never falls along the order.
     """
     by = list(by)
     side_left, side_right = (1, 0) if exact else (0, 1)
@@ -78,7 +79,7 @@ def asof(
         w = Window.partitionBy(*by).orderBy(time_order, "_s").rowsBetween(Window.unboundedPreceding, 0)
         found = rows.withColumn("_m", F.last("_p", ignorenulls=True).over(w))
     else:
-        blk = time_block("_t", block)
+        blk = block("_t") if callable(block) else time_block("_t", block)
         blk_order = F.col("_b").desc() if forward else F.col("_b").asc()
         edge = F.min_by("_p", "_t") if forward else F.max_by("_p", "_t")
         edges = marks.withColumn("_b", blk).groupBy(*by, "_b").agg(edge.alias("_e"))
@@ -213,6 +214,12 @@ def _blocks(df: DataFrame, parts: int | None) -> int:
     return 1 << (parts - 1).bit_length()
 
 
+def value_blocks(df: DataFrame, by: Sequence[str], value: str, parts: int | None = None) -> DataFrame:
+    """Add `_blk`, the number of a block of about equally many rows along `value` inside `by`; equal values share one."""
+    parts = _blocks(df, parts)
+    return _count_below(_with_splits(df, list(by), value, None, parts), value, parts).drop("_cuts")
+
+
 def rank_rows(df: DataFrame, by: Sequence[str], value: str, tie: str, *, parts: int | None = None, out: str = "pos") -> DataFrame:
     """Exact 1-based rank by (`value`, `tie`) inside `by` (may be empty) with no single-task sort.
 

@@ -6,6 +6,7 @@ Fitted trees are rows-only checks; what is computed from given scores, predictio
 from pyspark.sql import functions as F
 
 from tidemark.operators import additive as N
+from tidemark.operators import isotonic as I
 from tidemark.operators import labels as L
 from tidemark.operators import models as M
 from tidemark.operators import reports as R
@@ -149,6 +150,49 @@ def f18s(v):
     return M.calibrate(p, M.fit_isotonic(p, "y", a), a).select("id", *[F.round(f"c{k}", 8).alias(f"c{k}") for k in range(4)])
 
 
+CAL = "SELECT id, " + ", ".join(f"round(r{k}/CASE WHEN t=0 THEN 1 ELSE t END,8) AS c{k}" for k in range(4)) + " FROM r_v"
+
+
+@query("f18_isotonic_steps", CAL, **ISO)
+def f18t(v):
+    """The same maps fitted in blocks and applied by an as-of join."""
+    p = v.keep(v.probs().select("id", "y", *[F.round(f"p{k}", 2).alias(f"a{k}") for k in range(4)]))
+    a = [f"a{k}" for k in range(4)]
+    return I.apply(p, I.fit(p, "y", a), a, "id").select("id", *[F.round(f"c{k}", 8).alias(f"c{k}") for k in range(4)])
+
+
+# The whole chain: additive model out of fold, then maps of its probabilities (two digits).
+OOF = {
+    **nb_views("tr_v", "wf_v"),
+    **ISO,
+    "u_v": "SELECT id, y, " + ", ".join(f"round(q{k},2) AS a{k}" for k in range(4)) + " FROM nb_v",
+}
+
+
+def oof_scores(v):
+    train, _ = split(v)
+    oof = N.out_of_fold(train, "ts", folds(v, train), FEATURES, "y")
+    return v.keep(oof.select("id", "y", *[F.round(f"q{k}", 2).alias(f"a{k}") for k in range(4)]))
+
+
+@query("f18_isotonic_out_of_fold", CAL, **OOF)
+def f18o(v):
+    """Calibration of the additive model's out-of-fold probabilities."""
+    p, a = oof_scores(v), [f"a{k}" for k in range(4)]
+    return I.apply(p, I.fit(p, "y", a), a, "id").select("id", *[F.round(f"c{k}", 8).alias(f"c{k}") for k in range(4)])
+
+
+@query(
+    "j26_fitted_map_shape",
+    "SELECT k AS class_id, sum(CASE WHEN n=1 THEN 1 ELSE 2 END)::BIGINT AS n_breakpoints, round(min(c),9) AS min_out, round(max(c),9) AS max_out, count(*) FILTER (n > 1) AS n_flat FROM (SELECT k, c, count(*) AS n FROM m_v GROUP BY 1,2) GROUP BY 1",
+    **OOF,
+)
+def j26f(v):
+    """Shape of the maps fitted out of fold."""
+    s = R.calibration_shape(I.breakpoints(I.fit(oof_scores(v), "y", [f"a{k}" for k in range(4)])))
+    return s.select("class_id", "n_breakpoints", F.round("min_out", 9).alias("min_out"), F.round("max_out", 9).alias("max_out"), "n_flat")
+
+
 @query(
     "f23_prediction_metrics",
     "SELECT round(avg(abs(s-p)),8) AS mae, count(*) FILTER (p <= -0.5) AS n_low, round(avg((s <= -0.5)::INT) FILTER (p <= -0.5),9) AS low_hit, count(*) FILTER (p >= 0.5) AS n_high, round(avg((s >= 0.5)::INT) FILTER (p >= 0.5),9) AS high_hit, round(corr(rp, rs),8) AS spearman FROM "
