@@ -9,6 +9,7 @@ MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
 BB_PERIOD, BB_STD = 20, 2.0
 ATR_PERIOD = 14
 MIN_HOURLY_BARS = 30
+MIN_REGULAR_BARS = 500
 VOL_SHORT_DAYS, VOL_LONG_DAYS = 5, 60
 SMA_FAST, SMA_SLOW = 50, 200
 

@@ -6,7 +6,7 @@ from tidemark.plans.registry import ORACLES, QUERIES
 
 MODULES = (
     "sources", "cleaning", "text", "alignment", "features", "labels", "outcomes", "statistics", "filings",
-    "reports", "basics", "models", "streaming",
+    "reports", "basics", "models", "streaming", "dataset",
 )
 
 for _m in MODULES:
