@@ -57,7 +57,9 @@ def build_dataset(
     """
     whole = clean.drop_incomplete(news, "ticker", t, "headline")
     unique = clean.dedupe_news(whole, t, item_id)
-    tagged = keep(text.relevance_tier(unique, text.matchers(universe), strict_sources=strict_sources))
+    tagged = text.relevance_tier(unique, text.matchers(universe), strict_sources=strict_sources)
+    # Dropped items are only counted from here on; their texts are not written.
+    tagged = keep(tagged.withColumn("summary", F.when(F.col("relevance_tier") < text.PASSING, F.col("summary"))))
     relevant = text.keep_relevant(tagged)
 
     regular = keep(regular_bars(bars, sessions))
@@ -70,7 +72,7 @@ def build_dataset(
 
     expected = frame.expected_columns(sectors, [*[name for name, _ in types], "other"])
     seen = relevant.select("ticker", F.col(t).alias("nt"))
-    features = frame.feature_frame(scored, usable, sessions, bench, universe, seen, expected, key="event_id", t=t, min_anchors=min_anchors)
+    features = frame.feature_frame(scored, usable, sessions, bench, universe, seen, expected, key="event_id", t=t, min_anchors=min_anchors, keep=keep)
     own = [item_id, "relevance_tier", "news_type", "entry_ts", "entry_price", "exit_ts", "exit_price", "delay_sec", "fwd_ret"]
     events = keep(features.join(scored.select("event_id", *own), "event_id"))
 

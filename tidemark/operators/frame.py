@@ -6,7 +6,7 @@ from batch features in where the bars come from and in nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,10 +61,12 @@ def benchmark_part(points: DataFrame, key: str, t: str, bench: DataFrame) -> Dat
 def feature_frame(
     items: DataFrame, bars: DataFrame, sessions: DataFrame, bench: DataFrame, universe: DataFrame, seen: DataFrame, expected: Sequence[str],
     key: str = "news_hash", t: str = "published_utc", nt: str = "nt", min_bars: int = P.MIN_HOURLY_BARS, min_anchors: int = P.SIGMA_MIN_ANCHORS,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """The batch build: every feature at each item's time, from whole bar tables.
 
     `seen` has the ticker and first-seen time `nt` of all items. Items without `min_bars` completed hours drop.
+    `keep` cuts the lineage of each part, a few columns per item, so that no plan holds all parts.
     """
     points = items.select(key, "ticker", t)
     daily = E.daily_closes(bars)
@@ -77,4 +79,5 @@ def feature_frame(
     peer = dated.join(peers, ["sector", "date"], "left").select(key, "peer_mom")
     flow = E.news_recency(points, seen, t, nt, inclusive_start=True).select(key, "hours_since_prev", "items_prior")
     sigma = E.trailing_sigma(points, E.sigma_anchors(bars), t, min_anchors).select(key, "sigma")
-    return assemble(items, key, t, [tech, benchmark_part(points, key, t, bench), regime, peer, flow, sigma], universe, expected)
+    parts = [tech, benchmark_part(points, key, t, bench), regime, peer, flow, sigma]
+    return assemble(items, key, t, [keep(p) for p in parts], universe, expected)
