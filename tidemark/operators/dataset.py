@@ -62,9 +62,9 @@ def build_dataset(
     tagged = keep(tagged.withColumn("summary", F.when(F.col("relevance_tier") < text.PASSING, F.col("summary"))))
     relevant = text.keep_relevant(tagged)
 
-    regular = keep(regular_bars(bars, sessions))
-    tickers = bar_coverage(universe, regular, least_bars)
-    usable = regular.join(tickers.filter("enough"), "ticker", "left_semi").drop("sess_start", "sess_end")
+    regular = regular_bars(bars, sessions)
+    tickers = keep(bar_coverage(universe, regular, least_bars))
+    usable = keep(regular.join(tickers.filter("enough"), "ticker", "left_semi").drop("sess_start", "sess_end"))
 
     aligned = clean.with_event_id(compute_events(relevant, usable, sessions, t, horizon, max_delay_min), t, item_id)
     typed = aligned.withColumn("news_type", text.news_type("headline", "summary", types))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark import params as P
 from tidemark.operators import features as E
 from tidemark.operators.text import NEWS_TYPES
+from tidemark.session import settle
 
 BENCH = ["dist_sma_fast", "dist_sma_slow", "above_slow"]
 REGIME = ["rv_short", "vol_ratio", "mom"]
@@ -66,12 +67,12 @@ def feature_frame(
     """The batch build: every feature at each item's time, from whole bar tables.
 
     `seen` has the ticker and first-seen time `nt` of all items. Items without `min_bars` completed hours drop.
-    `keep` cuts the lineage of each part, a few columns per item, so that no plan holds all parts.
+    `keep` cuts the lineage of each part, a few columns per item, and of the daily and hourly rows, so that no plan holds all.
     """
     points = items.select(key, "ticker", t)
-    daily = E.daily_closes(bars)
-    tech = E.technical_features(points, bars, sessions, t) if min_bars == P.MIN_HOURLY_BARS else E.session_vwap(
-        E.last_completed_hour(points, E.hourly_indicators(E.hourly_bars(bars)), t, E.INDICATORS, min_bars), bars, sessions, t)
+    daily = keep(E.daily_closes(bars))
+    hourly = keep(E.hourly_indicators(settle(E.hourly_bars(bars))))
+    tech = E.session_vwap(E.last_completed_hour(points, hourly, t, E.INDICATORS, min_bars), bars, sessions, t)
     tech = tech.filter("hb IS NOT NULL").select(key, *[F.col(f"hb.{c}").alias(c) for c in E.INDICATORS], "dist_from_vwap")
     regime = E.prior_valid_day(points, daily, E.ticker_regime(daily), t, REGIME).select(key, *[F.col(f"pd.{c}").alias(c) for c in REGIME])
     dated = points.join(universe.select("ticker", "sector"), "ticker", "left").withColumn("date", F.to_date(t))
