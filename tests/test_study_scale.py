@@ -1,10 +1,13 @@
 """Steps that must not grow faster than their input: plans without grids or wide shuffles, same results as plain loops."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import align as A
 from tidemark.operators import features as E
+from tidemark.operators import stats as S
 
 D0 = dt.date(1969, 11, 1)
 
@@ -41,3 +44,67 @@ def test_peer_momentum_without_a_grid_of_tickers_and_dates(spark):
     for k, w in want.items():
         assert (got[k] is None) == (w is None) and (w is None or abs(got[k] - w) <= 1e-12 * max(1.0, abs(w))), k
     assert "collect_set" not in plan(df)
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def closes(spark):
+    # Gaps of a month, a ticker that ends, one with a single day; enough days for every horizon.
+    rows = [(t, n + (40 if n > cut else 0), 50.0 + (n * k) % 17) for t, k, cut, last in (("A", 3, 30, 60), ("B", 5, 4, 12), ("C", 7, 99, 1)) for n in range(last)]
+    return spark.createDataFrame([(t, day(n), c) for t, n, c in rows], "ticker string, d date, c double")
+
+
+def test_exits_come_with_the_entry(spark):
+    daily = closes(spark)
+    points = spark.createDataFrame([(t, day(n)) for t in "ABCZ" for n in range(-2, 110, 3)], "ticker string, a date")
+    plain, rich = A.daily_path(daily), A.daily_path(daily, horizons=[2, 5, 20])
+    cols = ["ticker", "a", "h", "entry_date", "entry_price", "exit_date", "exit_price", "ret", "truncated"]
+    old = A.study_exits(A.study_entries(points, plain, "a"), plain, [2, 5, 20]).select(*cols)
+    new = A.study_exits(A.study_entries(points, rich, "a"), rich, [2, 5, 20]).select(*cols)
+    got = sorted(map(tuple, new.collect()))
+    assert got == sorted(map(tuple, old.collect())) and len({r[8] for r in got}) == 2
+    assert plan(new).count("Join") < plan(old).count("Join")
+
+
+def test_daily_rows_move_once_by_ticker(spark):
+    daily = closes(spark).groupBy("ticker", "d").agg(F.max("c").alias("c"))
+    bench = daily.groupBy("d").agg(F.avg("c").alias("c"))
+    events = spark.createDataFrame([("A", day(10)), ("A", day(10)), ("B", day(3)), ("Z", day(3))], "ticker string, e date")
+    pop = E.population_returns(daily, bench, [2], window=5, min_days=2)
+    flagged = A.eligible_days(pop, events, "d", "e", 2)
+    # By ticker alone go the days, once, and the marks; no join moves the days again.
+    text = executed(flagged)
+    assert len(re.findall(r"hashpartitioning\(ticker#\d+, \d+\)", text)) == 2 and "SortMergeJoin" not in text
+    got = {(r.ticker, r.d): r.eligible for r in flagged.collect()}
+    near = {("A", n) for n in range(8, 13)} | {("B", n) for n in range(1, 5)}
+    assert len(got) == daily.count() and {k for k, ok in got.items() if not ok} == {(t, day(n)) for t, n in near}
+
+
+def test_benchmark_between_dates(spark):
+    bench = spark.createDataFrame([(day(n), 100.0 + n * n) for n in (0, 1, 4, 9)] + [(None, 7.0)], "d date, c double")
+    days = [-3, 0, 1, 2, 4, 5, 9, 12, None]
+    spans = [(i, None if a is None else day(a), None if z is None else day(z)) for i, (a, z) in enumerate((a, z) for a in days for z in days)]
+    df = spark.createDataFrame([*spans, spans[0]], "id int, a date, z date")
+    bars = {day(n): 100.0 + n * n for n in (0, 1, 4, 9)}
+
+    def value(a, z):
+        inside = [] if a is None or z is None else sorted(d for d in bars if a <= d <= z)
+        return bars[inside[-1]] / bars[inside[0]] - 1 if len(inside) > 1 else None
+
+    got = A.bench_between(df, bench, "a", "z")
+    rows = got.collect()
+    assert len(rows) == len(spans) + 1 and got.columns == ["id", "a", "z", "bench_ret"]
+    assert all(r.bench_ret == value(r.a, r.z) for r in rows)
+    assert "SortMergeJoin" not in executed(got)
+
+
+def test_month_sums_are_computed_once(spark):
+    events = spark.createDataFrame([("x", "A", f"m{i % 4}", i / 7) for i in range(20)], "cell string, ticker string, month string, y double")
+    pop = spark.createDataFrame([("A", f"m{i % 5}", i / 9) for i in range(30)], "ticker string, month string, y double")
+    p = S.cell_mix_weights(pop, events, ["cell"], "month", "y")
+    df = S.weighted_diff_test(events, p, ["cell"], "month", "y", "w", 20)
+    assert df.count() == 1 and "LocalRelation" not in plan(df) and plan(df).count("LogicalRDD") >= 2
+    w = S.ticker_mix_weights(pop, events.filter("month < 'm2'"))
+    assert abs(sum(r.w for r in w.collect()) - 10) < 1e-9 and plan(w).count("Join") == 1
