@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import align as A
 from tidemark.operators import features as E
 from tidemark.operators import stats as S
+from tidemark.operators import text as X
+from tidemark.plans import catalog
 
 D0 = dt.date(1969, 11, 1)
 
@@ -108,3 +110,28 @@ def test_month_sums_are_computed_once(spark):
     assert df.count() == 1 and "LocalRelation" not in plan(df) and plan(df).count("LogicalRDD") >= 2
     w = S.ticker_mix_weights(pop, events.filter("month < 'm2'"))
     assert abs(sum(r.w for r in w.collect()) - 10) < 1e-9 and plan(w).count("Join") == 1
+
+
+def test_texts_are_not_dealt_by_ticker(spark):
+    rows = [(i, "A" if i % 9 else None, "Acme gains" if i % 2 else "Other", "about Acme" if i % 3 else "none") for i in range(36)]
+    news = spark.createDataFrame(rows, "id int, ticker string, headline string, summary string")
+    patterns = X.matchers(spark.createDataFrame([("A", "Acme")], "ticker string, name string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tagged = X.relevance_tier(news, patterns)
+        assert "hashpartitioning(ticker" not in executed(tagged)
+        got = {r.id: r.relevance_tier for r in tagged.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: 3 if t is None else 1 if "Acme" in h else 2 if "Acme" in s else 3 for i, t, h, s in rows}
+
+
+def test_landed_items_of_a_ticker_come_in_pages(spark, tmp_path):
+    ids = [0, 3, 9_999, 10_000, 25_000, 25_001]
+    docs = spark.createDataFrame([(i, f"Head {i}. Rest", "en", "s", 12) for i in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    events = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, 12, 0, i % 60), i, "click", 1.0, "{}") for i in ids], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    df = catalog.QUERIES["a1_news_items"](spark, str(tmp_path))
+    assert sorted((r.id, r.ticker) for r in df.collect()) == [(i, "click") for i in ids]
+    assert len(df.inputFiles()) == 3

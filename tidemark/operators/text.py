@@ -72,11 +72,12 @@ def relevance_tier(news: DataFrame, patterns: DataFrame, headline: str = "headli
                    source: str = "source", strict_sources: Sequence[str] = ()) -> DataFrame:
     """Tier 1: named in the headline; 2: in headline or summary; 3: neither. Strict sources have no tier 2.
 
-    regexp_instr keeps a pattern compiled while consecutive rows have the same one, which regexp_like does not.
+    regexp_instr keeps a pattern compiled while consecutive rows have the same one, which regexp_like does not. The
+    patterns, one row per ticker of the universe, are sent to the texts: dealt by ticker, a busy one's texts were one task.
     """
     head = F.coalesce(F.col(headline), F.lit(""))
     both = F.concat_ws(" ", head, F.coalesce(F.col(summary), F.lit("")))
-    joined = news.join(patterns, "ticker", "left")
+    joined = news.join(F.broadcast(patterns), "ticker", "left")
     tier = (
         F.when(F.coalesce(F.regexp_instr(head, F.col("pattern")) > 0, F.lit(False)), PRIMARY)
         .when(F.coalesce(F.regexp_instr(both, F.col("pattern")) > 0, F.lit(False)), SECONDARY)

@@ -18,21 +18,27 @@ def scratch(v):
     return f"{checkpoint_dir(v.spark)}/tables-{uuid.uuid4().hex}"
 
 
-def land(v, lines, key, order, name):
+def land(v, lines, key, order, name, page=None):
     """Landed files as a vendor leaves them: one text file per key, named by `name(key)`; returns their folder.
 
-    `lines` has key, `order` and value. The files are written by Spark in order and renamed in their store.
+    `lines` has key, `order` and value. The files are written by Spark in order and renamed in their store. With the
+    column `page` a key has one file per page, in the page's folder.
     """
-    folder = scratch(v)
-    ordered = lines.repartition(key).sortWithinPartitions(key, *order)
-    ordered.select(key, "value").write.partitionBy(key).text(f"{folder}/_parts")
+    folder, keys = scratch(v), [key] if page is None else [page, key]
+    ordered = lines.repartition(*keys).sortWithinPartitions(*keys, *order)
+    ordered.select(*keys, "value").write.partitionBy(*keys).text(f"{folder}/_parts")
     hadoop = v.spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(folder).getFileSystem(v.spark._jsc.hadoopConfiguration())
-    for d in fs.listStatus(hadoop.Path(f"{folder}/_parts")):
-        if d.isDirectory():
-            for f in fs.listStatus(d.getPath()):
+
+    def folders(path):
+        return [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
+
+    top = hadoop.Path(f"{folder}/_parts")
+    for above, under in [(folder, top)] if page is None else [(f"{folder}/{p.getName().split('=', 1)[1]}", p) for p in folders(top)]:
+        for d in folders(under):
+            for f in fs.listStatus(d):
                 if f.getPath().getName().startswith("part-"):
-                    target = hadoop.Path(f"{folder}/{name(d.getPath().getName().split('=', 1)[1])}")
+                    target = hadoop.Path(f"{above}/{name(d.getName().split('=', 1)[1])}")
                     fs.mkdirs(target.getParent())
                     fs.rename(f.getPath(), target)
     return folder
@@ -40,13 +46,17 @@ def land(v, lines, key, order, name):
 
 @query("a1_news_items", "SELECT news_id AS id, ticker, md5(headline) AS headline_md5, epoch_us(published_utc)//1000000 AS published_epoch FROM news_v")
 def a1(v):
-    """A JSON array per ticker, written line by line (with an empty last item, which drops), then read."""
+    """JSON arrays per ticker, written line by line (with an empty last item, which drops), then read.
+
+    A ticker's items come in pages, as feeds give them, so that no file and no task holds all of a busy ticker.
+    """
     item = F.to_json(F.struct(F.col("news_id").alias("id"), "headline", "summary", "source", F.unix_seconds("published_utc").alias("datetime")))
-    n = v.news().select("ticker", F.lit(1).alias("o"), F.col("news_id").alias("i"), F.concat(item, F.lit(",")).alias("value"))
-    tickers = v.news().select("ticker").distinct()
-    ends = tickers.select("ticker", F.inline(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(0).cast("long").alias("i"), F.lit(t).alias("value")) for o, t in ((0, "["), (2, "{}]"))])))
-    folder = land(v, n.unionByName(ends), "ticker", ["o", "i"], lambda t: f"{t}.json")
-    return G.news_shape(G.read_news(v.spark, f"{folder}/*.json")).select("id", "ticker", F.md5("headline").alias("headline_md5"), "published_epoch")
+    # Fixed value: item numbers of a page.
+    page = F.floor(F.col("news_id") / F.lit(10_000)).alias("page")
+    n = v.news().select(page, "ticker", F.lit(1).alias("o"), F.col("news_id").alias("i"), F.concat(item, F.lit(",")).alias("value"))
+    ends = v.news().select(page, "ticker").distinct().select("page", "ticker", F.inline(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(0).cast("long").alias("i"), F.lit(t).alias("value")) for o, t in ((0, "["), (2, "{}]"))])))
+    folder = land(v, n.unionByName(ends), "ticker", ["o", "i"], lambda t: f"{t}.json", "page")
+    return G.news_shape(G.read_news(v.spark, f"{folder}/[!_]*/*.json")).select("id", "ticker", F.md5("headline").alias("headline_md5"), "published_epoch")
 
 
 @query("a2_bar_rename", "SELECT ticker, epoch_us(ts) AS ts_us, open, high, low, close, volume FROM bars_v")
