@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import align as A
 from tidemark.operators import features as E
+from tidemark.operators import filings as I
 from tidemark.operators import stats as S
 from tidemark.operators import text as X
 from tidemark.plans import catalog
@@ -135,3 +136,55 @@ def test_landed_items_of_a_ticker_come_in_pages(spark, tmp_path):
     df = catalog.QUERIES["a1_news_items"](spark, str(tmp_path))
     assert sorted((r.id, r.ticker) for r in df.collect()) == [(i, "click") for i in ids]
     assert len(df.inputFiles()) == 3
+
+
+def test_windows_across_a_gap_cost_the_same_for_any_horizon(spark):
+    daily = closes(spark)
+    bench = daily.groupBy("d").agg(F.avg("c").alias("c"))
+    horizons, gap = [2, 5, 20], 25
+    df = E.population_returns(daily, bench, horizons, gap_days=gap, window=5, min_days=2)
+    # No window frame slides over the bars of a horizon.
+    assert "lead(_breaks" in executed(df) and "max(_gap" not in executed(df)
+    got = {(r.ticker, r.d): r for r in df.collect()}
+    days = {t: sorted(d for x, d in got if x == t) for t in "ABC"}
+    for t, ds in days.items():
+        for i, d in enumerate(ds):
+            for h in horizons:
+                ahead = ds[i : i + h + 2]
+                whole = len(ahead) == h + 2 and all((b - a).days <= gap for a, b in zip(ahead, ahead[1:]))
+                assert whole or got[t, d][f"adj_ret_{h}d"] is None, (t, d, h)
+    assert any(r.adj_ret_20d is not None for r in got.values()) and any(r.adj_ret_2d is not None for r in got.values() if r.ticker == "B")
+
+
+def test_events_are_scored_in_one_pass_over_the_bars(spark):
+    daily = closes(spark)
+    bench = daily.groupBy("d").agg((F.avg("c") + F.dayofmonth("d")).alias("c"))
+    points = [(t, None if n is None else day(n)) for t in [*"ABCZ", None] for n in [*range(-2, 110, 3), None]]
+    events = spark.createDataFrame(points, "ticker string, filing_date date")
+    df = I.score_events(events, daily, bench, horizons=[2, 5], gap_days=25)
+    bars = {t: sorted(r.d for r in daily.filter(F.col("ticker") == t).collect()) for t in "ABC"}
+    betas = {(r.ticker, r.d): (r.beta, r.beta_n) for r in E.event_beta(E.returns_with_bench(daily, bench)).collect()}
+    rows = df.collect()
+    want = [(t, d, h) for t, d in points if t in bars and d is not None and bars[t][-1] > d for h in (2, 5)]
+    assert sorted((r.ticker, r.filing_date, r.h) for r in rows) == sorted(want)
+    for r in rows:
+        before = [d for d in bars[r.ticker] if d < r.filing_date]
+        assert (r.beta, r.beta_n) == (betas[r.ticker, before[-1]] if before else (None, None))
+    assert any(r.beta for r in rows)
+    # The bars meet the points once, not once for the entry and once for the beta.
+    assert plan(df).count("Union") == 1
+
+
+def test_owners_are_read_once(spark):
+    filings = spark.createDataFrame([(i, day(20 * i), "4", "1" if i == 2 else "0", 7) for i in range(1, 5)], "accession int, filing_date date, document_type string, aff10b5one string, issuer int")
+    lines = spark.createDataFrame([(i, "P", 10.0, 3.0) for i in range(1, 5)], "accession int, trans_code string, shares double, price double")
+    rows = [(1, 5, "CFO", "Officer"), (1, 5, "CFO", "Officer"), (2, 5, None, "Director"), (3, 6, "Other", None)]
+    owners = spark.createDataFrame(rows, "accession int, owner int, title string, relationship string")
+    targets = spark.createDataFrame([(7,)], "issuer int")
+    df = I.purchase_events(filings, lines, owners, targets)
+    assert df.columns == ["accession", "filing_date", "issuer", "aff10b5one", "dollar_amt", "n_p_lines", "is_10b5_1", "size_bucket", "is_cluster", "role"]
+    got = {r.accession: (r.is_cluster, r.role) for r in df.collect()}
+    # Filing 4 names no owner: no role, and its day has no flag although two owners file around it.
+    assert got == {1: (False, "CEO_CFO"), 2: (True, "Director"), 3: (True, "Other"), 4: (False, None)}
+    # What is left to do starts from the settled filings, which hold their owners.
+    assert plan(df).count("LogicalRDD") == 2
