@@ -3,8 +3,10 @@
 import datetime as dt
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.functions.scan import exact_quantiles
 from tidemark.operators import align as A
 from tidemark.operators import features as E
 from tidemark.operators import filings as I
@@ -188,3 +190,18 @@ def test_owners_are_read_once(spark):
     assert got == {1: (False, "CEO_CFO"), 2: (True, "Director"), 3: (True, "Other"), 4: (False, None)}
     # What is left to do starts from the settled filings, which hold their owners.
     assert plan(df).count("LogicalRDD") == 2
+
+
+def test_quantile_counts_move_once(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), (F.pmod(F.col("id") * 7919, F.lit(1009)) / 7).alias("x"))
+    q = exact_quantiles(df, ["g"], "x", {"a": 0.0, "m": 0.5, "p": 0.9, "z": 1.0})
+    got = {r.g: r for r in q.collect()}
+    vals = {g: np.array([(i * 7919) % 1009 / 7 for i in range(4000) if i % 3 == g]) for g in range(3)}
+    for g, v in vals.items():
+        assert np.allclose([got[g].a, got[g].m, got[g].p, got[g].z], np.quantile(v, [0, 0.5, 0.9, 1]), rtol=0, atol=1e-12)
+    # The rows are counted once: splits, block sizes and scan read the same exchange.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert len(re.findall(r"\bRange \(0, 4000", executed(exact_quantiles(df, ["g"], "x", {"m": 0.5})))) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
