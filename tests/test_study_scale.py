@@ -190,6 +190,10 @@ def test_owners_are_read_once(spark):
     assert got == {1: (False, "CEO_CFO"), 2: (True, "Director"), 3: (True, "Other"), 4: (False, None)}
     # What is left to do starts from the settled filings, which hold their owners.
     assert plan(df).count("LogicalRDD") == 2
+    lazy = I.purchase_events(filings, lines, owners, targets, settle_owners=False)
+    assert lazy.columns == df.columns and {r.accession: (r.is_cluster, r.role) for r in lazy.collect()} == got
+    # Where nobody reads role and flags, the owners are not read.
+    assert "relationship" not in plan(lazy.select("accession", "is_10b5_1"))
 
 
 def test_quantile_counts_move_once(spark):
