@@ -151,3 +151,55 @@ def test_drawdown_does_not_depend_on_the_block_width(spark):
     for width in (60_000_000, 3_600_000_000, 86_400_000_000):
         got = {r.g: r.max_drawdown for r in O.max_drawdown(df, ["g"], "t", "i", "x", width).collect()}
         assert all(abs(got[g] - want[g]) < 1e-9 for g in want)
+
+
+def resampled(cells, n_boot, seed, stat):
+    """2.5/97.5 percentiles of `stat` over hash-drawn resamples of a group's month rows (in order), by a loop."""
+    from hashlib import md5
+
+    n = len(cells)
+    draws = [stat([cells[int(md5(f"{seed}|{b}|{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)]) for b in range(n_boot)]
+    return np.percentile([x for x in draws if x is not None], [2.5, 97.5])
+
+
+def test_draws_in_blocks_equal_a_loop(spark):
+    """More draws than a block holds, groups of unequal size; a null group has no draws."""
+    rows = [(g, m, float((7 * g + 3 * m) % 11), m + 1) for g, n in ((1, 5), (2, 1)) for m in range(n)] + [(None, 0, 1.0, 1)]
+    cl = spark.createDataFrame(rows[::-1], "g int, m int, c_sum double, c_n int")
+    got = S.bootstrap_draws(cl, ["g"], "m", 2 * S.DRAW_BLOCK + 7, "s").groupBy("g").agg(F.count_distinct("b").alias("n"), F.max("b").alias("b"), F.sum("c_sum").alias("x"), F.count("*").alias("k")).collect()
+    assert sorted((r.g, r.n, r.b, r.k) for r in got) == [(1, 207, 206, 5 * 207), (2, 207, 206, 207)]
+    total = []
+    resampled([r for r in rows if r[0] == 1], 207, "s", lambda c: total.append(sum(x[2] for x in c)) or 0)
+    assert {r.g: r.x for r in got} == {1: sum(total), 2: 207 * rows[5][2]}
+
+
+def study_rows(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(4)
+    rows = [("ab"[i % 2], dt.date(1995, 1 + i % 6, 3 + i % 9), (5, 60)[i // 36], float(rng.integers(-40, 60)), i % 3 == 0, "r", "s", True) for i in range(72)]
+    scored = spark.createDataFrame(rows, "ticker string, filing_date date, h int, adj_ret double, is_10b5_1 boolean, role string, size_bucket string, is_cluster boolean")
+    return rows, scored
+
+
+def test_cells_difference_horizons_resample_10000_times(spark, monkeypatch):
+    from tidemark.plans import statistics_queries as Q
+
+    rows, scored = study_rows(spark)
+    pop = [(t, h, f"1995-{m:02d}", float((m * m + 3 * h + ord(t)) % 17)) for t in "ab" for h in (5, 60) for m in range(1, 7)]
+    monkeypatch.setattr(Q, "scored", lambda v, ev=None: scored)
+    monkeypatch.setattr(Q, "both", lambda v: (None, None, None))
+    monkeypatch.setattr(Q, "population_horizons", lambda v, ev: spark.createDataFrame(pop, "ticker string, h int, month string, y double"))
+    got = {(r.cell, r.h): (r.lo, r.hi) for r in Q.h9dh(None).collect()}
+    assert len(got) == 12
+    for h in (5, 60):
+        n = {t: sum(r[0] == t and r[2] == h for r in rows) for t in "ab"}
+        cells = []
+        for m in range(1, 7):
+            e = [r[3] for r in rows if r[2] == h and r[1].month == m]
+            p = [(n[t] / 6, y) for t, k, at, y in pop if k == h and at == f"1995-{m:02d}"]
+            cells.append((sum(e), len(e), sum(w * y for w, y in p), sum(w for w, _ in p)))
+        def stat(c):
+            ey, ew, py, pw = (sum(x[k] for x in c) for k in range(4))
+            return ey / ew - py / pw
+        assert np.allclose(got["all", h], resampled(cells, 10000, "7", stat), atol=1e-5)
