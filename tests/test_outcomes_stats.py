@@ -182,6 +182,24 @@ def study_rows(spark):
     return rows, scored
 
 
+def test_cells_versus_zero_resample_10000_times(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark.plans import statistics_queries as Q
+
+    rows, scored = study_rows(spark)
+    monkeypatch.setattr(Q, "scored", lambda v, ev=None: scored)
+    got = {(r.cell, r.h): (r.lo, r.hi) for r in Q.h9z(SimpleNamespace(keep=lambda df: df)).collect()}
+    assert len(got) == 12
+    for h in (5, 60):
+        months = {}
+        for r in rows:
+            if r[2] == h:
+                months.setdefault(r[1].month, []).append(r[3])
+        cells = [(sum(months[m]), len(months[m])) for m in sorted(months)]
+        assert np.allclose(got["all", h], resampled(cells, 10000, "42", lambda c: sum(x[0] for x in c) / sum(x[1] for x in c)), atol=1e-5)
+
+
 def test_cells_difference_horizons_resample_10000_times(spark, monkeypatch):
     from tidemark.plans import statistics_queries as Q
 
